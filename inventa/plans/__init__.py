@@ -1,6 +1,6 @@
 """Named queries over the provided tables (one module per area)."""
 
-from inventa.plans import columns, ingest, members, phases, results, runs  # noqa: F401
+from inventa.plans import arrays, columns, ingest, members, phases, results, runs  # noqa: F401
 from inventa.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
