@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Upload limits.
 MAX_CSV_BYTES = 10 * 1024 * 1024
 MAX_ROWS = 50_000
+WHITESPACE = " \t\r\n\x0b\x0c"
 
 READ_OPTIONS = {
     "header": "true", "quote": '"', "escape": '"', "multiLine": "false",
@@ -30,7 +31,8 @@ def read_member_csv(spark: SparkSession, path: str) -> DataFrame:
     (header = row 1); NULL cells (short rows) become ""."""
     raw = spark.read.options(**READ_OPTIONS).csv(path)
     cols = [c for c in raw.columns]
-    df = raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
+    # every cell is trimmed after parsing, quoted ones included
+    df = raw.select(*[F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(WHITESPACE)).alias(c) for c in cols],
                     F.col("_metadata.file_path").alias("_file"),
                     F.monotonically_increasing_id().alias("_mid"))
     first = df.groupBy("_file").agg(F.min("_mid").alias("_first"))

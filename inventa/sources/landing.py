@@ -55,14 +55,29 @@ def read_landing(spark: SparkSession, root: str, entity: str, schema: T.StructTy
 
     A declared schema is required (a file stream cannot infer one), which also
     makes an empty or missing landing folder a valid 0-row source."""
+    glob = landing_glob(root, entity, detail_type, levels)
+    if not streaming and not _glob_matches(spark, glob):
+        # a batch read of a glob matching nothing fails; a stream just waits
+        empty = spark.createDataFrame([], schema)
+        return (empty.withColumn("_tenant_key", F.lit(None).cast("string"))
+                .withColumn("_source_file", F.lit(None).cast("string"))
+                .withColumn("_source_system", F.lit(source_system))
+                .withColumn("_dlt_ingested_at", F.current_timestamp()))
     reader = spark.readStream if streaming else spark.read
     df = (reader.schema(schema)
           .option("pathGlobFilter", file_pattern)
           .option("mode", "PERMISSIVE")
-          .json(landing_glob(root, entity, detail_type, levels)))
+          .json(glob))
     return with_metadata(df, source_system, tenant_from_dir)
 
 
+def _glob_matches(spark: SparkSession, glob: str) -> bool:
+    """Driver-side listing of the folders a glob names (metadata only)."""
+    fs, jpath = _fs(spark, glob)
+    found = fs.globStatus(jpath)
+    return found is not None and len(found) > 0
+
+
 def infer_schema(spark: SparkSession, root: str, entity: str, detail_type: str | None = None,
                  file_pattern: str = DEFAULT_FILE_PATTERN, fallback: T.StructType | None = None,
                  sampling_ratio: float = 1.0) -> T.StructType:

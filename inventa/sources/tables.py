@@ -126,9 +126,16 @@ class VersionedTable:
         """Merge ``changes`` (any number of rows per key) into a new
         version.  Only touched buckets are read and rewritten."""
         latest = latest_per_key(changes, self.keys, self.sequence_by)
-        latest = latest.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+        return self.merge(latest, lambda cur, chg: merge_latest(cur, chg, self.keys, self.sequence_by))
+
+    def merge(self, changes: DataFrame, combine) -> int:
+        """Merge with a custom rule: ``combine(current_rows, changes)`` gets
+        the stored rows of the touched buckets and the change rows and
+        returns the new rows of those buckets (e.g. additive counters)."""
+        latest = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
         latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            # at most `buckets` values come back to the driver
             touched = sorted(r[0] for r in latest.select(BUCKET_COL).distinct().collect())
             if not touched:
                 return self.latest_version()
@@ -137,7 +144,9 @@ class VersionedTable:
             hit = [b for b in touched if str(b) in bmap["buckets"]]
             if hit:
                 current = self.read(prev, hit).withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
-                merged = merge_latest(current, latest, self.keys, self.sequence_by)
+                merged = combine(current, latest)
+                if BUCKET_COL not in merged.columns:
+                    merged = merged.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
             else:
                 merged = latest
             new = prev + 1
