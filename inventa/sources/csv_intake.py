@@ -30,9 +30,11 @@ def read_member_csv(spark: SparkSession, path: str) -> DataFrame:
     """All-string member rows plus ``_file`` and 1-based ``_row``
     (header = row 1); NULL cells (short rows) become ""."""
     raw = spark.read.options(**READ_OPTIONS).csv(path)
-    cols = [c for c in raw.columns]
-    # every cell is trimmed after parsing, quoted ones included
-    df = raw.select(*[F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(WHITESPACE)).alias(c) for c in cols],
+    # every cell is trimmed after parsing, quoted ones included (partition
+    # columns of a folder of uploads keep their inferred type)
+    cells = [F.btrim(F.coalesce(F.col(f"`{f.name}`"), F.lit("")), F.lit(WHITESPACE)).alias(f.name)
+             if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in raw.schema.fields]
+    df = raw.select(*cells,
                     F.col("_metadata.file_path").alias("_file"),
                     F.monotonically_increasing_id().alias("_mid"))
     first = df.groupBy("_file").agg(F.min("_mid").alias("_first"))
