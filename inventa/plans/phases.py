@@ -43,7 +43,7 @@ def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending phase executions: every order × the runbook phases with a valid offset."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     p = o.select("o_orderkey", "o_orderdate", F.explode(runbook_phases_col()).alias("p"))
-    mins = D.offset_minutes(F.col("p.offset"))
+    mins = F.col("p.offset_minutes")
     return (p.select(F.col("o_orderkey").alias("batch_id"), F.col("p.phase_name").alias("phase_name"),
                      D.due_at("o_orderdate", mins).alias("due_at"), F.lit("pending").alias("status"),
                      mins.alias("offset_minutes"))
@@ -276,7 +276,7 @@ def version_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if((F.col("runbook_version") < NEW_VERSION) & (F.col("o_orderstatus") == "O")).alias("n_superseded"))
     b = moving.join(info, "batch_id")
     x = b.select("*", F.explode(runbook_phases_col()).alias("p"))
-    mins = D.offset_minutes(F.col("p.offset"))
+    mins = F.col("p.offset_minutes")
     x = x.filter(mins.isNotNull())
     status = PH.new_phase_status(D.due_at("start", mins), F.lit(AS_OF_TRANSITION).cast("timestamp"),
                                  "ignore", F.lit(False))

@@ -145,7 +145,7 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
-def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str, date_col: str,
+def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None, date_col: str,
                   run_id: str, detail_type: str | None = None, chunk_prefix: str | None = None,
                   num_files: int | None = None) -> None:
     """Land ``df`` as JSONL in the landing layout.
@@ -153,25 +153,28 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str, date_c
     Spark writes the rows (``partitionBy`` tenant and date, so every task
     writes only its own files); the driver then only renames the
     ``tenant=…/date=…`` folders and part files into the landing layout, which
-    is metadata work bounded by the number of files."""
+    is metadata work bounded by the number of files.  ``num_files`` spreads
+    the rows round-robin over that many chunk files (S20).  Without a tenant
+    column only the date level is written (run history, S23)."""
     spark = df.sparkSession
-    staging = f"{root.rstrip('/')}/.staging-{entity}-{run_id}"
+    staging = f"{root.rstrip('/')}/.staging-{entity.replace('/', '_')}-{run_id}"
     out = df if num_files is None else df.repartition(num_files)
-    (out.write.mode("overwrite").partitionBy(tenant_col, date_col)
+    parts = [c for c in (tenant_col, date_col) if c is not None]
+    (out.write.mode("overwrite").partitionBy(*parts)
         .option("compression", "none").json(staging))
     fs, jstaging = _fs(spark, staging)
     jvm = spark.sparkContext._jvm
-    for tstat in fs.listStatus(jstaging):
-        tname = tstat.getPath().getName()
-        if not tstat.isDirectory() or "=" not in tname:
-            continue
-        tenant = _unescape(tname.split("=", 1)[1])
-        for dstat in fs.listStatus(tstat.getPath()):
+    tenant_dirs = ([(None, jstaging)] if tenant_col is None else
+                   [(_unescape(st.getPath().getName().split("=", 1)[1]), st.getPath())
+                    for st in fs.listStatus(jstaging)
+                    if st.isDirectory() and "=" in st.getPath().getName()])
+    for tenant, tpath in tenant_dirs:
+        for dstat in fs.listStatus(tpath):
             dname = dstat.getPath().getName()
             if not dstat.isDirectory() or "=" not in dname:
                 continue
             day = _unescape(dname.split("=", 1)[1])[:10]
-            target = f"{root.rstrip('/')}/{entity}/{tenant}/{day}"
+            target = f"{root.rstrip('/')}/{entity}" + (f"/{tenant}" if tenant is not None else "") + f"/{day}"
             if detail_type:
                 target += f"/{detail_type}"
             jtarget = jvm.org.apache.hadoop.fs.Path(target)
@@ -181,7 +184,8 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str, date_c
                 fname = fstat.getPath().getName()
                 if not fname.startswith("part-"):
                     continue
-                stem = f"{chunk_prefix}-{i:03d}" if chunk_prefix else f"{entity}_{i:05d}"
+                base = entity.rsplit("/", 1)[-1]
+                stem = f"{chunk_prefix}-{i:03d}" if chunk_prefix else f"{base}_{i:05d}"
                 fs.rename(fstat.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{run_id}.jsonl"))
                 i += 1
     fs.delete(jstaging, True)
