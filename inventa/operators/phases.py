@@ -128,6 +128,14 @@ def cancel_open_steps(steps: DataFrame, failed_members: DataFrame, member_keys:
     return flagged.withColumn(status_col, new).drop("_hit")
 
 
+def removal_steps(removed: DataFrame, member_keys: Sequence[str], steps: Sequence[str]) -> DataFrame:
+    """For each removed member, one pending execution per
+    ``on_member_removed`` step (a literal array exploded — no join)."""
+    arr = F.array(*[F.lit(s) for s in steps])
+    return removed.select(*member_keys, F.posexplode(arr).alias("step_index", "step_name")).withColumn(
+        "status", F.lit(STEP_PENDING))
+
+
 def version_transition(phases: DataFrame, batch_keys: Sequence[str], new_version: int,
                        version_col: str = "runbook_version") -> DataFrame:
     """Batches that have phases of an older version and none of

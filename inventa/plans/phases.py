@@ -313,3 +313,28 @@ def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = m.join(p, "c_custkey").withColumn("_e", TP.expand(tmpl[F.col("v")], data))
     return (x.filter(F.size("_e.unresolved") == 0)
             .select("c_custkey", "o_orderkey", F.col("_e.text").alias("step_text")))
+
+
+REMOVAL_STEPS = ("remove_license", "notify_owner")
+
+
+@register("member_removal", sql=f"""
+WITH s AS ({STEPS_SQL}),
+     rm AS (SELECT DISTINCT l_orderkey FROM s WHERE l_returnflag = 'R' AND l_linestatus = 'O'),
+     c AS (SELECT l_orderkey, COUNT(*) FILTER (WHERE status IN ('pending', 'dispatched')) AS n_cancelled
+           FROM s WHERE l_orderkey IN (SELECT l_orderkey FROM rm) GROUP BY 1)
+SELECT c.l_orderkey, r.idx AS step_index, r.name AS step_name, 'pending' AS status, c.n_cancelled
+FROM c, (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(REMOVAL_STEPS))}) r(idx, name)
+""")
+def member_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A removed member (an order with a returned open line) has its
+    open steps (lines) cancelled and gets one pending execution per
+    ``on_member_removed`` step."""
+    s = steps(spark, sf_dir)
+    removed = s.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).select("l_orderkey").distinct()
+    after = PH.cancel_open_steps(s.withColumn("_was", F.col("status")), removed, ["l_orderkey"])
+    cancelled = (after.join(removed, "l_orderkey", "left_semi").groupBy("l_orderkey")
+                 .agg(F.count_if((F.col("status") == "cancelled") & (F.col("_was") != "cancelled")).alias("n_cancelled")))
+    emitted = PH.removal_steps(removed, ["l_orderkey"], REMOVAL_STEPS)
+    return emitted.join(cancelled, "l_orderkey").select("l_orderkey", "step_index", "step_name", "status",
+                                                        "n_cancelled")

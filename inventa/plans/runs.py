@@ -51,6 +51,22 @@ def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("entities").alias("n_entities"))
 
 
+@register("tenant_override", sql="""
+SELECT c_name AS tenant_key FROM customer
+WHERE c_acctbal >= 0 AND c_name IN (SELECT c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+                                    WHERE o.o_orderpriority = '1-URGENT')
+""")
+def tenant_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's tenant override — enabled tenants ∩ the override list
+    (customers with an urgent order)."""
+    c = table(spark, sf_dir, "customer")
+    enabled = R.select_tenants(c.select(F.col("c_name").alias("tenant_key"),
+                                        (F.col("c_acctbal") >= 0).alias("enabled")), "all")
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    override = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_name").alias("tenant_key"))
+    return R.override_tenants(enabled, override).select("tenant_key")
+
+
 TASK_STATUS_SQL = """CASE WHEN l_returnflag = 'R' THEN 'failed'
      WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'timeout' ELSE 'succeeded' END"""
 

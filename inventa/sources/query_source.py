@@ -23,6 +23,18 @@ def as_strings(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def query_columns(spark: SparkSession, query: str) -> list[str]:
+    """U8: the select-list columns of a query, from Spark's analyzer (no
+    text parsing, nothing executed)."""
+    return spark.sql(query).columns
+
+
+def ensure_databases(spark: SparkSession, names: tuple[str, ...] = ("bronze", "silver")) -> None:
+    """The catalog schemas."""
+    for n in names:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {n}")
+
+
 def run_query(spark: SparkSession, source_type: str, query: str, jdbc_url: str | None = None,
               jdbc_properties: dict[str, str] | None = None, num_partitions: int | None = None,
               partition_column: str | None = None, lower_bound: int | None = None,

@@ -60,3 +60,11 @@ def test_manifest_records(spark):
     r = MF.manifest_records(o, "r9").first()
     assert (r["phase2_record_count"], r["phase2_skipped_count"], r["failed_count"], r["errors"], r["status"]) == \
         (1, 1, 1, ["boom"], "completed_with_errors")
+
+
+def test_query_columns_and_databases(spark):
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").createOrReplaceTempView("nation_v")
+    assert QS.query_columns(spark, "SELECT n_name AS name, n_regionkey + 1 AS r FROM nation_v") == ["name", "r"]
+    QS.ensure_databases(spark)
+    names = {r.namespace if hasattr(r, "namespace") else r[0] for r in spark.sql("SHOW DATABASES").collect()}
+    assert {"bronze", "silver"} <= names
