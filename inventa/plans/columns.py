@@ -263,7 +263,7 @@ def name_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("event_type"), F.when(F.col("value") > 10, "_id").when(F.col("value") > 5, "Date")
                     .when(F.col("value") > 2, "Email").otherwise("Id"))
     return e.select("event_id", name.alias("column_name"),
-                    TX.sample_value_for(name, F.lit("2024-02-01 00:00:00").cast("timestamp")).alias("sample"))
+                    TX.sample_value_for(name, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("sample"))
 
 
 @register("output_params", sql="""

@@ -66,7 +66,7 @@ WHERE p.due_at <= TIMESTAMP '{AS_OF_DUE}'
 def due_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending phases due at ``as_of`` with their active-member
     count; a phase without active members is not emitted."""
-    due = PH.pending_and_due(phase_rows(spark, sf_dir), F.lit(AS_OF_DUE).cast("timestamp"))
+    due = PH.pending_and_due(phase_rows(spark, sf_dir), F.lit(AS_OF_DUE).cast("timestamp_ntz"))
     members = (table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
                .groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_members")))
     return due.join(members, "batch_id").select(
@@ -278,7 +278,7 @@ def version_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = b.select("*", F.explode(runbook_phases_col()).alias("p"))
     mins = F.col("p.offset_minutes")
     x = x.filter(mins.isNotNull())
-    status = PH.new_phase_status(D.due_at("start", mins), F.lit(AS_OF_TRANSITION).cast("timestamp"),
+    status = PH.new_phase_status(D.due_at("start", mins), F.lit(AS_OF_TRANSITION).cast("timestamp_ntz"),
                                  "ignore", F.lit(False))
     return x.select("batch_id", F.col("p.phase_name").alias("phase_name"), status.alias("new_status"), "n_superseded")
 
