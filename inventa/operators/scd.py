@@ -32,18 +32,45 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
 
 
 def merge_latest(target: DataFrame, changes: DataFrame, keys: Sequence[str],
-                 sequence_by: Sequence[str | Column]) -> DataFrame:
+                 sequence_by: Sequence[str | Column], broadcast_changes: bool = False,
+                 changes_deduped: bool = False) -> DataFrame:
     """Upsert ``changes`` into ``target`` by ``keys``.
 
     A change replaces the stored row when its sequence is greater than or
     equal to the stored one (so a replayed batch is idempotent, T4); a lower
     sequence never overwrites (T3).  Keys absent from ``changes`` are kept —
     there is no delete (T5)."""
-    src_flag = "_inventa_src"
-    both = (target.withColumn(src_flag, F.lit(0))
-            .unionByName(changes.withColumn(src_flag, F.lit(1)), allowMissingColumns=True))
-    merged = latest_per_key(both, keys, [*_as_cols(sequence_by), F.col(src_flag)])
-    return merged.drop(src_flag)
+    # Written as joins keyed by the change set, not as union + group-by over
+    # both sides: the stored side is only probed (keys and sequence columns
+    # first, then an anti join).  ``broadcast_changes`` is set by callers that
+    # counted the change set (VersionedTable.merge): then the change side is
+    # broadcast and the large stored side is never shuffled; otherwise AQE
+    # picks the join from runtime sizes.
+    keys = list(keys)
+    seq = F.struct(*_as_cols(sequence_by))
+    chg = changes.withColumn("_inventa_seq", seq)
+    if not changes_deduped:
+        chg = latest_per_key(chg, keys, [F.col("_inventa_seq")])
+    stored = target.select(*[F.col(k).alias(f"_inventa_t_{k}") for k in keys], seq.alias("_inventa_tseq"))
+    small = F.broadcast if broadcast_changes else (lambda d: d)
+    # changes that lose to a newer stored row: an inner join, so the change
+    # side can be the broadcast (build) side and the stored side streams by
+    chg_keys = chg.select(*keys, "_inventa_seq")
+    losers = (stored.join(small(chg_keys), _null_safe(chg_keys, stored, keys, "_inventa_t_"), "inner")
+              .filter(F.col("_inventa_tseq") > F.col("_inventa_seq"))
+              .select(*[F.col(k).alias(f"_inventa_l_{k}") for k in keys]))
+    winners = chg.join(losers, _null_safe(chg, losers, keys, "_inventa_l_"), "left_anti").drop("_inventa_seq")
+    won = winners.select(*[F.col(k).alias(f"_inventa_w_{k}") for k in keys])
+    kept = target.join(small(won), _null_safe(target, won, keys, "_inventa_w_"), "left_anti")
+    return kept.unionByName(winners, allowMissingColumns=True)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(right[f"{prefix}{k}"])
+        cond = c if cond is None else cond & c
+    return cond
 
 
 def scd_key(*parts: str | Column) -> Column:
@@ -55,4 +82,6 @@ def scd_key(*parts: str | Column) -> Column:
 def absent_keys(previous: DataFrame, latest: DataFrame, keys: Sequence[str]) -> DataFrame:
     """T5: keys present in an earlier snapshot but missing from the latest one
     (the upsert keeps them; this lists them)."""
-    return previous.select(*keys).distinct().join(latest.select(*keys).distinct(), list(keys), "left_anti")
+    prev = previous.select(*keys).distinct()
+    now = latest.select(*[F.col(k).alias(f"_inventa_n_{k}") for k in keys]).distinct()
+    return prev.join(now, _null_safe(prev, now, keys, "_inventa_n_"), "left_anti")

@@ -20,6 +20,12 @@ from pyspark.storagelevel import StorageLevel
 from inventa.operators.scd import latest_per_key, merge_latest
 
 BUCKET_COL = "_inventa_bucket"
+# A change set of at most this many rows (counted before the merge) is
+# broadcast to the stored side — only its key and sequence columns are
+# broadcast, so this bounds the broadcast to ~100 MB; larger change sets go
+# through a shuffle join.  Streams keep micro-batches under it with
+# ``maxFilesPerTrigger``.
+BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def _jvm_path(spark: SparkSession, path: str):
@@ -69,6 +75,7 @@ class VersionedTable:
         self.sequence_by = list(sequence_by)
         self.buckets = buckets
         self.properties = dict(properties or {})
+        self._last_change_rows = 0
 
     # -- versions ---------------------------------------------------------
     def _map_path(self, version: int) -> str:
@@ -126,17 +133,30 @@ class VersionedTable:
         """Merge ``changes`` (any number of rows per key) into a new
         version.  Only touched buckets are read and rewritten."""
         latest = latest_per_key(changes, self.keys, self.sequence_by)
-        return self.merge(latest, lambda cur, chg: merge_latest(cur, chg, self.keys, self.sequence_by))
+        return self.merge(latest, lambda cur, chg: merge_latest(
+            cur, chg, self.keys, self.sequence_by, broadcast_changes=self._last_change_rows <= BROADCAST_ROW_LIMIT,
+            changes_deduped=True), cluster_output=False)
 
-    def merge(self, changes: DataFrame, combine) -> int:
+    def merge(self, changes: DataFrame, combine, cluster_output: bool = True) -> int:
         """Merge with a custom rule: ``combine(current_rows, changes)`` gets
         the stored rows of the touched buckets and the change rows and
-        returns the new rows of those buckets (e.g. additive counters)."""
-        latest = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+        returns the new rows of those buckets (e.g. additive counters).
+
+        Only the change set is shuffled (clustered by bucket, so its rows
+        land in one file per bucket).  With ``cluster_output=False`` the
+        merged rows are written where they are: stored rows keep the
+        partitioning of the bucket files they were read from, so the stored
+        side is never shuffled — at the price of more, smaller files, which
+        :meth:`compact` folds back."""
+        latest = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets)).repartition(BUCKET_COL)
         latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            # at most `buckets` values come back to the driver
-            touched = sorted(r[0] for r in latest.select(BUCKET_COL).distinct().collect())
+            # one row per touched bucket comes back (≤ `buckets`): which
+            # buckets to rewrite, and the change-set size that decides
+            # whether the change side may be broadcast
+            per_bucket = latest.groupBy(BUCKET_COL).count().collect()
+            touched = sorted(r[0] for r in per_bucket)
+            self._last_change_rows = sum(r[1] for r in per_bucket)
             if not touched:
                 return self.latest_version()
             prev = self.latest_version()
@@ -147,22 +167,39 @@ class VersionedTable:
                 merged = combine(current, latest)
                 if BUCKET_COL not in merged.columns:
                     merged = merged.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+                if cluster_output:
+                    merged = merged.repartition(BUCKET_COL)
             else:
                 merged = latest
-            new = prev + 1
-            (merged.repartition(BUCKET_COL).write.mode("overwrite")
-                   .partitionBy(BUCKET_COL).parquet(f"{self.path}/v{new:06d}"))
-            buckets = dict(bmap["buckets"])
-            buckets.update({str(b): new for b in touched})
-            schema = merged.drop(BUCKET_COL).schema.json()
-            _write_text(self.spark, self._map_path(new), json.dumps({
-                "version": new, "buckets": buckets, "schema": schema,
-                "committed_at": time.time(), "properties": self.properties,
-                "touched_buckets": len(touched)}))
-            return new
+            return self._commit(prev, bmap, merged, touched)
         finally:
             latest.unpersist()
 
+    def _commit(self, prev: int, bmap: dict, merged: DataFrame, touched: Sequence[int]) -> int:
+        new = prev + 1
+        (merged.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{self.path}/v{new:06d}"))
+        buckets = dict(bmap["buckets"])
+        buckets.update({str(b): new for b in touched})
+        schema = merged.drop(BUCKET_COL).schema.json()
+        # the bucket map is written last: readers never see a half version
+        _write_text(self.spark, self._map_path(new), json.dumps({
+            "version": new, "buckets": buckets, "schema": schema,
+            "committed_at": time.time(), "properties": self.properties,
+            "touched_buckets": len(touched)}))
+        return new
+
+    def compact(self, buckets: Sequence[int] | None = None) -> int:
+        """Rewrite (some) buckets as one file each — the maintenance pass for
+        tables written with ``cluster_output=False``.  A new version; older
+        ones stay readable until vacuumed."""
+        prev = self.latest_version()
+        bmap = self._bucket_map(prev)
+        chosen = sorted(int(b) for b in bmap["buckets"]) if buckets is None else list(buckets)
+        if not chosen:
+            return prev
+        data = self.read(prev, chosen).withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+        return self._commit(prev, bmap, data.repartition(BUCKET_COL), chosen)
+
     def vacuum(self, keep_versions: int) -> list[int]:
         """Drop version folders no longer referenced by the last
         ``keep_versions`` versions (retention of the time-travel window)."""

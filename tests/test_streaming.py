@@ -153,3 +153,13 @@ def test_transition_rows(spark):
     ev = spark.createDataFrame([("s1", "succeeded"), ("s2", "failed"), ("s3", "dispatched")], "step string, to_status string")
     out = {r["step"]: r["applied"] for r in transition_rows(cur, ev, "step").collect()}
     assert out == {"s1": True, "s2": False, "s3": False}
+
+
+def test_compact_keeps_rows(spark, tmp_root):
+    t = VersionedTable(spark, f"{tmp_root}/vt3", ["k"], [F.col("s")], buckets=4)
+    t.upsert(spark.range(0, 500).selectExpr("id AS k", "0 AS s").repartition(5))
+    t.upsert(spark.range(250, 750).selectExpr("id AS k", "1 AS s").repartition(7))
+    before = sorted(tuple(r) for r in t.read().collect())
+    assert len(before) == 750 and sum(1 for r in before if r[1] == 1) == 500
+    t.compact()
+    assert sorted(tuple(r) for r in t.read().collect()) == before
