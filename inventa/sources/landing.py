@@ -158,7 +158,14 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
     column only the date level is written (run history, S23)."""
     spark = df.sparkSession
     staging = f"{root.rstrip('/')}/.staging-{entity.replace('/', '_')}-{run_id}"
-    out = df if num_files is None else df.repartition(num_files)
+    if num_files is not None:
+        out = df.repartition(num_files)  # round-robin chunks
+    else:
+        # range-partition on (tenant, date, row hash): each task holds a
+        # contiguous slice, so it writes few files, and a tenant holding a
+        # third of the rows is still split over many tasks
+        groups = [F.col(c) for c in (tenant_col, date_col) if c is not None]
+        out = df.repartitionByRange(*groups, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     parts = [c for c in (tenant_col, date_col) if c is not None]
     (out.write.mode("overwrite").partitionBy(*parts)
         .option("compression", "none").json(staging))
