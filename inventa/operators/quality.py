@@ -96,6 +96,52 @@ def verify_membership(pairs: DataFrame, memberships: DataFrame, keys: Sequence[s
     return pairs.join(m, list(keys), "left").withColumn("is_member", F.coalesce("is_member", F.lit(False)))
 
 
+def required_fields(df: DataFrame, fields: Sequence[str], item: Column, rule: str = "missing_field") -> DataFrame:
+    """V3/V4: a row missing (NULL or blank) one of ``fields``; one violation
+    per missing field."""
+    out = None
+    for f in fields:
+        v = violations(df, rule, item, F.coalesce(F.trim(F.col(f).cast("string")) == "", F.lit(True)), F.lit(f))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+def tenant_rules(tenants: DataFrame, key: str = "tenant_key",
+                 required: Sequence[str] = ("tenant_id", "admin_url"),
+                 auth_required: Sequence[str] = ("client_id", "cert_name")) -> DataFrame:
+    """V3: tenant keys unique (case-insensitive) and the identity and
+    storage-auth fields present."""
+    item = F.col(key)
+    present = [f for f in (*required, *auth_required) if f in tenants.columns]
+    out = duplicate_names(tenants.withColumn("_all", F.lit("tenants")), ["_all"], key, "duplicate_tenant")
+    if present:
+        out = out.unionByName(required_fields(tenants, present, item))
+    return out
+
+
+def job_rules(jobs: DataFrame, entities: DataFrame, tenants: DataFrame, job: str = "name",
+              tier_col: str = "tier", mode_col: str = "tenant_mode", tenant_list_col: str = "tenant_keys",
+              entity_list_col: str = "include_entities") -> DataFrame:
+    """A job's referenced entities and tenants exist, its tier is
+    1-5, and a ``specific``/``all_except`` tenant mode comes with a list."""
+    from inventa.operators.runs import TENANT_MODES, TIER_RANGE
+    item = F.col(job)
+    lo, hi = TIER_RANGE
+    bad_tier = violations(jobs, "bad_tier", item, F.col(tier_col).isNotNull() & ~F.col(tier_col).between(lo, hi),
+                          F.col(tier_col))
+    bad_mode = violations(jobs, "unknown_tenant_mode", item, ~F.col(mode_col).isin(*TENANT_MODES), F.col(mode_col))
+    needs_list = violations(jobs, "tenant_list_required", item,
+                            F.col(mode_col).isin("specific", "all_except")
+                            & F.coalesce(F.size(F.col(tenant_list_col)) == 0, F.lit(True)))
+    ents = jobs.select(item.alias("_job"), F.explode_outer(entity_list_col).alias("_e")).filter("_e IS NOT NULL")
+    unknown_e = ents.join(entities.select(F.col("name").alias("_e")), "_e", "left_anti").select(
+        F.lit("unknown_entity").alias("rule"), F.col("_job").cast("string").alias("item"), F.col("_e").alias("detail"))
+    tens = jobs.select(item.alias("_job"), F.explode_outer(tenant_list_col).alias("_t")).filter("_t IS NOT NULL")
+    unknown_t = tens.join(tenants.select(F.col("tenant_key").alias("_t")), "_t", "left_anti").select(
+        F.lit("unknown_tenant").alias("rule"), F.col("_job").cast("string").alias("item"), F.col("_t").alias("detail"))
+    return bad_tier.unionByName(bad_mode).unionByName(needs_list).unionByName(unknown_e).unionByName(unknown_t)
+
+
 def domain_violations(df: DataFrame, column: str, allowed: Sequence[str], item: Column, rule: str) -> DataFrame:
     """V8: CHECK constraint — a value outside its allowed set."""
     return violations(df, rule, item, ~F.col(column).isin(*allowed) | F.col(column).isNull(), F.col(column))

@@ -205,6 +205,19 @@ class VersionedTable:
         ``keep_versions`` versions (retention of the time-travel window)."""
         vs = self.versions()
         keep = vs[-keep_versions:] if keep_versions > 0 else vs[-1:]
+        return self._drop_except(vs, keep)
+
+    def vacuum_older_than(self, days: float, now: float | None = None) -> list[int]:
+        """Keep every version committed in the last ``days`` days (and
+        always the latest) — bronze keeps 90 days, silver 7."""
+        cutoff = (now if now is not None else time.time()) - days * 86400
+        vs = self.versions()
+        keep = [n for n in vs if self._bucket_map(n)["committed_at"] >= cutoff] or vs[-1:]
+        if vs and vs[-1] not in keep:
+            keep.append(vs[-1])
+        return self._drop_except(vs, keep)
+
+    def _drop_except(self, vs: list[int], keep: list[int]) -> list[int]:
         referenced = set(keep)
         for n in keep:
             referenced.update(self._bucket_map(n)["buckets"].values())
