@@ -86,6 +86,18 @@ def test_pipeline(spark, tmp_root):
     runs = read_silver(spark, lake, "orchestrator_runs").first()
     assert runs["tenant_count"] == 2 and "tenant_key" not in read_silver(spark, lake, "orchestrator_runs").columns
 
+    # statistics for m2 land later: the stream does not re-emit m2, a rebuild does
+    land(L, "exo_mailboxes", "t1", "2024-01-02/statistics", "chunk-000_r2.jsonl", [
+        {"MailboxGuid": "m2", "ItemCount": "5", "TotalItemSize": "2 MB (2,097,152 bytes)"}])
+    run_pipeline(spark, L, lake, bronze_names=["exo_mailbox_statistics"], silver_names=[])
+    from inventa.streaming.silver_views import rebuild
+    from inventa.sources.landing import infer_schema
+    from inventa.specs import BRONZE
+    spec = BRONZE["exo_mailboxes"].with_schema(infer_schema(spark, L, "exo_mailboxes"))
+    rebuild(spark, lake, "mailboxes", bronze_spec=spec)
+    mbx = {r["exchange_guid"]: r["stat_item_count"] for r in read_silver(spark, lake, "mailboxes").collect()}
+    assert mbx == {"m1": 12, "m2": 5}
+
     # a second landing run updates one user; the other keys stay
     land(L, "entra_users", "t1", "2024-01-02", "entra_users_r2.jsonl", [{"id": "u1", "mail": "new@x.com"}])
     run_pipeline(spark, L, lake, bronze_names=["entra_users"], silver_names=["users"])
