@@ -110,6 +110,37 @@ def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_json(data).alias("data_json"))
 
 
+@register("worker_merge", sql="""
+WITH w AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS st,
+                  arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS pr
+           FROM orders GROUP BY 1)
+SELECT c.c_custkey,
+       COALESCE(w.pr, c.c_mktsegment) AS segment_or_priority,
+       COALESCE(w.st, 'none') AS status,
+       c.c_name AS name,
+       CASE WHEN w.o_custkey IS NULL THEN 0 ELSE 2 END AS n_worker_keys
+FROM customer c LEFT JOIN w ON c.c_custkey = w.o_custkey
+""")
+def worker_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member data (customer row) overlaid with the worker output of
+    its latest order (worker wins on a shared key); malformed worker JSON
+    would count as an empty map."""
+    c = table(spark, sf_dir, "customer")
+    latest = (table(spark, sf_dir, "orders").groupBy("o_custkey")
+              .agg(F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey"))
+                   .alias("o")))
+    worker_json = F.to_json(F.create_map(F.lit("segment"), F.col("o.o_orderpriority"),
+                                         F.lit("status"), F.col("o.o_orderstatus")))
+    x = c.join(latest, c.c_custkey == latest.o_custkey, "left")
+    member = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("status"), F.lit("none"),
+                          F.lit("name"), F.col("c_name"))
+    worker = F.when(F.col("o_custkey").isNotNull(), J.parse_string_map(worker_json)).otherwise(
+        J.parse_string_map(F.lit("not json")))
+    merged = J.merge_worker_data(member, worker)
+    return x.select("c_custkey", merged["segment"].alias("segment_or_priority"), merged["status"].alias("status"),
+                    merged["name"].alias("name"), F.size(worker).alias("n_worker_keys"))
+
+
 @register("template_params", sql="""
 SELECT o_orderkey,
   'mbx-' || CAST(o_custkey AS VARCHAR) AS p_mailbox,
