@@ -163,3 +163,26 @@ def test_compact_keeps_rows(spark, tmp_root):
     assert len(before) == 750 and sum(1 for r in before if r[1] == 1) == 500
     t.compact()
     assert sorted(tuple(r) for r in t.read().collect()) == before
+
+
+def test_result_state_batches_matches_batch_reducer(spark, tmp_root):
+    from inventa.streaming.reducers import apply_result_batch, result_state_batches
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    kind = (F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failure")
+             .when(F.col("event_type") == "view", "polling").otherwise("heartbeat"))
+    src = e.select(F.col("user_id").cast("string").alias("user_id"), "ts", "event_id", kind.alias("kind"))
+    # three time slices, one file each, arriving in time order
+    for i, (lo, hi) in enumerate((("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-20"), ("2024-01-20", "2024-02-01"))):
+        src.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.parquet(f"{tmp_root}/res/p={i}")
+        time.sleep(0.05)
+    t = VersionedTable(spark, f"{tmp_root}/state", ["user_id"], [F.col("_batch")], buckets=4)
+    stream = (spark.readStream.schema(src.schema.add("p", "integer")).option("maxFilesPerTrigger", 1)
+              .parquet(f"{tmp_root}/res"))
+    result_state_batches(stream.drop("p"), t, "user_id", ["ts", "event_id"], "kind", f"{tmp_root}/ck")
+    got = {r["user_id"]: (r["status"], r["n_applied"], r["n_ignored"]) for r in t.read().collect()}
+    want = {r["user_id"]: (r["final_status"], r["n_applied"], r["n_ignored"])
+            for r in reduce_results(src, ["user_id"], ["ts", "event_id"], "kind").collect()}
+    assert got == want
+    assert len(t.versions()) == 3
+    # a replayed batch id is skipped
+    assert apply_result_batch(t, src, 2, "user_id", ["ts", "event_id"], "kind") is False
