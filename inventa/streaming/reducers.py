@@ -187,12 +187,22 @@ def checkin_stream(spark: SparkSession, checkins: DataFrame, target: VersionedTa
             F.max_by(value_col, F.col(ts_col)).alias("last_value"))
 
         def combine(cur: DataFrame, chg: DataFrame) -> DataFrame:
-            both = cur.select(*keys, "check_in_count", "last_check_in", "last_value").unionByName(
-                chg.select(*keys, "check_in_count", "last_check_in", "last_value"))
-            return both.groupBy(*keys).agg(
-                F.sum("check_in_count").alias("check_in_count"), F.max("last_check_in").alias("last_check_in"),
-                F.max_by("last_value", F.col("last_check_in")).alias("last_value"))
-        target.merge(agg, combine)
+            # joins keyed by the (counted) change set: stored rows that did
+            # not change stream through untouched; matched ones add up
+            from inventa.sources.tables import BROADCAST_ROW_LIMIT, BUCKET_COL
+            small = F.broadcast if target._last_change_rows <= BROADCAST_ROW_LIMIT else (lambda d: d)
+            cols = ["check_in_count", "last_check_in", "last_value"]
+            c = chg.select(*keys, *[F.col(x).alias(f"_n_{x}") for x in cols])
+            matched = cur.select(*keys, *cols).join(small(c), keys, "inner")
+            newer = F.col("_n_last_check_in") >= F.col("last_check_in")
+            updated = matched.select(
+                *keys, (F.col("check_in_count") + F.col("_n_check_in_count")).alias("check_in_count"),
+                F.greatest("last_check_in", "_n_last_check_in").alias("last_check_in"),
+                F.when(newer, F.col("_n_last_value")).otherwise(F.col("last_value")).alias("last_value"))
+            fresh = chg.select(*keys, *cols).join(updated.select(*keys), keys, "left_anti")
+            kept = cur.drop(BUCKET_COL).join(small(chg.select(*keys)), keys, "left_anti")
+            return kept.select(*keys, *cols).unionByName(updated).unionByName(fresh)
+        target.merge(agg, combine, cluster_output=False)
 
     q = (checkins.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
