@@ -105,3 +105,20 @@ def test_pipeline(spark, tmp_root):
     assert users == {("t1", "u1"): "new@x.com", ("t1", "u2"): None, ("t2", "u1"): None}
     assert "users" in register_views(spark, lake, ["users"])
     assert spark.sql("SELECT count(*) FROM silver_users").first()[0] == 3
+
+
+def test_wide_keys_keep_both_rows(spark, tmp_root):
+    L, lake = f"{tmp_root}/landing", f"{tmp_root}/lake"
+    land(L, "spo_sites", "t1", "2024-01-01/permissions", "chunk-000_r1.jsonl", [
+        {"siteUrl": "https://t1/s", "admins": [],
+         "groups": [{"id": "1", "title": "Owners", "members": [{"loginName": "bob"}]},
+                    {"id": "2", "title": "Members", "members": [{"loginName": "bob"}]}]}])
+    run_pipeline(spark, L, lake, bronze_names=["spo_site_permissions"], silver_names=["spo_site_permission_principals"])
+    assert read_silver(spark, lake, "spo_site_permission_principals").count() == 1  # the reference's lossy key
+    lake2 = f"{tmp_root}/lake2"
+    run_pipeline(spark, L, lake2, bronze_names=["spo_site_permissions"], silver_names=["spo_site_permission_principals"],
+                 wide_key=True)
+    from inventa.streaming.silver import silver_table
+    from inventa.streaming.silver_views import silver_spec
+    t = silver_table(spark, f"{lake2}/silver", silver_spec("spo_site_permission_principals", wide_key=True))
+    assert sorted(r["group_title"] for r in t.read().collect()) == ["Members", "Owners"]
