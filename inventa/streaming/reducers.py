@@ -174,6 +174,59 @@ def apply_result_batch(target: VersionedTable, batch: DataFrame, batch_id: int,
     return True
 
 
+RUN_STATE = "started_ms long, tasks string"
+RUN_OUT = "run_id string, run_status string, n_tasks int, n_timed_out int, finished_by string"
+BAD = ("failed", "timeout", "dispatch_failed")
+OPEN = ("pending", "running", "dispatched")
+
+
+def _run_status(statuses: list[str]) -> str:
+    bad = [s in BAD for s in statuses]
+    return "failed" if bad and all(bad) else "completed_with_errors" if any(bad) else "completed"
+
+
+def run_tracker_stream(task_events: DataFrame, run_col: str = "run_id", task_col: str = "task_id",
+                       status_col: str = "status", ts_col: str = "ts", timeout_hours: int = 8,
+                       watermark: str = "10 minutes") -> DataFrame:
+    """T18 on a stream: per run, the latest status of each task (a run has
+    tenants × containers tasks, so its state is small); when every task is
+    finished the run is finalised (A11); when the event-time watermark
+    passes start + ``timeout_hours`` first, open tasks become ``timeout``
+    and the run is finalised by the timer."""
+
+    def track(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import json as _json
+        if state.hasTimedOut:
+            started, tasks = state.get
+            tasks = _json.loads(tasks)
+            timed = [t for t, s in tasks.items() if s in OPEN]
+            for t in timed:
+                tasks[t] = "timeout"
+            state.remove()
+            yield pd.DataFrame({"run_id": [str(key[0])], "run_status": [_run_status(list(tasks.values()))],
+                                "n_tasks": [len(tasks)], "n_timed_out": [len(timed)], "finished_by": ["timer"]})
+            return
+        started, tasks = (state.get[0], _json.loads(state.get[1])) if state.exists else (None, {})
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts_col, task_col], kind="mergesort")
+        for task, status in zip(batch[task_col], batch[status_col]):
+            tasks[str(task)] = status
+        first_ms = int(pd.Timestamp(batch[ts_col].min()).value // 1_000_000)
+        started = first_ms if started is None else min(int(started), first_ms)
+        if tasks and all(s not in OPEN for s in tasks.values()):
+            state.remove()
+            yield pd.DataFrame({"run_id": [str(key[0])], "run_status": [_run_status(list(tasks.values()))],
+                                "n_tasks": [len(tasks)], "n_timed_out": [0], "finished_by": ["tasks"]})
+            return
+        state.update((started, _json.dumps(tasks)))
+        state.setTimeoutTimestamp(started + timeout_hours * 3_600_000)
+
+    src = (task_events.withWatermark(ts_col, watermark)
+           .select(F.col(run_col).cast("string").alias(run_col), F.col(task_col).cast("string").alias(task_col),
+                   status_col, ts_col))
+    return src.groupBy(run_col).applyInPandasWithState(track, RUN_OUT, RUN_STATE, "append",
+                                                       GroupStateTimeout.EventTimeTimeout)
+
+
 def checkin_stream(spark: SparkSession, checkins: DataFrame, target: VersionedTable, keys: Sequence[str],
                    ts_col: str, value_col: str, checkpoint: str) -> VersionedTable:
     """One availableNow update of the check-in status table:
