@@ -107,3 +107,42 @@ def new_batch_status(has_init_steps: Column) -> Column:
 def batch_id_for(runbook: str | Column, batch_time: str | Column) -> Column:
     """Set-based batch ids without identity columns (see README)."""
     return F.xxhash64(_c(runbook), _c(batch_time))
+
+
+def detect_batches(rows: DataFrame, runbook: str, member_key: str, batch_time: str | Column,
+                   existing_batches: DataFrame, stored_members: DataFrame, phases: Column,
+                   has_init_steps: bool = False) -> dict[str, DataFrame]:
+    """One pass of batch detection over a query result.
+
+    * rows are grouped by their (lenient) batch time; a group whose batch id
+      is not stored yet is a new batch — with its member snapshot and one
+      pending phase execution per runbook phase (``phases`` is a literal
+      array of ``struct(phase_name, offset_minutes)``);
+    * for stored batches the member diff (added / removed) is returned.
+
+    Everything is joins and aggregates; nothing is collected."""
+    parsed = rows.withColumn("_bt", lenient_timestamp(_c(batch_time).cast("string"))).filter(F.col("_bt").isNotNull())
+    keyed = parsed.withColumn("batch_id", batch_id_for(F.lit(runbook), F.col("_bt")))
+    known = existing_batches.select("batch_id").distinct()
+    fresh_rows = keyed.join(known, "batch_id", "left_anti")
+    new_batches = (fresh_rows.groupBy("batch_id", F.col("_bt").alias("batch_start_time"))
+                   .agg(F.countDistinct(key_norm(member_key)).alias("n_members"))
+                   .withColumn("runbook", F.lit(runbook))
+                   .withColumn("status", new_batch_status(F.lit(has_init_steps))))
+    new_members = (fresh_rows.select("batch_id", key_norm(member_key).alias("member_key")).distinct()
+                   .withColumn("status", F.lit("active")))
+    new_phases = (new_batches.select("batch_id", "batch_start_time", F.explode(phases).alias("_p"))
+                  .select("batch_id", F.col("_p.phase_name").alias("phase_name"),
+                          F.col("_p.offset_minutes").alias("offset_minutes"),
+                          F.timestamp_add("MINUTE", -F.col("_p.offset_minutes"), F.col("batch_start_time")).alias("due_at"),
+                          F.lit("pending").alias("status")))
+    current = keyed.join(known, "batch_id", "left_semi")
+    stored = stored_members.join(known, "batch_id", "left_semi")
+    cur = current.select("batch_id", key_norm(member_key).alias("member_key")).distinct().withColumn("_c", F.lit(True))
+    sto = stored.select("batch_id", key_norm("member_key").alias("member_key")).distinct().withColumn("_s", F.lit(True))
+    changes = (cur.join(sto, ["batch_id", "member_key"], "full_outer")
+               .select("batch_id", "member_key", F.when(F.col("_s").isNull(), F.lit("added"))
+                       .when(F.col("_c").isNull(), F.lit("removed")).alias("change"))
+               .filter(F.col("change").isNotNull()))
+    return {"new_batches": new_batches, "new_members": new_members, "new_phases": new_phases,
+            "member_changes": changes}

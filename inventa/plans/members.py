@@ -144,6 +144,53 @@ def member_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.add_members(req, _active_members(spark, sf_dir), "c_name", "member_key", ["c_mktsegment"])
 
 
+DETECT_CUTOFF = "2024-01-10"
+
+
+@register("batch_detection", sql=f"""
+WITH r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS m, CAST(ts AS DATE) AS d FROM events),
+     nb AS (SELECT d, COUNT(*) AS n FROM r WHERE d >= DATE '{DETECT_CUTOFF}' GROUP BY d),
+     cur AS (SELECT d, m FROM r WHERE d < DATE '{DETECT_CUTOFF}'),
+     sto AS (SELECT CAST(d + INTERVAL 1 DAY AS DATE) AS d, m FROM r
+             WHERE d + INTERVAL 1 DAY < DATE '{DETECT_CUTOFF}'
+               AND CAST(d + INTERVAL 1 DAY AS DATE) IN (SELECT d FROM cur)),
+     ch AS (SELECT d, 'added' AS kind FROM (SELECT d, m FROM cur EXCEPT SELECT d, m FROM sto)
+            UNION ALL SELECT d, 'removed' FROM (SELECT d, m FROM sto EXCEPT SELECT d, m FROM cur))
+SELECT 'new_batch' AS kind, strftime(d, '%Y-%m-%d') AS batch_date, n FROM nb
+UNION ALL SELECT 'phases', strftime(d, '%Y-%m-%d'), CAST(3 AS BIGINT) FROM nb
+UNION ALL SELECT kind, strftime(d, '%Y-%m-%d'), COUNT(*) FROM ch GROUP BY kind, d
+""")
+def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One detection pass — event rows grouped into daily
+    batches; days before the cut-off are stored batches (their stored
+    members are the previous day's users), later days become new batches
+    with a member snapshot and the runbook's three valid phases."""
+    from inventa.plans.columns import RUNBOOK_PHASES
+    from inventa.functions.durations import lenient_timestamp, offset_minutes
+    e = table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    rows = e.select(F.col("user_id").cast("string").alias("member"),
+                    F.date_format(day, "yyyy-MM-dd 00:00:00").alias("bt"), day.alias("d"))
+    bid = M.batch_id_for(F.lit("rb"), lenient_timestamp(F.col("bt")))
+    old = rows.filter(F.col("d") < F.lit(DETECT_CUTOFF).cast("date"))
+    existing = old.select(bid.alias("batch_id"), "d").distinct()
+    prev = old.select("member", F.date_add("d", 1).alias("d")).filter(F.col("d") < F.lit(DETECT_CUTOFF).cast("date"))
+    stored = prev.join(existing, "d").select("batch_id", F.col("member").alias("member_key"))
+    phases = F.array(*[F.struct(F.lit(n).alias("phase_name"), offset_minutes(F.lit(o)).alias("offset_minutes"))
+                       for n, o in RUNBOOK_PHASES if o != "T-1.5d"])
+    out = M.detect_batches(rows, "rb", "member", "bt", existing, stored, phases)
+    nb = out["new_batches"].select(F.lit("new_batch").alias("kind"),
+                                   F.date_format("batch_start_time", "yyyy-MM-dd").alias("batch_date"),
+                                   F.col("n_members").alias("n"))
+    ph = (out["new_phases"].join(out["new_batches"].select("batch_id", "batch_start_time"), "batch_id")
+          .groupBy(F.date_format("batch_start_time", "yyyy-MM-dd").alias("batch_date"))
+          .agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("phases")))
+    ch = (out["member_changes"].join(existing, "batch_id")
+          .groupBy(F.col("change").alias("kind"), F.date_format("d", "yyyy-MM-dd").alias("batch_date"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    return nb.unionByName(ph).unionByName(ch)
+
+
 @register("active_members", sql="""
 SELECT l_orderkey AS batch_id, COUNT(*) AS n_active_members
 FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1
