@@ -315,6 +315,41 @@ def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", "o_orderkey", F.col("_e.text").alias("step_text")))
 
 
+# The phase's steps: (name, parameter template).
+DUE_STEPS = (("create_mailbox", "New-Mailbox -Name {{c_name}}"),
+             ("set_segment", "Set-Segment {{c_mktsegment}} -Batch {{_batch_id}}"),
+             ("notify", "Send-Mail {{manager_email}}"))
+
+
+@register("phase_due_steps", sql="""
+SELECT c_custkey, s.idx AS step_index, s.name AS step_name,
+       CASE WHEN s.idx = 2 AND NOT (c_acctbal > 0) THEN 'failed' ELSE 'pending' END AS status,
+       CASE s.idx WHEN 0 THEN 'New-Mailbox -Name ' || c_name
+                  WHEN 1 THEN 'Set-Segment ' || c_mktsegment || ' -Batch ' || CAST(c_nationkey AS VARCHAR)
+                  ELSE CASE WHEN c_acctbal > 0 THEN 'Send-Mail ' || lower(c_name) || '@mgr.com' END END AS params,
+       CASE WHEN s.idx = 2 AND NOT (c_acctbal > 0) THEN 'unresolved: manager_email' END AS error
+FROM customer, (VALUES (0, 'create_mailbox'), (1, 'set_segment'), (2, 'notify')) s(idx, name)
+""")
+def phase_due_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A due phase creates one step execution per member
+    (customer, batch = nation) and step; parameters are expanded from the
+    member's data; a step whose template does not resolve is created
+    ``failed`` with the unresolved names (members without a manager)."""
+    c = table(spark, sf_dir, "customer")
+    data = F.map_filter(
+        F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), F.col("c_mktsegment"),
+                     F.lit("manager_email"), F.concat(F.lower("c_name"), F.lit("@mgr.com"))),
+        lambda k, v: (k != "manager_email") | (F.col("c_acctbal") > 0))
+    steps = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("template")) for n, t in DUE_STEPS])
+    x = PH.with_step_index(c.withColumn("_data", data), steps)
+    e = TP.expand(F.col("step.template"), F.col("_data"), batch_id=F.col("c_nationkey"))
+    bad = F.size(e.unresolved) > 0
+    return x.select("c_custkey", "step_index", F.col("step.name").alias("step_name"),
+                    F.when(bad, F.lit("failed")).otherwise(F.lit("pending")).alias("status"),
+                    F.when(~bad, e.text).alias("params"),
+                    F.when(bad, F.concat(F.lit("unresolved: "), F.array_join(e.unresolved, ","))).alias("error"))
+
+
 REMOVAL_STEPS = ("remove_license", "notify_owner")
 
 
