@@ -93,6 +93,34 @@ def result_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RS.reduce_results(e.withColumn("kind", kind), ["user_id"], ["ts", "event_id"], "kind", max_retries=2)
 
 
+@register("result_outputs", sql="""
+WITH last_ok AS (SELECT user_id, arg_max(props, (ts, event_id)) AS props FROM events
+                 WHERE event_type = 'purchase' GROUP BY 1)
+SELECT c.c_custkey AS member_id, c.c_mktsegment AS segment,
+       CAST(json_extract(l.props, '$.k') AS VARCHAR) AS mailbox_guid,
+       l.user_id IS NULL AS output_missing
+FROM customer c LEFT JOIN last_ok l ON c.c_custkey = l.user_id
+""")
+def result_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each member's latest successful result (a purchase;
+    the field name's case varies) yields output parameter ``MailboxGuid ←
+    k``, merged into the member's worker data (worker wins); members with no
+    result get a warning flag."""
+    from inventa.functions import jsonmap as J
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    # half of the results spell the field ``K``: the lookup is case-insensitive
+    result = F.when(F.col("event_id") % 2 == 0, F.regexp_replace("props", '"k"', '"K"')).otherwise(F.col("props"))
+    last = e.groupBy("user_id").agg(F.max_by(result, F.struct("ts", "event_id")).alias("result"))
+    c = table(spark, sf_dir, "customer")
+    x = c.join(last, c.c_custkey == last.user_id, "left")
+    worker = F.when(F.col("result").isNotNull(),
+                    F.create_map(F.lit("MailboxGuid"), J.json_field_ci(F.col("result"), F.lit("k"))))
+    member = F.create_map(F.lit("segment"), F.col("c_mktsegment"))
+    merged = J.merge_worker_data(member, F.coalesce(worker, F.create_map().cast("map<string,string>")))
+    return x.select(F.col("c_custkey").alias("member_id"), merged["segment"].alias("segment"),
+                    merged["MailboxGuid"].alias("mailbox_guid"), F.col("result").isNull().alias("output_missing"))
+
+
 @register("migration_progress", sql="""
 SELECT lower(c_mktsegment) || '.example.com' AS domain, COUNT(*) AS n_devices,
        COUNT(*) FILTER (WHERE c_acctbal > 5000) AS n_migrated
