@@ -193,7 +193,11 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
                     continue
                 base = entity.rsplit("/", 1)[-1]
                 stem = f"{chunk_prefix}-{i:03d}" if chunk_prefix else f"{base}_{i:05d}"
-                fs.rename(fstat.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{run_id}.jsonl"))
+                dst = jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{run_id}.jsonl")
+                if fs.exists(dst):
+                    # a rerun of the same run id after a failure replaces its own file
+                    fs.delete(dst, False)
+                fs.rename(fstat.getPath(), dst)
                 i += 1
     fs.delete(jstaging, True)
 
