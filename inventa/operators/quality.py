@@ -132,7 +132,8 @@ def job_rules(jobs: DataFrame, entities: DataFrame, tenants: DataFrame, job: str
     bad_mode = violations(jobs, "unknown_tenant_mode", item, ~F.col(mode_col).isin(*TENANT_MODES), F.col(mode_col))
     needs_list = violations(jobs, "tenant_list_required", item,
                             F.col(mode_col).isin("specific", "all_except")
-                            & F.coalesce(F.size(F.col(tenant_list_col)) == 0, F.lit(True)))
+                            & F.coalesce(F.when(F.col(tenant_list_col).isNotNull(),
+                                                F.size(F.col(tenant_list_col))) == 0, F.lit(True)))
     ents = jobs.select(item.alias("_job"), F.explode_outer(entity_list_col).alias("_e")).filter("_e IS NOT NULL")
     unknown_e = ents.join(entities.select(F.col("name").alias("_e")), "_e", "left_anti").select(
         F.lit("unknown_entity").alias("rule"), F.col("_job").cast("string").alias("item"), F.col("_e").alias("detail"))

@@ -178,7 +178,8 @@ def multi_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     fmt = F.when(F.col("lang") == "fr", F.lit(J.SEMICOLON)).otherwise(F.lit(J.COMMA))
     parts = J.multi_value_array(F.col("text"), fmt)
-    return d.select("doc_id", F.size(parts).alias("n_parts"),
+    from inventa.functions.numeric import size_or_null
+    return d.select("doc_id", size_or_null(parts).alias("n_parts"),
                     F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)).alias("part_chars"))
 
 
