@@ -5,7 +5,7 @@ filled by the operator modules and added to the driver contract by
 ``__spark_entry__``.
 """
 
-from inventa.llm import chat, decontaminate, langid, quality  # noqa: F401
+from inventa.llm import chat, decontaminate, fingerprint, langid, quality  # noqa: F401
 from inventa.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
