@@ -5,7 +5,7 @@ filled by the operator modules and added to the driver contract by
 ``__spark_entry__``.
 """
 
-from inventa.llm import bpe, chat, decontaminate, fingerprint, langid, pii, quality, secrets  # noqa: F401
+from inventa.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, pii, quality, secrets  # noqa: F401
 from inventa.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
