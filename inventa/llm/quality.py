@@ -2,9 +2,11 @@
 
 Two bag-of-hashed-n-gram models (word and symbol-run unigrams and bigrams in
 ``buckets`` buckets) are counted: one over labelled good texts (target), one
-over all texts (raw).  A text's log importance weight is the sum over its
-n-grams of ``log p_target - log p_raw``.  With Gumbel noise added, the k largest
-keys are kept: a draw without replacement in proportion to the weights.  k is
+over all texts (raw).  A text's log importance weight is the mean over its
+n-grams of ``log p_target - log p_raw``, for a text of ``STANDARD`` n-grams (a
+plain sum lets the length decide where the labels are few).  With Gumbel noise
+added, the k largest keys are kept: a draw without replacement in proportion to
+the weights.  k is
 the number of texts whose own weight reaches the cut that best separates the
 labelled texts held out of the target model.
 
@@ -33,6 +35,7 @@ from inventa.session import table
 BUCKETS = 1 << 16
 LABEL_BOUND = 40_000
 SMOOTHING = 1.0
+STANDARD = 300
 SYMBOL = ~(T.ALNUM | ~T.NON_SPACE)
 
 
@@ -101,6 +104,7 @@ def _scored(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             for doc, bucket in features(texts, len(shared.value)):
                 size += np.bincount(doc, minlength=len(texts))
                 weight += np.bincount(doc, weights=shared.value[bucket], minlength=len(texts))
+            weight *= STANDARD / np.maximum(size, 1)
             draw = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=6, key=b"%d" % seed).digest(), "big")
                              for t in texts], dtype=np.float64)
             key = weight - np.log(-np.log((draw + 0.5) / 2.0**48)) + 0.0
