@@ -121,8 +121,12 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_size: int = SAMPLE_SIZE
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, total = _document_frequencies(known, buckets)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    # a language's rows are thinned by id hash before they are ranked, so that a
+    # common language does not meet in one task
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    thin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * (4.0 * sample_size) / F.col("size")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").withColumn("r", F.row_number().over(first))
+    chosen = (known.select("doc_id", "lang").join(sizes, "lang").where(thin).withColumn("r", F.row_number().over(first))
               .where(F.col("r") <= sample_size).select("doc_id", "lang").distinct())
     shared = train.sparkSession.sparkContext.broadcast(idf)
 
