@@ -69,12 +69,14 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of a's shingles that b has (1 for an empty a)."""
+    """Estimated share of a's shingles that b has: 1 for an empty a, null where
+    none of a's hashes lies in the range that b's sketch covers."""
     top = F.least(*[F.when(F.size(x) < k, F.lit(2**63 - 1)).otherwise(F.coalesce(F.get(x, F.size(x) - 1), F.lit(0)))
                     for x in (a, b)])
     return let(top, lambda t: let(
         F.filter(a, lambda x: x <= t),
-        lambda low: F.when(F.size(low) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(low, b)) / F.size(low))))
+        lambda low: F.when(F.size(a) == 0, F.lit(1.0)).when(
+            F.size(low) > 0, F.size(F.array_intersect(low, b)) / F.size(low))))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
