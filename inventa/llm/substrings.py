@@ -132,7 +132,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 for w in found.as_py():
                     at, low, high = w["place"] >> 20, w["place"] >> 10 & 1023, w["place"] & 1023
                     out["uid"].append(uid.as_py())
-                    out["lead"].append(raw[at:at + LEAD])
+                    out["lead"].append(raw[at:at + min(LEAD, gram)])
                     out["content"].append(raw[at - high:at - low + length])
                     for k in ("place", "gram", "n", "m"):
                         out[k].append(w[k])
