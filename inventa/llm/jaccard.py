@@ -8,9 +8,9 @@ computed in blocks and cut down by bounds that lose no pair:
    sets that link must share one of their first ``n - ceil(t n) + 1`` grams.
    Only those prefix entries are shuffled; grams of one class are dropped, and
    of grams shared by the same classes one is kept.
-3. Grams of at most ``SMALL`` classes: pairs of fitting size and of a 512-bit
-   parity sketch (whose distance bounds the symmetric difference from below)
-   are checked on their whole sets.
+3. Grams of at most ``SMALL`` classes: pairs of fitting size whose 2,048-bit
+   parity sketches are close enough (their distance bounds the symmetric
+   difference from below) are checked on their whole sets.
 4. Grams of more classes: the classes are dealt into blocks of about ``BLOCK``;
    each block's overlap counts are accumulated as a matrix product and only a
    spanning set of links leaves the task.  Then only classes outside the
@@ -41,7 +41,7 @@ from inventa.session import table
 
 SMALL = 64
 BLOCK = 512
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 _SHIFT = np.uint64(48)
 
 
@@ -120,20 +120,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def build(batches):
         import pyarrow as pa
 
+        seen = set()  # a repeated row joins in the same task
         for batch in T.sliced(batches):
-            sets = list(gram_sets(T.as_bytes(batch.column(1)), width))
-            own = np.array([len(s) > 0 and class_id(s) == k for s, k in zip(sets, batch.column(0).to_pylist())], dtype=bool)
+            sets, nodes = list(gram_sets(T.as_bytes(batch.column(1)), width)), batch.column(0).to_pylist()
+            own = np.array([len(s) > 0 and class_id(s) == k and not (k in seen or seen.add(k))
+                            for s, k in zip(sets, nodes)], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(own)), pa.array([s.tobytes() for s, k in zip(sets, own) if k], pa.binary())],
                 ["node", "grams"])
 
     w = wanted.select("node", F.col("doc_id").alias("wanted_id"))
     texts = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    return (texts.select("node", "text").mapInArrow(build, "node long, grams binary").groupBy("node")
-            .agg(F.any_value("grams").alias("grams")))
+    return texts.select("node", "text").mapInArrow(build, "node long, grams binary")
 
 
-def _linked(a: int, b: int, common, percent: int):
+def _linked(a, b, common, percent: int):
+    """Whether sets of sizes a and b with so many common members link."""
     return 100 * common >= percent * (a + b - common)
 
 
@@ -262,21 +264,23 @@ def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
                .agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"),
                     F.any_value("prefix").alias("prefix")))
     classes = stored(classes, "classes")
-    entries = classes.select("node", F.explode("prefix").alias("key"))
+    entries = classes.select("node", "n", F.explode("prefix").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "keys")
-    entries = stored(entries.join(shared, "key"), "entries")
+    entries = stored(entries.join(shared, "key"), "entries")  # key, node, n
     groups = (entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
               .groupBy("m", "h").agg(F.min("key").alias("key")).select("key", "m"))
     kept = stored(entries.join(groups, "key"), "groups")
 
-    small = kept.where(F.col("m") <= SMALL).select("key", "node")
-    small = stored(small.join(classes.select("node", "n", "sketch"), "node"), "small")
+    small = kept.where(F.col("m") <= SMALL)
     a, b = small.alias("a"), small.alias("b")
-    apart = sum((F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     fits = ((F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-            & (apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)))
-    pairs = stored(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+            & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
+    sized = stored(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "sized")
+    bits = classes.select("node", "n", "sketch")
+    both = (sized.join(bits.toDF("a", "na", "sa"), "a").join(bits.toDF("b", "nb", "sb"), "b"))
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    close = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    pairs = stored(both.where(close).select("a", "b"), "pairs")
 
     large = kept.where(F.col("m") > SMALL).select("key", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
