@@ -87,11 +87,18 @@ def json_field_ci(result_json: str | Column, field: str | Column) -> Column:
 
 
 def still_polling(status: str | Column, result_json: str | Column) -> Column:
-    """a Success result whose ``complete`` field is boolean false."""
-    comp = json_field_ci(result_json, "complete")
-    return F.coalesce((_c(status) == "Success") & (comp == "false"), F.lit(False))
+    """a Success result whose ``complete`` field is the JSON boolean
+    false (the text ``"false"`` is not)."""
+    fields = F.from_json(_c(result_json), "map<string,variant>")
+    hit = F.map_values(F.map_filter(fields, lambda k, _v: F.lower(k) == "complete"))
+    comp = F.try_element_at(hit, F.lit(1))
+    return F.coalesce((_c(status) == "Success") & (F.schema_of_variant(comp) == "BOOLEAN")
+                      & (F.to_json(comp) == "false"), F.lit(False))
 
 
 def final_result(result_json: str | Column) -> Column:
-    """the ``data`` field when present, else the whole result."""
-    return F.coalesce(json_field_ci(result_json, "data"), _c(result_json))
+    """the ``data`` field when present (NULL for a JSON null), else the
+    whole result."""
+    fields = F.from_json(_c(result_json), STRING_MAP)
+    present = F.exists(F.map_keys(fields), lambda k: F.lower(k) == "data")
+    return F.when(present, json_field_ci(result_json, "data")).otherwise(_c(result_json))

@@ -1,7 +1,7 @@
 """Phase and step progression.
 
 Orderings inside a member or batch are expressed as aggregates over structs
-(``min(struct(order…))``) and joins instead of windows over the whole group:
+(``min(struct(order…))``) instead of windows over the whole group:
 hash aggregation combines map-side, so a batch holding a third of all rows is
 never sorted or buffered in one task.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Step and phase status vocabulary.
@@ -19,7 +19,7 @@ STEP_FAILED = "failed"
 STEP_PENDING = "pending"
 STEP_IN_PROGRESS = ("dispatched", "polling")
 STEP_CANCELLED = "cancelled"
-STEP_TERMINAL = ("succeeded", "failed", "cancelled", "skipped", "rolled_back", "superseded")
+STEP_OPEN = (STEP_PENDING, *STEP_IN_PROGRESS)
 PHASE_WAITING = ("pending", "dispatched")
 PHASE_COMPLETED = "completed"
 PHASE_FAILED = "failed"
@@ -99,32 +99,41 @@ def batch_outcome(phases: DataFrame, batch_keys: Sequence[str], status_col: str
 
 def first_and_next_phase(phases: DataFrame, batch_keys: Sequence[str], order_by: Sequence[str],
                          status_col: str = "status") -> DataFrame:
-    """Per batch, the first pending phase in ``order_by`` (offset
-    ascending, as the reference orders), the phase right after it, and
-    whether an earlier phase is still dispatched (which blocks it)."""
-    o = _order_struct(order_by)
-    first = (phases.filter(F.col(status_col) == "pending").groupBy(*batch_keys)
-             .agg(F.min(o).alias("_first")))
-    later = (phases.withColumn("_o", o).join(first, list(batch_keys))
-             .filter(F.col("_o") > F.col("_first"))
-             .groupBy(*batch_keys).agg(F.min("_o").alias("_next")))
-    blocked = (phases.withColumn("_o", o).join(first, list(batch_keys))
-               .filter((F.col("_o") < F.col("_first")) & (F.col(status_col) == "dispatched"))
-               .select(*batch_keys).distinct().withColumn("blocked", F.lit(True)))
-    out = first.join(later, list(batch_keys), "left").join(blocked, list(batch_keys), "left")
+    """Per batch that has a pending or dispatched phase, the first
+    pending phase in ``order_by`` (whose first column is the offset), the next
+    pending one of greater offset, whether a phase of strictly smaller offset
+    is still dispatched (``blocked``), and whether any is (``in_progress``).
+
+    Phases are combined per batch, status and offset first; the two smallest
+    offsets are kept by a ranked window, which Spark cuts map-side, so a batch
+    holding most phases never meets whole in one task."""
+    offset = order_by[0]
+    keys = list(batch_keys)
+    per_offset = (phases.filter(F.col(status_col).isin(STEP_PENDING, "dispatched"))
+                  .groupBy(*keys, F.col(status_col).alias("_s"), F.col(offset).alias("_off"))
+                  .agg(F.min(_order_struct(order_by)).alias("_o")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_off"))
+    two = per_offset.withColumn("_r", rank).filter(F.col("_r") <= 2)
+    pending = F.col("_s") == STEP_PENDING
+    out = two.groupBy(*keys).agg(
+        F.min(F.when(pending & (F.col("_r") == 1), F.col("_o"))).alias("_first"),
+        F.min(F.when(pending & (F.col("_r") == 2), F.col("_o"))).alias("_next"),
+        F.min(F.when(~pending, F.col("_off"))).alias("_busy"))
     cols = [F.col(f"_first._o{i}").alias(f"first_{c}") for i, c in enumerate(order_by)]
     cols += [F.col(f"_next._o{i}").alias(f"next_{c}") for i, c in enumerate(order_by)]
-    return out.select(*batch_keys, *cols, F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    return out.select(*keys, *cols, F.coalesce(F.col("_busy") < F.col("_first._o0"), F.lit(False)).alias("blocked"),
+                      F.col("_busy").isNotNull().alias("in_progress"))
 
 
 def cancel_open_steps(steps: DataFrame, failed_members: DataFrame, member_keys: Sequence[str],
                       status_col: str = "status") -> DataFrame:
-    """Every non-terminal step of a failed (or removed) member, in
-    all phases, becomes ``cancelled``."""
+    """Every open step (pending, dispatched, polling) of a failed or
+    removed member, in all phases, becomes ``cancelled``; all other states,
+    ``poll_timeout`` among them, are final."""
     flagged = steps.join(failed_members.select(*member_keys).distinct().withColumn("_hit", F.lit(True)),
                          list(member_keys), "left")
     st = F.col(status_col)
-    new = F.when(F.col("_hit") & ~st.isin(*STEP_TERMINAL), F.lit(STEP_CANCELLED)).otherwise(st)
+    new = F.when(F.col("_hit") & st.isin(*STEP_OPEN), F.lit(STEP_CANCELLED)).otherwise(st)
     return flagged.withColumn(status_col, new).drop("_hit")
 
 
@@ -160,9 +169,14 @@ def pending_and_due(phases: DataFrame, as_of: Column, status_col: str = "status"
     return phases.filter((F.col(status_col) == "pending") & (F.col(due_col) <= as_of))
 
 
-def manual_advance_decision(has_pending_init: Column, first_pending: Column, blocked: Column) -> Column:
-    """What an operator's 'advance' does for a manual batch."""
-    return (F.when(has_pending_init, F.lit("dispatch_init"))
+def manual_advance_decision(init_pending: Column, init_running: Column, first_pending: Column, blocked: Column,
+                            in_progress: Column) -> Column:
+    """What an operator's 'advance' does for a manual batch: start its
+    init steps, wait for them, dispatch the first pending phase unless an
+    earlier one runs, and complete only when no phase is pending or running."""
+    return (F.when(init_pending, F.lit("dispatch_init"))
+             .when(init_running, F.lit("wait_init"))
+             .when(first_pending.isNull() & F.coalesce(in_progress, F.lit(False)), F.lit("wait"))
              .when(first_pending.isNull(), F.lit("completed"))
              .when(blocked, F.lit("wait"))
              .otherwise(F.lit("dispatch_phase")))

@@ -117,9 +117,8 @@ def duplicates(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 
 def next_version(versions: DataFrame, name: str, version: str) -> DataFrame:
-    """Next version = max + 1 per name; how many older rows get
-    deactivated."""
-    top = versions.groupBy(name).agg(F.max(version).alias("_max"))
-    return (versions.join(top, name)
-            .groupBy(name).agg((F.max(version) + 1).alias("next_version"),
-                               F.count_if(F.col(version) < F.col("_max")).alias("n_deactivated")))
+    """Next version = max + 1 per name; publishing it deactivates every
+    row below it, the current top version included.  One partial aggregate,
+    no join: a name holding most rows is combined map-side."""
+    return versions.groupBy(name).agg((F.max(version) + 1).alias("next_version"),
+                                      F.count(F.lit(1)).alias("n_deactivated"))

@@ -302,14 +302,15 @@ def name_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (
   SELECT event_id, event_type, props,
          CASE WHEN event_type = 'error' THEN 'Failure' ELSE 'Success' END AS status,
-         CASE WHEN event_type = 'view' THEN '{"Complete": false, "K": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'
+         CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN '{"complete": "false", "k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'
+              WHEN event_type = 'view' THEN '{"Complete": false, "K": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'
               WHEN event_type = 'click' THEN '{"data": {"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}}'
               ELSE props END AS result
   FROM events
 )
 SELECT event_id,
   CASE WHEN event_type = 'click' THEN NULL ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS k_value,
-  (status = 'Success' AND event_type = 'view') AS still_polling,
+  (status = 'Success' AND event_type = 'view' AND event_id % 5 <> 0) AS still_polling,
   CASE WHEN event_type = 'click' THEN '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' ELSE result END AS final_result
 FROM r
 """)
@@ -318,7 +319,9 @@ def output_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     output field ``k``, still-polling test, final result (``data`` or whole)."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
-    result = (F.when(F.col("event_type") == "view", F.concat(F.lit('{"Complete": false, "K": '), k, F.lit("}")))
+    result = (F.when((F.col("event_type") == "view") & (F.col("event_id") % 5 == 0),
+                     F.concat(F.lit('{"complete": "false", "k": '), k, F.lit("}")))
+               .when(F.col("event_type") == "view", F.concat(F.lit('{"Complete": false, "K": '), k, F.lit("}")))
                .when(F.col("event_type") == "click", F.concat(F.lit('{"data": {"k": '), k, F.lit("}}")))
                .otherwise(F.col("props")))
     status = F.when(F.col("event_type") == "error", "Failure").otherwise("Success")

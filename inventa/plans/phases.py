@@ -168,10 +168,9 @@ WITH p AS ({MANUAL_PHASES_SQL}),
              SELECT p.batch_id, p.offset_minutes AS off, p.o_orderkey AS k,
                     row_number() OVER (PARTITION BY p.batch_id ORDER BY p.offset_minutes, p.o_orderkey) AS rn
              FROM p JOIN f ON p.batch_id = f.batch_id
-             WHERE p.offset_minutes > f.f_off OR (p.offset_minutes = f.f_off AND p.o_orderkey > f.f_key)) WHERE rn = 1),
+             WHERE p.status = 'pending' AND p.offset_minutes > f.f_off) WHERE rn = 1),
      b AS (SELECT DISTINCT p.batch_id FROM p JOIN f ON p.batch_id = f.batch_id
-           WHERE p.status = 'dispatched'
-             AND (p.offset_minutes < f.f_off OR (p.offset_minutes = f.f_off AND p.o_orderkey < f.f_key)))
+           WHERE p.status = 'dispatched' AND p.offset_minutes < f.f_off)
 SELECT f.batch_id, f.f_off AS first_offset_minutes, f.f_key AS first_o_orderkey,
        n.n_off AS next_offset_minutes, n.n_key AS next_o_orderkey, b.batch_id IS NOT NULL AS blocked
 FROM f LEFT JOIN n ON f.batch_id = n.batch_id LEFT JOIN b ON f.batch_id = b.batch_id"""
@@ -180,30 +179,34 @@ FROM f LEFT JOIN n ON f.batch_id = n.batch_id LEFT JOIN b ON f.batch_id = b.batc
 @register("first_next_phase", sql=FIRST_NEXT_SQL)
 def first_next_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch (customer) the first pending phase (order) by
-    offset ascending, the phase after it, and whether an earlier phase is
-    still dispatched."""
-    return PH.first_and_next_phase(manual_phases(spark, sf_dir), ["batch_id"], ["offset_minutes", "o_orderkey"])
+    offset ascending, the next pending one of greater offset, and whether a
+    phase of smaller offset is still dispatched."""
+    found = PH.first_and_next_phase(manual_phases(spark, sf_dir), ["batch_id"], ["offset_minutes", "o_orderkey"])
+    return found.filter(F.col("first_o_orderkey").isNotNull()).drop("in_progress")
 
 
 @register("manual_advance", sql=f"""
 WITH x AS ({FIRST_NEXT_SQL}),
-     bt AS (SELECT DISTINCT o_custkey AS batch_id FROM orders)
+     bt AS (SELECT batch_id, bool_or(status = 'dispatched') AS running FROM ({MANUAL_PHASES_SQL}) GROUP BY 1)
 SELECT bt.batch_id,
        CASE WHEN c.c_acctbal < 0 THEN 'dispatch_init'
+            WHEN c.c_acctbal < 1000 THEN 'wait_init'
+            WHEN x.batch_id IS NULL AND bt.running THEN 'wait'
             WHEN x.batch_id IS NULL THEN 'completed'
             WHEN x.blocked THEN 'wait' ELSE 'dispatch_phase' END AS decision
 FROM bt JOIN customer c ON bt.batch_id = c.c_custkey LEFT JOIN x ON bt.batch_id = x.batch_id
 """)
 def manual_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The advance decision of a manual batch (init pending when the
-    customer balance is negative)."""
+    customer balance is negative, running when it is below 1000)."""
     phases = manual_phases(spark, sf_dir)
     fn = PH.first_and_next_phase(phases, ["batch_id"], ["offset_minutes", "o_orderkey"])
     batches = phases.select("batch_id").distinct()
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), "c_acctbal")
     x = batches.join(cust, "batch_id").join(fn, "batch_id", "left")
-    return x.select("batch_id", PH.manual_advance_decision(F.col("c_acctbal") < 0, F.col("first_o_orderkey"),
-                                                           F.col("blocked")).alias("decision"))
+    return x.select("batch_id", PH.manual_advance_decision(
+        F.col("c_acctbal") < 0, F.col("c_acctbal") < 1000, F.col("first_o_orderkey"), F.col("blocked"),
+        F.col("in_progress")).alias("decision"))
 
 
 @register("init_steps", sql=f"""

@@ -173,14 +173,15 @@ def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("version_next", sql="""
-WITH m AS (SELECT o_orderpriority, max(o_custkey) AS mx FROM orders GROUP BY 1)
-SELECT o.o_orderpriority, max(o.o_custkey) + 1 AS next_version,
-       COUNT(*) FILTER (WHERE o.o_custkey < m.mx) AS n_deactivated
-FROM orders o JOIN m USING (o_orderpriority) GROUP BY 1
+WITH n AS (SELECT o_orderpriority, max(o_custkey) + 1 AS next_version FROM orders GROUP BY 1)
+SELECT n.o_orderpriority, n.next_version,
+       (SELECT COUNT(*) FROM orders o WHERE o.o_orderpriority = n.o_orderpriority
+          AND o.o_custkey < n.next_version) AS n_deactivated
+FROM n
 """)
 def version_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publishing a runbook (priority) gets version max+1; older
-    versions are deactivated."""
+    """Publishing a runbook (priority) gets version max+1; all
+    versions below it are deactivated."""
     return R.next_version(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
 
 

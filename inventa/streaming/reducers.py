@@ -24,7 +24,7 @@ from inventa.sources.tables import VersionedTable
 
 RESULT_STATE = "status string, failures int, n_applied long, n_ignored long"
 RESULT_OUT = "step_key string, final_status string, failures int, n_applied long, n_ignored long"
-TERMINAL = ("succeeded", "failed")
+TERMINAL = ("succeeded", "failed", "poll_timeout", "cancelled")
 
 # Allowed step status transitions (from, to).
 STEP_TRANSITIONS = (

@@ -91,15 +91,31 @@ def test_first_and_next_phase(spark):
         ("b", 0, 1, "completed"), ("b", 60, 2, "dispatched"), ("b", 1440, 3, "pending"), ("b", 7200, 4, "pending"),
     ], "batch string, offset_minutes int, id int, status string")
     r = PH.first_and_next_phase(p, ["batch"], ["offset_minutes", "id"]).first()
-    assert (r["first_offset_minutes"], r["next_offset_minutes"], r["blocked"]) == (1440, 7200, True)
+    assert (r["first_offset_minutes"], r["next_offset_minutes"], r["blocked"], r["in_progress"]) == (1440, 7200, True, True)
+    p = spark.createDataFrame([
+        ("b", 60, 1, "dispatched"), ("b", 60, 2, "pending"), ("b", 60, 3, "pending"), ("b", 90, 4, "completed"),
+        ("c", 10, 5, "dispatched"), ("c", 5, 6, "completed"),
+    ], "batch string, offset_minutes int, id int, status string")
+    got = {r["batch"]: tuple(r)[1:] for r in PH.first_and_next_phase(p, ["batch"], ["offset_minutes", "id"]).collect()}
+    assert got == {"b": (60, 2, None, None, False, True), "c": (None, None, None, None, False, True)}
+
+
+def test_manual_advance_decision(spark):
+    rows = spark.createDataFrame([
+        (True, False, 1, False, False), (False, True, 1, False, False), (False, False, None, False, True),
+        (False, False, None, False, False), (False, False, 1, True, True), (False, False, 1, False, True),
+        (False, False, None, None, None)], "a boolean, b boolean, f int, bl boolean, p boolean")
+    c = F.col
+    got = [r["d"] for r in rows.select(PH.manual_advance_decision(c("a"), c("b"), c("f"), c("bl"), c("p")).alias("d")).collect()]
+    assert got == ["dispatch_init", "wait_init", "wait", "completed", "wait", "dispatch_phase", "completed"]
 
 
 def test_cancel_open_steps(spark):
-    s = spark.createDataFrame([("m1", "pending"), ("m1", "succeeded"), ("m1", "polling"), ("m2", "pending")],
+    s = spark.createDataFrame([("m1", "pending"), ("m1", "succeeded"), ("m1", "polling"), ("m1", "poll_timeout"), ("m2", "pending")],
                               "m string, status string")
     failed = spark.createDataFrame([("m1",)], "m string")
     out = sorted((r["m"], r["status"]) for r in PH.cancel_open_steps(s, failed, ["m"]).collect())
-    assert out == [("m1", "cancelled"), ("m1", "cancelled"), ("m1", "succeeded"), ("m2", "pending")]
+    assert out == [("m1", "cancelled"), ("m1", "cancelled"), ("m1", "poll_timeout"), ("m1", "succeeded"), ("m2", "pending")]
 
 
 def _fold(kinds, max_retries=2):
