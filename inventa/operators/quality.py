@@ -28,54 +28,86 @@ def duplicate_names(df: DataFrame, scope: Sequence[str], name: str, rule: str =
     return g.select(F.lit(rule).alias("rule"), item.alias("item"), F.col("_c").cast("string").alias("detail"))
 
 
-def step_rules(steps: DataFrame, runbook: str, step: str, function: str, offset: str | None = None,
-               poll_interval: str | None = None, poll_timeout: str | None = None,
+def _blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c) == "", F.lit(True))
+
+
+def _listed(df: DataFrame, item: Column, checks: Sequence[tuple[str, Column, Column | None]]) -> DataFrame:
+    """One row per failed check ``(rule, condition, detail)``: all checks of a
+    row are one array, exploded, so the input is read once."""
+    found = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"), item.cast("string").alias("item"),
+                                            (F.lit(None) if detail is None else detail).cast("string").alias("detail")))
+                      for rule, cond, detail in checks])
+    return df.select(F.explode(F.array_compact(found)).alias("v")).select("v.*")
+
+
+def step_rules(steps: DataFrame, runbook: str, step: str, function: str, worker: str | None = None,
+               offset: str | None = None, poll_interval: str | None = None, poll_timeout: str | None = None,
                params_template: str | None = None, rollback: str | None = None,
-               known_rollbacks: DataFrame | None = None) -> DataFrame:
-    """Runbook step rules — required fields, duplicate step
-    names, offsets, poll settings, template braces, unknown rollbacks."""
+               known_rollbacks: DataFrame | None = None, output_params: str | None = None) -> DataFrame:
+    """Runbook step rules: required name, worker and function,
+    duplicate step names, phase offsets, poll settings (both required and each
+    a duration, in any relation), template braces, output parameters (a map
+    whose keys and values must not be blank), unknown rollbacks."""
     item = F.concat_ws("/", F.col(runbook).cast("string"), F.col(step).cast("string"))
-    out = [
-        violations(steps, "missing_name", item, F.coalesce(F.trim(F.col(step)) == "", F.lit(True))),
-        violations(steps, "missing_function", item, F.coalesce(F.trim(F.col(function)) == "", F.lit(True))),
-        duplicate_names(steps, [runbook], step, "duplicate_step"),
-    ]
+    checks: list[tuple[str, Column, Column | None]] = [
+        ("missing_name", _blank(F.col(step)), None), ("missing_function", _blank(F.col(function)), None)]
+    if worker is not None:
+        checks.append(("missing_worker", _blank(F.col(worker)), None))
     if offset is not None:
-        out.append(violations(steps, "bad_offset", item, ~offset_publishable(F.col(offset)) | offset_minutes(F.col(offset)).isNull(),
-                              F.col(offset)))
+        bad = F.coalesce(~offset_publishable(F.col(offset)), F.lit(True)) | offset_minutes(F.col(offset)).isNull()
+        checks += [("missing_offset", _blank(F.col(offset)), None),
+                   ("bad_offset", ~_blank(F.col(offset)) & bad, F.col(offset))]
     if poll_interval is not None and poll_timeout is not None:
-        iv, to = duration_seconds(F.col(poll_interval)), duration_seconds(F.col(poll_timeout))
         polling = F.col(poll_interval).isNotNull() | F.col(poll_timeout).isNotNull()
-        out.append(violations(steps, "bad_poll", item,
-                              polling & (iv.isNull() | to.isNull() | (iv <= 0) | (to <= iv))))
+        for name, c in (("poll_interval", F.col(poll_interval)), ("poll_timeout", F.col(poll_timeout))):
+            checks += [(f"missing_{name}", polling & _blank(c), None),
+                       (f"bad_{name}", ~_blank(c) & duration_seconds(c).isNull(), c)]
     if params_template is not None:
         err = brace_balance_error(F.col(params_template))
-        out.append(violations(steps, "template_braces", item, err.isNotNull(), err))
+        checks.append(("template_braces", err.isNotNull(), err))
+    if output_params is not None:
+        entries = F.map_entries(F.col(output_params))
+        checks += [("blank_output_param", F.coalesce(F.exists(entries, lambda e: _blank(e.key)), F.lit(False)), None),
+                   ("blank_output_field", F.coalesce(F.exists(entries, lambda e: _blank(e.value)), F.lit(False)), None)]
+    out = _listed(steps, item, checks).unionByName(duplicate_names(
+        steps.filter(~_blank(F.col(step))), [runbook], step, "duplicate_step"))
     if rollback is not None and known_rollbacks is not None:
         rb = known_rollbacks.select(F.col(rollback).alias("_rb")).distinct()
-        x = steps.filter(F.col(rollback).isNotNull()).join(rb, F.col(rollback) == F.col("_rb"), "left_anti")
-        out.append(x.select(F.lit("unknown_rollback").alias("rule"), item.alias("item"),
-                            F.col(rollback).cast("string").alias("detail")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        x = steps.filter(~_blank(F.col(rollback))).join(rb, F.col(rollback) == F.col("_rb"), "left_anti")
+        out = out.unionByName(x.select(F.lit("unknown_rollback").alias("rule"), item.alias("item"),
+                                       F.col(rollback).cast("string").alias("detail")))
+    return out
+
+
+def phase_rules(runbooks: DataFrame, phases: DataFrame, runbook: str, phase: str, offset: str, n_steps: str) -> DataFrame:
+    """V6: a runbook has at least one phase; a phase has a name unique in its
+    runbook (letter case aside), a publishable offset and at least one step."""
+    item = F.concat_ws("/", F.col(runbook).cast("string"), F.col(phase).cast("string"))
+    o = F.col(offset)
+    bad = F.coalesce(~offset_publishable(o), F.lit(True)) | offset_minutes(o).isNull()
+    own = _listed(phases, item, [
+        ("missing_phase_name", _blank(F.col(phase)), None), ("missing_offset", _blank(o), None),
+        ("bad_offset", ~_blank(o) & bad, o), ("no_steps", F.coalesce(F.col(n_steps), F.lit(0)) == 0, None)])
+    none = (runbooks.select(runbook).distinct().join(phases.select(runbook).distinct(), runbook, "left_anti")
+            .select(F.lit("no_phases").alias("rule"), F.col(runbook).cast("string").alias("item"),
+                    F.lit(None).cast("string").alias("detail")))
+    twice = duplicate_names(phases.filter(~_blank(F.col(phase))), [runbook], phase, "duplicate_phase")
+    return own.unionByName(none).unionByName(twice)
 
 
 def expected_columns(steps: DataFrame, runbook: str, template: str, key_column: Column,
                      output_params: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """Per runbook, the member columns a CSV must carry: the key, extra
-    (batch time, multi-valued) columns and every template variable, minus
-    output parameters and ``_``-prefixed names."""
-    vars_ = steps.select(F.col(runbook), F.explode(template_variables(F.col(template))).alias("column_name"))
-    keys = steps.select(F.col(runbook), key_column.alias("column_name"))
-    cols = vars_.unionByName(keys)
-    for e in extra:
-        cols = cols.unionByName(steps.select(F.col(runbook), F.lit(e).alias("column_name")))
-    cols = cols.filter(~F.col("column_name").startswith("_"))
+    """Per runbook, the member columns a CSV must carry: the key and extra
+    (batch time, multi-valued) columns as they are, and every template variable
+    that is neither an output parameter nor ``_``-prefixed.  Names that differ
+    in letter case alone are one column, spelt as the first in order."""
+    found = F.filter(template_variables(F.col(template)), lambda v: ~v.startswith("_"))
     if output_params:
-        cols = cols.filter(~F.lower("column_name").isin(*[o.lower() for o in output_params]))
-    return cols.distinct()
+        found = F.filter(found, lambda v: ~F.lower(v).isin(*[o.lower() for o in output_params]))
+    named = F.concat(F.array(key_column, *[F.lit(e) for e in extra]), F.coalesce(found, F.array().cast("array<string>")))
+    cols = steps.select(F.col(runbook), F.explode(named).alias("column_name")).filter(F.col("column_name").isNotNull())
+    return cols.groupBy(runbook, F.lower("column_name").alias("_l")).agg(F.min("column_name").alias("column_name")).drop("_l")
 
 
 def attribute_mismatches(expected: DataFrame, current: DataFrame, key: str, attr: str,

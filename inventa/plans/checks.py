@@ -206,11 +206,11 @@ def folder_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("expected_columns", sql=r"""
 WITH v AS (SELECT p_brand, unnest(string_split(p_name, ' ')) AS column_name FROM part
-           UNION ALL SELECT p_brand, '_batch_id' FROM part
-           UNION ALL SELECT p_brand, 'user_id' FROM part
-           UNION ALL SELECT p_brand, 'migration_date' FROM part)
-SELECT DISTINCT p_brand AS runbook, column_name FROM v
-WHERE NOT starts_with(column_name, '_') AND lower(column_name) NOT IN ('ring')
+           UNION ALL SELECT p_brand, '_batch_id' FROM part),
+     c AS (SELECT p_brand, column_name FROM v WHERE NOT starts_with(column_name, '_') AND lower(column_name) NOT IN ('ring')
+           UNION ALL SELECT p_brand, '_key' FROM part UNION ALL SELECT p_brand, 'migration_date' FROM part
+           UNION ALL SELECT p_brand, 'Migration_Date' FROM part)
+SELECT p_brand AS runbook, min(column_name) AS column_name FROM c GROUP BY p_brand, lower(column_name)
 """)
 def expected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns a member CSV must have per runbook (brand): key, batch
@@ -218,41 +218,79 @@ def expected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     and built-ins."""
     p = table(spark, sf_dir, "part").withColumn(
         "tmpl", F.concat(F.lit("{{_batch_id}} {{"), F.regexp_replace("p_name", " ", "}} {{"), F.lit("}}")))
-    cols = Q.expected_columns(p, "p_brand", "tmpl", F.lit("user_id"), output_params=["ring"],
-                              extra=["migration_date"])
+    cols = Q.expected_columns(p, "p_brand", "tmpl", F.lit("_key"), output_params=["ring"],
+                              extra=["migration_date", "Migration_Date"])
     return cols.select(F.col("p_brand").alias("runbook"), "column_name")
 
 
 @register("runbook_rules", sql="""
-WITH s AS (SELECT p_brand, p_name, p_type, p_size,
+WITH s AS (SELECT p_brand, p_name, p_type, p_size, p_partkey,
                   'T-' || CAST(p_size - 25 AS VARCHAR) || 'd' AS off, lower(p_type) AS rb FROM part)
 SELECT 'duplicate_step' AS rule, p_brand || '/' || lower(p_name) AS item, CAST(COUNT(*) AS VARCHAR) AS detail
 FROM s GROUP BY p_brand, lower(p_name) HAVING COUNT(*) > 1
 UNION ALL
+SELECT 'missing_worker', p_brand || '/' || p_name, NULL FROM s WHERE p_partkey % 11 IN (0, 1)
+UNION ALL
 SELECT 'bad_offset', p_brand || '/' || p_name, off FROM s WHERE p_size <= 25
 UNION ALL
-SELECT 'bad_poll', p_brand || '/' || p_name, NULL FROM s WHERE p_size > 40
+SELECT 'missing_poll_timeout', p_brand || '/' || p_name, NULL FROM s WHERE p_size > 40 AND p_size % 4 = 0
+UNION ALL
+SELECT 'bad_poll_timeout', p_brand || '/' || p_name, 'soon' FROM s WHERE p_size > 40 AND p_size % 4 = 1
+UNION ALL
+SELECT 'missing_poll_interval', p_brand || '/' || p_name, NULL FROM s WHERE p_size = 40
 UNION ALL
 SELECT 'template_braces', p_brand || '/' || p_name, 'unexpected closing braces' FROM s WHERE p_size % 10 = 0
 UNION ALL
+SELECT 'blank_output_param', p_brand || '/' || p_name, NULL FROM s WHERE p_partkey % 13 = 0
+UNION ALL
+SELECT 'blank_output_field', p_brand || '/' || p_name, NULL FROM s WHERE p_partkey % 17 = 0
+UNION ALL
 SELECT 'unknown_rollback', p_brand || '/' || p_name, rb FROM s WHERE rb NOT IN ('economy', 'standard')
 """)
 def runbook_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runbook step rules over parts as steps (runbook =
-    brand, step = name, function = type): duplicates, offsets that cannot
-    be published, poll settings, template braces, unknown rollbacks."""
+    brand, step = name, function = type): duplicates, workers, offsets that
+    cannot be published, poll settings (a timeout below the interval is
+    allowed), template braces, output parameters, unknown rollbacks."""
     p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
     steps = p.select(
         "p_brand", "p_name", "p_type",
-        F.concat(F.lit("T-"), (F.col("p_size") - 25).cast("string"), F.lit("d")).alias("offset"),
-        F.when(F.col("p_size") > 40, F.concat(F.col("p_size").cast("string"), F.lit("m"))).alias("poll_interval"),
-        F.when(F.col("p_size") > 40, F.lit("30m")).alias("poll_timeout"),
-        F.when(F.col("p_size") % 10 == 0, F.lit("{{a}} }}")).otherwise(F.lit("{{a}}")).alias("tmpl"),
-        F.lower("p_type").alias("rollback"))
+        F.when(key % 11 == 0, F.lit(" ")).when(key % 11 != 1, F.lit("worker-1")).alias("worker"),
+        F.concat(F.lit("T-"), (size - 25).cast("string"), F.lit("d")).alias("offset"),
+        F.when(size > 40, F.concat(size.cast("string"), F.lit("m"))).alias("poll_interval"),
+        F.when((size > 40) & (size % 4 == 1), F.lit("soon")).when((size >= 40) & ((size % 4 != 0) | (size == 40)), F.lit("5m"))
+        .alias("poll_timeout"),
+        F.when(size % 10 == 0, F.lit("{{a}} }}")).otherwise(F.lit("{{a}}")).alias("tmpl"),
+        F.lower("p_type").alias("rollback"),
+        F.create_map(F.when(key % 13 == 0, "").otherwise("ring"), F.when(key % 17 == 0, " ").otherwise("value")).alias("outputs"))
     known = steps.select("rollback").filter(F.col("rollback").isin("economy", "standard"))
-    return Q.step_rules(steps, "p_brand", "p_name", "p_type", offset="offset", poll_interval="poll_interval",
-                        poll_timeout="poll_timeout", params_template="tmpl", rollback="rollback",
-                        known_rollbacks=known)
+    return Q.step_rules(steps, "p_brand", "p_name", "p_type", worker="worker", offset="offset",
+                        poll_interval="poll_interval", poll_timeout="poll_timeout", params_template="tmpl",
+                        rollback="rollback", known_rollbacks=known, output_params="outputs")
+
+
+@register("phase_rules", sql="""
+WITH p AS (SELECT o_custkey AS runbook, 'Phase ' || CAST(o_orderkey % 5 AS VARCHAR) AS phase,
+             CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN 'soon'
+                  ELSE 'T-' || CAST(o_orderkey % 7 AS VARCHAR) || 'd' END AS off,
+             o_orderkey % 3 AS n_steps FROM orders)
+SELECT 'missing_offset' AS rule, CAST(runbook AS VARCHAR) || '/' || phase AS item, CAST(NULL AS VARCHAR) AS detail FROM p WHERE off IS NULL
+UNION ALL SELECT 'bad_offset', CAST(runbook AS VARCHAR) || '/' || phase, off FROM p WHERE off = 'soon'
+UNION ALL SELECT 'no_steps', CAST(runbook AS VARCHAR) || '/' || phase, NULL FROM p WHERE n_steps = 0
+UNION ALL SELECT 'no_phases', CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE c_custkey NOT IN (SELECT runbook FROM p)
+UNION ALL SELECT 'duplicate_phase', CAST(runbook AS VARCHAR) || '/' || lower(phase), CAST(count(*) AS VARCHAR)
+          FROM p GROUP BY runbook, lower(phase) HAVING count(*) > 1
+""")
+def phase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: phase rules over orders as phases of their customer's runbook."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    phases = o.select(
+        F.col("o_custkey").alias("runbook"), F.concat(F.lit("Phase "), (k % 5).cast("string")).alias("phase"),
+        F.when(k % 7 == 1, "soon").when(k % 7 != 0, F.concat(F.lit("T-"), (k % 7).cast("string"), F.lit("d"))).alias("offset"),
+        (k % 3).alias("n_steps"))
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("runbook"))
+    return Q.phase_rules(books, phases, "runbook", "phase", "offset", "n_steps")
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

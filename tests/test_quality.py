@@ -43,8 +43,7 @@ def test_step_rules_and_expected_columns(spark):
     rules = sorted(r["rule"] for r in Q.step_rules(steps, "runbook", "step", "fn", offset="offset", poll_interval="pi",
                                                    poll_timeout="pt", params_template="tmpl", rollback="rollback",
                                                    known_rollbacks=known).collect())
-    assert rules == ["bad_offset", "bad_poll", "duplicate_step", "missing_function", "missing_name",
-                     "template_braces", "unknown_rollback"]
+    assert rules == ["bad_offset", "duplicate_step", "missing_function", "missing_name", "template_braces", "unknown_rollback"]
     cols = sorted(r["column_name"] for r in Q.expected_columns(steps, "runbook", "tmpl", F.lit("UserId"),
                                                                output_params=["x"]).collect())
     assert cols == ["User", "UserId"]
