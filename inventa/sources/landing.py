@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,35 +89,40 @@ def infer_schema(spark: SparkSession, root: str, entity: str, detail_type: str |
               .option("samplingRatio", sampling_ratio)
               .json(landing_glob(root, entity, detail_type)))
         schema = df.schema
-        if len(schema.fields) == 0 or schema.fieldNames() == ["_corrupt_record"]:
-            raise ValueError("nothing to infer from")
-        return schema
-    except Exception:
-        if fallback is None:
+    except AnalysisException as e:
+        if fallback is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return fallback
+    schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
+    if not schema.fields:
+        if fallback is None:
+            raise ValueError("nothing to infer from")
+        return fallback
+    return schema
 
 
 def read_landing_rescued(spark: SparkSession, root: str, entity: str, schema: T.StructType,
                          detail_type: str | None = None, file_pattern: str = DEFAULT_FILE_PATTERN,
                          source_system: str = DEFAULT_SOURCE_SYSTEM,
-                         streaming: bool = True) -> DataFrame:
+                         streaming: bool = True, tenant_from_dir: bool = True, levels: int = 2) -> DataFrame:
     """Parse every line with the declared schema and keep the top-level
     fields the schema does not know as a JSON object ``_rescued_data``
-    (NULL when there are none)."""
+    (NULL when there are none).  A line that is no JSON object is kept whole
+    as ``{"_corrupt_record": line}``; blank lines are no records."""
     reader = spark.readStream if streaming else spark.read
     raw = (reader.format("text").option("pathGlobFilter", file_pattern)
-           .load(landing_glob(root, entity, detail_type)))
+           .load(landing_glob(root, entity, detail_type, levels))).where(F.trim("value") != "")
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     as_map = F.from_json(F.col("value"), "map<string,string>")
     extra = F.map_filter(as_map, lambda k, v: ~F.array_contains(known, k))
     parsed = raw.select(
         F.from_json(F.col("value"), schema).alias("_rec"),
-        F.when(F.size(extra) > 0, F.to_json(extra)).alias("_rescued_data"),
+        F.when(F.try_parse_json("value").isNull(), F.to_json(F.struct(F.col("value").alias("_corrupt_record"))))
+         .when(F.size(extra) > 0, F.to_json(extra)).alias("_rescued_data"),
         F.col("_metadata"),
     )
     out = parsed.select("_rec.*", "_rescued_data", "_metadata")
-    return with_metadata(out, source_system).drop("_metadata")
+    return with_metadata(out, source_system, tenant_from_dir).drop("_metadata")
 
 
 def read_legacy_wrapper(spark: SparkSession, path_glob: str, record_schema: T.StructType) -> DataFrame:

@@ -102,7 +102,10 @@ class VersionedTable:
         text = _read_text(self.spark, self._map_path(version))
         if text is None:
             raise FileNotFoundError(f"no version {version} of {self.path}")
-        return json.loads(text)
+        bmap = json.loads(text)
+        # the rows were dealt out by the table's own bucket count, which wins
+        self.buckets = bmap.get("n_buckets", self.buckets)
+        return bmap
 
     def history(self) -> list[dict]:
         return [{k: v for k, v in self._bucket_map(n).items() if k != "schema"} for n in self.versions()]
@@ -126,7 +129,11 @@ class VersionedTable:
             from pyspark.sql.types import StructType
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(bmap["schema"])))
         paths = [f"{self.path}/v{v:06d}/{BUCKET_COL}={b}" for b, v in sorted(wanted.items())]
-        return self.spark.read.parquet(*paths)
+        if bmap["schema"] is None:
+            return self.spark.read.parquet(*paths)
+        # files of older versions may lack columns that came later
+        from pyspark.sql.types import StructType
+        return self.spark.read.schema(StructType.fromJson(json.loads(bmap["schema"]))).parquet(*paths)
 
     # -- writes -----------------------------------------------------------
     def upsert(self, changes: DataFrame) -> int:
@@ -148,6 +155,8 @@ class VersionedTable:
         partitioning of the bucket files they were read from, so the stored
         side is never shuffled — at the price of more, smaller files, which
         :meth:`compact` folds back."""
+        if self.latest_version():
+            self._bucket_map(self.latest_version())  # takes over the stored bucket count
         latest = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets)).repartition(BUCKET_COL)
         latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -183,7 +192,7 @@ class VersionedTable:
         schema = merged.drop(BUCKET_COL).schema.json()
         # the bucket map is written last: readers never see a half version
         _write_text(self.spark, self._map_path(new), json.dumps({
-            "version": new, "buckets": buckets, "schema": schema,
+            "version": new, "buckets": buckets, "n_buckets": self.buckets, "schema": schema,
             "committed_at": time.time(), "properties": self.properties,
             "touched_buckets": len(touched)}))
         return new

@@ -21,7 +21,7 @@ class BronzeSpec:
     source_system: str = "graph_api"
     expect_tenant: bool = True
     tenant_from_dir: bool = True
-    rescue: bool = False
+    rescue: bool = True             # keep fields the schema lacks, and broken lines
     levels: int = 2                 # folder levels below the entity (tenant, date)
 
     @property
@@ -80,14 +80,18 @@ ROLE_ASSIGNMENTS = _strings("servicePrincipalId", "id", "appRoleId", "principalD
                             "principalType", "resourceDisplayName", "resourceId", "createdDateTime")
 CLAIMS_POLICIES = _strings("servicePrincipalId", "id", "displayName") + \
     ", definition array<string>, isOrganizationDefault boolean"
-APP_PROXY = _strings("applicationId", "id", "displayName")
+APP_PROXY = _strings("applicationId", "id", "displayName") + """, onPremisesPublishing struct<externalUrl: string,
+    internalUrl: string, externalAuthenticationType: string, isTranslateHostHeaderEnabled: boolean,
+    isTranslateLinksInBodyEnabled: boolean, isHttpOnlyCookieEnabled: boolean, isSecureCookieEnabled: boolean,
+    isPersistentCookieEnabled: boolean>"""
 PERM_CLASSIFICATIONS = _strings("servicePrincipalId", "id", "permissionId", "permissionName", "classification")
-PROVISIONING_JOBS = _strings("servicePrincipalId", "id", "templateId")
+# the two structs vary by service: kept as their JSON text
+PROVISIONING_JOBS = _strings("servicePrincipalId", "id", "templateId", "schedule", "status")
 ORCHESTRATOR_RUN = _strings("run_id", "job_name", "trigger_type", "triggered_by", "status",
                             "started_at", "completed_at") + \
     ", tenant_count int, entity_count int, resolved_tenants array<string>, resolved_entities array<string>"
 ORCHESTRATOR_TASK = _strings("run_id", "job_name", "tenant_key", "container_type", "aca_execution_name") + \
-    ", entities array<string>, " + _strings("status", "started_at", "completed_at", "error")
+    ", entities array<string>, " + _strings("status", "started_at", "completed_at", "error_message")
 
 
 BRONZE: dict[str, BronzeSpec] = {s.name: s for s in [
