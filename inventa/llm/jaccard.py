@@ -10,8 +10,9 @@ computed in blocks and cut down by bounds that lose no pair:
    of grams shared by the same classes one is kept.
 3. Grams of at most ``SMALL`` classes: pairs of fitting size whose 2,048-bit
    parity sketches are close enough (their distance bounds the symmetric
-   difference from below) are checked on their whole sets.
-4. Grams of more classes: the classes are dealt into blocks of about ``BLOCK``;
+   difference from below) are checked on their whole sets: first one pair per
+   class, then those whose classes these links leave apart.
+4. Grams of more classes, as far as such links leave them apart: the classes are dealt into blocks of about ``BLOCK``;
    each block's overlap counts are accumulated as a matrix product and only a
    spanning set of links leaves the task.  Then only classes outside the
    gram's largest component so far visit the other blocks, so that a group of
@@ -277,29 +278,49 @@ def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
             & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
     sized = stored(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "sized")
     bits = classes.select("node", "n", "sketch")
-    both = (sized.join(bits.toDF("a", "na", "sa"), "a").join(bits.toDF("b", "nb", "sb"), "b"))
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    close = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    pairs = stored(both.where(close).select("a", "b"), "pairs")
 
+    def close(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(bits.toDF("a", "na", "sa"), "a").join(bits.toDF("b", "nb", "sb"), "b")
+        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+        return both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                          & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
+
+    pairs = stored(close(sized), "pairs")
     large = kept.where(F.col("m") > SMALL).select("key", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     sets = stored(_sets(docs, wanted.distinct().join(classes.select("node", "doc_id"), "node"), width), "sets")
-    found = _verified(pairs, sets, percent)
+
+    # first each class with one partner only (its least, or a large group's):
+    # what these links connect needs no further pair
+    centre = large.groupBy("key").agg(F.min("node").alias("a"))
+    stars = (large.join(centre, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    stars = stored(close(stars).unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "stars")
+    links = stored(_verified(stars, sets, percent), "links")
+    comps = stored(connected(links).withColumnRenamed("comp", "c"), "comps")
+    ca, cb = (comps.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    rest = (pairs.join(stars, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    links = stored(links.unionByName(_verified(rest, sets, percent)), "links")
     if large.isEmpty():
-        return found
+        return links
+
+    def torn(found: DataFrame) -> DataFrame:
+        """Members of large groups of several components, with theirs and the
+        group's main one."""
+        comps = connected(found).withColumnRenamed("comp", "c")
+        placed = stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "placed")
+        main = (placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")))
+        return placed.join(main.where("comps > 1"), "key")
+
     members = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    links = stored(found.unionByName(_block_links(members.join(sets, "node"), percent)), "links")
-
-    comps = connected(links).withColumnRenamed("comp", "c")
-    placed = stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "placed")
-    main = (placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")))
-    torn = placed.join(main.where("comps > 1"), "key").where("blocks > 1")
-    guests = (torn.where("comp <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = torn(links).select("key", "block", "node")
+    links = stored(links.unionByName(_block_links(open_.join(sets, "node"), percent)), "links")
+    split = torn(links).where("blocks > 1")
+    guests = (split.where("comp <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .where("to <> block").withColumn("block", F.col("to")).withColumn("visits", F.lit(True)))
     columns = ["key", "block", "node", "comp", "visits"]
-    meet = torn.withColumn("visits", F.lit(False)).select(columns).unionByName(guests.select(columns)).join(sets, "node")
+    meet = split.withColumn("visits", F.lit(False)).select(columns).unionByName(guests.select(columns)).join(sets, "node")
     return links.unionByName(_visits(meet, percent))
 
 
