@@ -87,6 +87,23 @@ def run_outcome(tasks: DataFrame, run_keys: Sequence[str], status_col: str = "st
                       .otherwise(F.lit("completed")).alias("run_status"))
 
 
+def run_outcome_after_timeout(tasks: DataFrame, run_keys: Sequence[str], ts_col: str, as_of: Column,
+                              status_col: str = "status", hours: int = RUN_TIMEOUT_HOURS) -> DataFrame:
+    """T18/A11 in one aggregate: a run whose first task is older than ``hours``
+    at ``as_of`` has its open tasks timed out, then the run is rolled up.  All
+    partial counts combine map-side; no join, no window."""
+    st = F.col(status_col)
+    agg = tasks.groupBy(*run_keys).agg(
+        F.min(ts_col).alias("_start"), F.count(F.lit(1)).alias("_n"),
+        F.count_if(st.isin(*OPEN_TASK_STATUSES)).alias("_open"), F.count_if(st.isin(*BAD_TASK_STATUSES)).alias("_bad"))
+    late = F.coalesce(F.col("_start") < F.timestamp_add("HOUR", F.lit(-hours), as_of), F.lit(False))
+    timed = F.when(late, F.col("_open")).otherwise(F.lit(0))
+    bad = F.col("_bad") + timed
+    return agg.select(*run_keys, timed.cast("long").alias("n_timed_out"),
+                      F.when(F.col("_open") > timed, F.lit("running")).when(bad == F.col("_n"), F.lit("failed"))
+                      .when(bad > 0, F.lit("completed_with_errors")).otherwise(F.lit("completed")).alias("run_status"))
+
+
 def timeout_open_tasks(tasks: DataFrame, run_started: str | Column, as_of: Column,
                        status_col: str = "status", hours: int = RUN_TIMEOUT_HOURS) -> DataFrame:
     """Open tasks of runs older than ``hours`` at ``as_of`` become ``timeout``."""

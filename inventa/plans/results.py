@@ -15,7 +15,7 @@ from inventa.functions.text import upn_domain
 from inventa.operators import listing as L
 from inventa.operators import results as RS
 from inventa.plans.registry import register
-from inventa.session import table
+from inventa.session import scratch_path, table
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 AS_OF_POLL = "2024-01-15 00:00:00"
@@ -175,18 +175,26 @@ def device_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("checkin_upsert", sql="""
 WITH s AS (SELECT user_id, event_type, COUNT(*) AS check_in_count,
                   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_check_in,
-                  arg_max(value, (ts, event_id)) AS last_value
+                  arg_max(value, (ts, value)) AS last_value
            FROM events GROUP BY 1, 2)
 SELECT s.*, COALESCE(c.c_acctbal > 5000, false) AS is_migrated
 FROM s LEFT JOIN customer c ON s.user_id = c.c_custkey
 """)
 def checkin_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One status row per (user, device type): count, last
-    check-in, last value, and the migration flag looked up by user."""
-    e = table(spark, sf_dir, "events")
-    s = e.groupBy("user_id", "event_type").agg(
-        F.count(F.lit(1)).alias("check_in_count"), F.date_format(F.max("ts"), TS_FMT).alias("last_check_in"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    """One status row per (user, device type), kept by the check-in
+    stream over several micro-batches (late ones among them, as files are in
+    hash order): count, last check-in, last value, and the migration flag
+    looked up by user."""
+    from inventa.sources.tables import VersionedTable
+    from inventa.streaming.reducers import checkin_stream
+    base = scratch_path(spark, "checkins")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "value")
+    e.repartition(4, F.col("user_id"), F.col("ts")).write.parquet(f"{base}/landed")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
+    status = VersionedTable(spark, f"{base}/status", ["user_id", "event_type"], ["last_check_in"], buckets=4)
+    checkin_stream(spark, stream, status, ["user_id", "event_type"], "ts", "value", f"{base}/ckpt")
+    s = status.read().select("user_id", "event_type", "check_in_count",
+                             F.date_format("last_check_in", TS_FMT).alias("last_check_in"), "last_value")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal")
     return (s.join(c, "user_id", "left")
             .withColumn("is_migrated", F.coalesce(F.col("c_acctbal") > 5000, F.lit(False))).drop("c_acctbal"))

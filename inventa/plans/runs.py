@@ -116,10 +116,7 @@ def run_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = e.select("user_id", F.to_date("ts").alias("run_day"), "ts",
                  F.when(F.col("event_type").isin("view", "click"), "running")
                  .when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"))
-    started = t.groupBy("user_id", "run_day").agg(F.min("ts").alias("started"))
-    tt = R.timeout_open_tasks(t.join(started, ["user_id", "run_day"]), "started", as_of)
-    counts = tt.groupBy("user_id", "run_day").agg(F.count_if(F.col("status") == "timeout").alias("n_timed_out"))
-    out = R.run_outcome(tt, ["user_id", "run_day"]).join(counts, ["user_id", "run_day"])
+    out = R.run_outcome_after_timeout(t, ["user_id", "run_day"], "ts", as_of)
     return out.select("user_id", F.date_format("run_day", "yyyy-MM-dd").alias("run_day"), "n_timed_out", "run_status")
 
 

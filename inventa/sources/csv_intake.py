@@ -2,9 +2,10 @@
 
 Spark's CSV reader does the parsing (quotes, doubled quotes, trimmed cells,
 CRLF, blank lines skipped, short rows padded); validation is a violations
-DataFrame.  An upload is one file of at most 10 MB, so it is one input split:
-its line numbers come from ``monotonically_increasing_id`` minus the
-smallest id seen for that file (an aggregate + join, no window over a file).
+DataFrame.  Files are read whole (``multiLine``), so a file is never split and
+its row numbers come from ``monotonically_increasing_id`` minus the smallest id
+seen for that file (an aggregate + join, no window over a file).  An upload of
+more than 10 MB is rejected before its rows are used.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MAX_ROWS = 50_000
 WHITESPACE = " \t\r\n\x0b\x0c"
 
 READ_OPTIONS = {
-    "header": "true", "quote": '"', "escape": '"', "multiLine": "false",
+    "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
     "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
     "mode": "PERMISSIVE", "inferSchema": "false",
 }
@@ -71,8 +72,22 @@ def row_violations(rows: DataFrame, key_column: str) -> DataFrame:
     return empties.unionByName(dups)
 
 
+def byte_violations(spark: SparkSession, path: str) -> DataFrame:
+    """V5: files over the byte limit (from the listing, contents unread)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return (files.filter(F.col("length") > MAX_CSV_BYTES)
+            .select(F.col("path").alias("_file"), F.lit(None).cast("long").alias("_row"), F.lit("too_many_bytes").alias("code"),
+                    F.col("length").cast("string").alias("key")))
+
+
+def accepted(rows: DataFrame, violations: DataFrame) -> DataFrame:
+    """V5: the rows of files without any violation (a file is taken whole or
+    not at all)."""
+    return rows.join(violations.select("_file").distinct(), "_file", "left_anti")
+
+
 def size_violations(rows: DataFrame) -> DataFrame:
-    """V5: files over the row limit (the byte limit is checked on upload)."""
+    """V5: files over the row limit."""
     return (rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > MAX_ROWS)
             .select("_file", F.lit(None).cast("long").alias("_row"), F.lit("too_many_rows").alias("code"),

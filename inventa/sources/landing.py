@@ -181,6 +181,12 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
                    [(_unescape(st.getPath().getName().split("=", 1)[1]), st.getPath())
                     for st in fs.listStatus(jstaging)
                     if st.isDirectory() and "=" in st.getPath().getName()])
+    # a rerun of the same run id first drops every file that run left before,
+    # so that fewer files or other tenants and days leave nothing stale
+    base = entity.rsplit("/", 1)[-1]
+    old = f"{root.rstrip('/')}/{entity}/" + "/".join((["*"] if tenant_col is not None else []) + ["*"] + ([detail_type] if detail_type else []))
+    for stale in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{old}/{chunk_prefix + '-' if chunk_prefix else base + '_'}*_{run_id}.jsonl")) or ():
+        fs.delete(stale.getPath(), False)
     for tenant, tpath in tenant_dirs:
         for dstat in fs.listStatus(tpath):
             dname = dstat.getPath().getName()
@@ -197,12 +203,8 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
                 fname = fstat.getPath().getName()
                 if not fname.startswith("part-"):
                     continue
-                base = entity.rsplit("/", 1)[-1]
                 stem = f"{chunk_prefix}-{i:03d}" if chunk_prefix else f"{base}_{i:05d}"
                 dst = jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{run_id}.jsonl")
-                if fs.exists(dst):
-                    # a rerun of the same run id after a failure replaces its own file
-                    fs.delete(dst, False)
                 fs.rename(fstat.getPath(), dst)
                 i += 1
     fs.delete(jstaging, True)

@@ -15,9 +15,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from inventa.operators.scd import latest_per_key, merge_latest
+from inventa.session import scratch_path
 
 BUCKET_COL = "_inventa_bucket"
 # A change set of at most this many rows (counted before the merge) is
@@ -26,6 +26,8 @@ BUCKET_COL = "_inventa_bucket"
 # through a shuffle join.  Streams keep micro-batches under it with
 # ``maxFilesPerTrigger``.
 BROADCAST_ROW_LIMIT = 1_000_000
+# A bucket's rows are written by one task for each so many of them.
+ROWS_PER_FILE = 2_000_000
 
 
 def _jvm_path(spark: SparkSession, path: str):
@@ -149,23 +151,26 @@ class VersionedTable:
         the stored rows of the touched buckets and the change rows and
         returns the new rows of those buckets (e.g. additive counters).
 
-        Only the change set is shuffled (clustered by bucket, so its rows
-        land in one file per bucket).  With ``cluster_output=False`` the
+        The change set is dealt out by bucket and, in large buckets, by a
+        salt, so the number of tasks follows the rows.  With ``cluster_output=False`` the
         merged rows are written where they are: stored rows keep the
         partitioning of the bucket files they were read from, so the stored
         side is never shuffled — at the price of more, smaller files, which
         :meth:`compact` folds back."""
         if self.latest_version():
             self._bucket_map(self.latest_version())  # takes over the stored bucket count
-        latest = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets)).repartition(BUCKET_COL)
-        latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+        # the change set is written once to the shared folder: it is read
+        # several times below, and survives lost executors
+        aside = scratch_path(self.spark, "changes")
+        changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets)).write.parquet(aside)
+        latest = self.spark.read.parquet(aside)
         try:
             # one row per touched bucket comes back (≤ `buckets`): which
             # buckets to rewrite, and the change-set size that decides
             # whether the change side may be broadcast
-            per_bucket = latest.groupBy(BUCKET_COL).count().collect()
-            touched = sorted(r[0] for r in per_bucket)
-            self._last_change_rows = sum(r[1] for r in per_bucket)
+            per_bucket = {r[0]: r[1] for r in latest.groupBy(BUCKET_COL).count().collect()}
+            touched = sorted(per_bucket)
+            self._last_change_rows = sum(per_bucket.values())
             if not touched:
                 return self.latest_version()
             prev = self.latest_version()
@@ -177,12 +182,20 @@ class VersionedTable:
                 if BUCKET_COL not in merged.columns:
                     merged = merged.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
                 if cluster_output:
-                    merged = merged.repartition(BUCKET_COL)
+                    merged = self._dealt(merged, max(per_bucket.values()))
             else:
-                merged = latest
+                merged = self._dealt(latest, max(per_bucket.values()))
             return self._commit(prev, bmap, merged, touched)
         finally:
-            latest.unpersist()
+            fs, jpath = _jvm_path(self.spark, aside)
+            fs.delete(jpath, True)
+
+    def _dealt(self, rows: DataFrame, largest: int) -> DataFrame:
+        """Rows dealt to as many tasks as they need: a bucket of more than
+        ``ROWS_PER_FILE`` rows is written by several."""
+        parts = max(1, -(-largest // ROWS_PER_FILE))
+        salt = F.pmod(F.xxhash64(F.lit(7), *[F.col(k) for k in self.keys]), F.lit(parts))
+        return rows.repartition(self.buckets * parts, F.col(BUCKET_COL), salt)
 
     def _commit(self, prev: int, bmap: dict, merged: DataFrame, touched: Sequence[int]) -> int:
         new = prev + 1
@@ -198,7 +211,7 @@ class VersionedTable:
         return new
 
     def compact(self, buckets: Sequence[int] | None = None) -> int:
-        """Rewrite (some) buckets as one file each — the maintenance pass for
+        """Rewrite (some) buckets as few files each — the maintenance pass for
         tables written with ``cluster_output=False``.  A new version; older
         ones stay readable until vacuumed."""
         prev = self.latest_version()
@@ -207,7 +220,8 @@ class VersionedTable:
         if not chosen:
             return prev
         data = self.read(prev, chosen).withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
-        return self._commit(prev, bmap, data.repartition(BUCKET_COL), chosen)
+        largest = max(r[1] for r in data.groupBy(BUCKET_COL).count().collect())
+        return self._commit(prev, bmap, self._dealt(data, largest), chosen)
 
     def vacuum(self, keep_versions: int) -> list[int]:
         """Drop version folders no longer referenced by the last

@@ -231,13 +231,19 @@ def checkin_stream(spark: SparkSession, checkins: DataFrame, target: VersionedTa
                    ts_col: str, value_col: str, checkpoint: str) -> VersionedTable:
     """One availableNow update of the check-in status table:
     ``check_in_count`` adds up, ``last_check_in``/``last_value`` follow the
-    newest check-in."""
+    newest check-in (of equal times, the greatest value).  The table records
+    the last batch it holds: a batch replayed after a crash between the table's
+    commit and the checkpoint's is skipped, so nothing counts twice."""
     keys = list(keys)
 
-    def per_batch(batch: DataFrame, _bid: int) -> None:
-        agg = batch.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("check_in_count"), F.max(ts_col).alias("last_check_in"),
-            F.max_by(value_col, F.col(ts_col)).alias("last_value"))
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        latest = target.latest_version()
+        if latest and int(target._bucket_map(latest).get("properties", {}).get("last_batch_id", -1)) >= batch_id:
+            return
+        target.properties["last_batch_id"] = str(batch_id)
+        newest = F.max(F.struct(F.col(ts_col).alias("t"), F.col(value_col).alias("v")))
+        agg = (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("check_in_count"), newest.alias("_n"))
+               .select(*keys, "check_in_count", F.col("_n.t").alias("last_check_in"), F.col("_n.v").alias("last_value")))
 
         def combine(cur: DataFrame, chg: DataFrame) -> DataFrame:
             # joins keyed by the (counted) change set: stored rows that did
@@ -247,7 +253,8 @@ def checkin_stream(spark: SparkSession, checkins: DataFrame, target: VersionedTa
             cols = ["check_in_count", "last_check_in", "last_value"]
             c = chg.select(*keys, *[F.col(x).alias(f"_n_{x}") for x in cols])
             matched = cur.select(*keys, *cols).join(small(c), keys, "inner")
-            newer = F.col("_n_last_check_in") >= F.col("last_check_in")
+            newer = (F.struct(F.col("_n_last_check_in"), F.col("_n_last_value"))
+                     >= F.struct(F.col("last_check_in"), F.col("last_value")))
             updated = matched.select(
                 *keys, (F.col("check_in_count") + F.col("_n_check_in_count")).alias("check_in_count"),
                 F.greatest("last_check_in", "_n_last_check_in").alias("last_check_in"),
