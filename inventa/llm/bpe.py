@@ -39,18 +39,20 @@ LONG_PIECE = 192
 CACHED_PIECES = 250_000
 MEMORY = "250MB"
 
+# a found pair is one number (new token, its position, the position that goes,
+# the next position), so the least of a piece's numbers is its whole contraction;
+# positions fit in 8 bits (LONG_PIECE)
 _ENCODE = """
 WITH RECURSIVE step(w, pos, nxt, id, n) AS (
   SELECT w, pos, nxt, id, 0 FROM bytes_of_pieces
   UNION ALL
-  (WITH found AS (
-     SELECT a.w AS w, a.pos AS pos, b.pos AS gone, b.nxt AS nxt, m.id AS id
-     FROM step a JOIN step b ON a.w = b.w AND a.nxt = b.pos JOIN merges m ON m.a = a.id AND m.b = b.id),
-   best AS (SELECT w, min((id::BIGINT << 32) + pos) AS k FROM found GROUP BY w),
-   chosen AS (SELECT f.* FROM found f JOIN best ON f.w = best.w AND (f.id::BIGINT << 32) + f.pos = best.k)
-   SELECT s.w, s.pos, CASE WHEN s.pos = c.pos THEN c.nxt ELSE s.nxt END,
-          CASE WHEN s.pos = c.pos THEN c.id ELSE s.id END, s.n + 1
-   FROM step s JOIN chosen c ON s.w = c.w WHERE s.pos <> c.gone))
+  (WITH best AS (
+     SELECT a.w AS w, min((m.id::BIGINT << 24) + (a.pos << 16) + (b.pos << 8) + b.nxt) AS k
+     FROM step a JOIN step b ON a.w = b.w AND a.nxt = b.pos JOIN merges m ON m.a = a.id AND m.b = b.id
+     GROUP BY a.w)
+   SELECT s.w, s.pos, CASE WHEN s.pos = ((k >> 16) & 255) THEN (k & 255)::INTEGER ELSE s.nxt END,
+          CASE WHEN s.pos = ((k >> 16) & 255) THEN (k >> 24)::INTEGER ELSE s.id END, s.n + 1
+   FROM step s JOIN best ON s.w = best.w WHERE s.pos <> ((k >> 8) & 255)))
 SELECT s.w, s.id FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) l ON s.w = l.w AND s.n = l.n
 ORDER BY s.w, s.pos
 """
@@ -163,9 +165,9 @@ class Codec:
             self._learn(new)
         out = []
         for s in split:
-            at = [self.known[p] for p in s]
-            ids = np.array(list(chain.from_iterable([self.ids[k] for k in at])), dtype=np.int32)
-            out.append((ids, b" ".join([self.text[k] for k in at])))
+            at = list(map(self.known.__getitem__, s))
+            ids = np.array(list(chain.from_iterable(map(self.ids.__getitem__, at))), dtype=np.int32)
+            out.append((ids, b" ".join(map(self.text.__getitem__, at))))
         return out
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
@@ -191,7 +193,7 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[list[bytes], str
     return read_ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN
 
 
-def _slices(texts: list[str], most: int = 3 << 19):
+def _slices(texts: list[str], most: int = 1 << 19):
     """(first, last) of runs of texts of about ``most`` characters."""
     lo = size = 0
     for i, t in enumerate(texts):
