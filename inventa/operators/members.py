@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inventa.functions.jsonmap import row_to_json
 from inventa.functions.durations import batch_time_floor, lenient_timestamp
 
 
@@ -109,40 +110,65 @@ def batch_id_for(runbook: str | Column, batch_time: str | Column) -> Column:
     return F.xxhash64(_c(runbook), _c(batch_time))
 
 
-def detect_batches(rows: DataFrame, runbook: str, member_key: str, batch_time: str | Column,
+FINISHED_BATCH = ("completed", "failed")
+
+
+def detect_batches(rows: DataFrame, runbook: str, member_key: str, batch_time: str | Column | None,
                    existing_batches: DataFrame, stored_members: DataFrame, phases: Column,
-                   has_init_steps: bool = False) -> dict[str, DataFrame]:
+                   has_init_steps: bool = False, as_of: Column | None = None,
+                   data_columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """One pass of batch detection over a query result.
 
-    * rows are grouped by their (lenient) batch time; a group whose batch id
-      is not stored yet is a new batch — with its member snapshot and one
-      pending phase execution per runbook phase (``phases`` is a literal
-      array of ``struct(phase_name, offset_minutes)``);
-    * for stored batches the member diff (added / removed) is returned.
-
-    Everything is joins and aggregates; nothing is collected."""
-    parsed = rows.withColumn("_bt", lenient_timestamp(_c(batch_time).cast("string"))).filter(F.col("_bt").isNotNull())
-    keyed = parsed.withColumn("batch_id", batch_id_for(F.lit(runbook), F.col("_bt")))
-    known = existing_batches.select("batch_id").distinct()
-    fresh_rows = keyed.join(known, "batch_id", "left_anti")
-    new_batches = (fresh_rows.groupBy("batch_id", F.col("_bt").alias("batch_start_time"))
-                   .agg(F.countDistinct(key_norm(member_key)).alias("n_members"))
+    * Rows are grouped by their (lenient) batch time, or, in immediate mode
+      (``batch_time`` None), by the 5-minute tick of ``as_of``.  Immediate rows
+      whose member is active in an unfinished batch are left out.
+    * A group whose batch id is not stored yet is a new batch, with its member
+      snapshot (``data_json`` of the row) and one pending phase execution per
+      runbook phase (``phases``: literal array of ``struct(phase_name,
+      offset_minutes)``).  A group left without members makes no batch.
+    * Of a stored batch that is not completed or failed, the members added and
+      removed are returned, and the fresh ``data_json`` of the active ones
+      still in the result; finished batches are left alone.
+
+    ``existing_batches`` has batch_id and may have status; ``stored_members``
+    batch_id, member_key and may have status (missing: active).  Rows are parsed
+    and reduced to one per batch and member once, all outputs follow from that."""
+    def having(df: DataFrame, status: str) -> DataFrame:
+        return df if "status" in df.columns else df.withColumn("status", F.lit(status))
+
+    bt = batch_time_floor(as_of) if batch_time is None else lenient_timestamp(_c(batch_time).cast("string"))
+    data = row_to_json(data_columns or rows.columns)
+    known = having(existing_batches, "active").select("batch_id", F.col("status").alias("_status")).distinct()
+    stored = having(stored_members, "active").select("batch_id", key_norm("member_key").alias("member_key"), "status")
+    stored = stored.join(known.filter(~F.col("_status").isin(*FINISHED_BATCH)).select("batch_id"), "batch_id", "left_semi")
+    members = (rows.select(bt.alias("_bt"), key_norm(member_key).alias("member_key"), data.alias("data_json"))
+               .filter(F.col("_bt").isNotNull()).withColumn("batch_id", batch_id_for(F.lit(runbook), F.col("_bt")))
+               .groupBy("batch_id", "_bt", "member_key").agg(F.max("data_json").alias("data_json")))
+    active = stored.filter(F.col("status") == "active")
+    if batch_time is None:
+        members = members.join(active.select("member_key").distinct(), "member_key", "left_anti")
+    members = members.join(known, "batch_id", "left")
+    fresh = members.filter(F.col("_status").isNull())
+    new_batches = (fresh.groupBy("batch_id", F.col("_bt").alias("batch_start_time"))
+                   .agg(F.count(F.lit(1)).alias("n_members"))
                    .withColumn("runbook", F.lit(runbook))
                    .withColumn("status", new_batch_status(F.lit(has_init_steps))))
-    new_members = (fresh_rows.select("batch_id", key_norm(member_key).alias("member_key")).distinct()
-                   .withColumn("status", F.lit("active")))
+    new_members = fresh.select("batch_id", "member_key", F.lit("active").alias("status"), "data_json")
     new_phases = (new_batches.select("batch_id", "batch_start_time", F.explode(phases).alias("_p"))
                   .select("batch_id", F.col("_p.phase_name").alias("phase_name"),
                           F.col("_p.offset_minutes").alias("offset_minutes"),
                           F.timestamp_add("MINUTE", -F.col("_p.offset_minutes"), F.col("batch_start_time")).alias("due_at"),
                           F.lit("pending").alias("status")))
-    current = keyed.join(known, "batch_id", "left_semi")
-    stored = stored_members.join(known, "batch_id", "left_semi")
-    cur = current.select("batch_id", key_norm(member_key).alias("member_key")).distinct().withColumn("_c", F.lit(True))
-    sto = stored.select("batch_id", key_norm("member_key").alias("member_key")).distinct().withColumn("_s", F.lit(True))
-    changes = (cur.join(sto, ["batch_id", "member_key"], "full_outer")
-               .select("batch_id", "member_key", F.when(F.col("_s").isNull(), F.lit("added"))
-                       .when(F.col("_c").isNull(), F.lit("removed")).alias("change"))
-               .filter(F.col("change").isNotNull()))
+    cur = (members.filter(~F.col("_status").isin(*FINISHED_BATCH))
+           .select("batch_id", "member_key", "data_json", F.lit(True).alias("_c")))
+    # a batch of which nothing is left in the result has no group here, so it is
+    # not touched; within a touched batch every stored active member is compared
+    touched = members.filter(F.col("_status").isNotNull()).select("batch_id").distinct()
+    sto = (active.join(touched, "batch_id", "left_semi").select("batch_id", "member_key").distinct()
+           .withColumn("_s", F.lit(True)))
+    both = cur.join(sto, ["batch_id", "member_key"], "full_outer")
+    changes = (both.select("batch_id", "member_key", "data_json", F.when(F.col("_s").isNull(), F.lit("added"))
+                           .when(F.col("_c").isNull(), F.lit("removed")).otherwise(F.lit("refreshed")).alias("change")))
     return {"new_batches": new_batches, "new_members": new_members, "new_phases": new_phases,
-            "member_changes": changes}
+            "member_changes": changes.filter(F.col("change") != "refreshed"),
+            "refreshed": changes.filter(F.col("change") == "refreshed").drop("change")}

@@ -150,7 +150,7 @@ DETECT_CUTOFF = "2024-01-10"
 @register("batch_detection", sql=f"""
 WITH r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS m, CAST(ts AS DATE) AS d FROM events),
      nb AS (SELECT d, COUNT(*) AS n FROM r WHERE d >= DATE '{DETECT_CUTOFF}' GROUP BY d),
-     cur AS (SELECT d, m FROM r WHERE d < DATE '{DETECT_CUTOFF}'),
+     cur AS (SELECT d, m FROM r WHERE d < DATE '{DETECT_CUTOFF}' AND day(d) % 4 <> 0),
      sto AS (SELECT CAST(d + INTERVAL 1 DAY AS DATE) AS d, m FROM r
              WHERE d + INTERVAL 1 DAY < DATE '{DETECT_CUTOFF}'
                AND CAST(d + INTERVAL 1 DAY AS DATE) IN (SELECT d FROM cur)),
@@ -159,12 +159,14 @@ WITH r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS m, CAST(ts AS DATE) AS d
 SELECT 'new_batch' AS kind, strftime(d, '%Y-%m-%d') AS batch_date, n FROM nb
 UNION ALL SELECT 'phases', strftime(d, '%Y-%m-%d'), CAST(3 AS BIGINT) FROM nb
 UNION ALL SELECT kind, strftime(d, '%Y-%m-%d'), COUNT(*) FROM ch GROUP BY kind, d
+UNION ALL SELECT 'refreshed', strftime(d, '%Y-%m-%d'), COUNT(*) FROM (SELECT d, m FROM cur INTERSECT SELECT d, m FROM sto) GROUP BY d
 """)
 def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection pass — event rows grouped into daily
     batches; days before the cut-off are stored batches (their stored
-    members are the previous day's users), later days become new batches
-    with a member snapshot and the runbook's three valid phases."""
+    members are the previous day's users; every fourth day's batch is
+    completed and left alone), later days become new batches with a member
+    snapshot and the runbook's three valid phases."""
     from inventa.plans.columns import RUNBOOK_PHASES
     from inventa.functions.durations import lenient_timestamp, offset_minutes
     e = table(spark, sf_dir, "events")
@@ -173,7 +175,8 @@ def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.date_format(day, "yyyy-MM-dd 00:00:00").alias("bt"), day.alias("d"))
     bid = M.batch_id_for(F.lit("rb"), lenient_timestamp(F.col("bt")))
     old = rows.filter(F.col("d") < F.lit(DETECT_CUTOFF).cast("date"))
-    existing = old.select(bid.alias("batch_id"), "d").distinct()
+    existing = old.select(bid.alias("batch_id"), "d").distinct().withColumn(
+        "status", F.when(F.dayofmonth("d") % 4 == 0, "completed").otherwise("active"))
     prev = old.select("member", F.date_add("d", 1).alias("d")).filter(F.col("d") < F.lit(DETECT_CUTOFF).cast("date"))
     stored = prev.join(existing, "d").select("batch_id", F.col("member").alias("member_key"))
     phases = F.array(*[F.struct(F.lit(n).alias("phase_name"), offset_minutes(F.lit(o)).alias("offset_minutes"))
@@ -185,12 +188,45 @@ def batch_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ph = (out["new_phases"].join(out["new_batches"].select("batch_id", "batch_start_time"), "batch_id")
           .groupBy(F.date_format("batch_start_time", "yyyy-MM-dd").alias("batch_date"))
           .agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("phases")))
-    ch = (out["member_changes"].join(existing, "batch_id")
+    ch = (out["member_changes"].unionByName(out["refreshed"].withColumn("change", F.lit("refreshed")))
+          .join(existing, "batch_id")
           .groupBy(F.col("change").alias("kind"), F.date_format("d", "yyyy-MM-dd").alias("batch_date"))
           .agg(F.count(F.lit(1)).alias("n")))
     return nb.unionByName(ph).unionByName(ch)
 
 
+IMMEDIATE_AS_OF = "2024-01-01 10:07:31"
+
+
+@register("batch_detection_immediate", sql="""
+SELECT 'member' AS kind, CAST(c_custkey AS VARCHAR) AS member_key, '2024-01-01 10:05:00' AS batch_time,
+  '{"c_custkey":"' || c_custkey || '","c_mktsegment":"' || c_mktsegment || '"}' AS data_json
+FROM customer WHERE c_nationkey % 4 <> 0
+UNION ALL
+SELECT 'batch', CAST((SELECT count(*) FROM customer WHERE c_nationkey % 4 <> 0) AS VARCHAR), '2024-01-01 10:05:00', NULL
+""")
+def batch_detection_immediate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T13, immediate mode: customers of one tick make a batch, without those
+    active in an unfinished batch (members of finished batches, and members
+    removed from running ones, are taken); each with its row as JSON."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    kind = F.col("c_nationkey") % 4
+    stored = rows.select(F.when(kind == 0, 1).when(kind == 1, 2).otherwise(1).cast("long").alias("batch_id"),
+                         F.col("c_custkey").cast("string").alias("member_key"),
+                         F.when(kind == 2, "removed").otherwise("active").alias("status")).where(kind < 3)
+    existing = spark.range(1, 3).select(F.col("id").alias("batch_id"),
+                                        F.when(F.col("id") == 1, "active").otherwise("completed").alias("status"))
+    phases = F.array(F.struct(F.lit("now").alias("phase_name"), F.lit(0).cast("long").alias("offset_minutes")))
+    out = M.detect_batches(rows, "rb", "c_custkey", None, existing, stored, phases,
+                           as_of=F.lit(IMMEDIATE_AS_OF).cast("timestamp_ntz"), data_columns=["c_custkey", "c_mktsegment"])
+    when = F.date_format("batch_start_time", "yyyy-MM-dd HH:mm:ss").alias("batch_time")
+    batches = out["new_batches"].select("batch_id", when, "n_members")
+    members = out["new_members"].join(batches, "batch_id").select(
+        F.lit("member").alias("kind"), "member_key", "batch_time", "data_json")
+    return members.unionByName(batches.select(F.lit("batch").alias("kind"), F.col("n_members").cast("string").alias("member_key"),
+                                              "batch_time", F.lit(None).cast("string").alias("data_json")))
+
+
 @register("active_members", sql="""
 SELECT l_orderkey AS batch_id, COUNT(*) AS n_active_members
 FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1
