@@ -138,41 +138,58 @@ def required_fields(df: DataFrame, fields: Sequence[str], item: Column, rule: st
     return out
 
 
-def tenant_rules(tenants: DataFrame, key: str = "tenant_key",
-                 required: Sequence[str] = ("tenant_id", "admin_url"),
-                 auth_required: Sequence[str] = ("client_id", "cert_name")) -> DataFrame:
-    """V3: tenant keys unique (case-insensitive) and the identity and
-    storage-auth fields present."""
-    item = F.col(key)
-    present = [f for f in (*required, *auth_required) if f in tenants.columns]
-    out = duplicate_names(tenants.withColumn("_all", F.lit("tenants")), ["_all"], key, "duplicate_tenant")
-    if present:
-        out = out.unionByName(required_fields(tenants, present, item))
-    return out
+AUTH_METHODS = ("managed_identity", "service_principal")
+
+
+def tenant_rules(tenants: DataFrame, key: str = "tenant_key") -> DataFrame:
+    """V3: tenant keys are unique, as written."""
+    g = tenants.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    return g.select(F.lit("duplicate_tenant").alias("rule"), F.col("_k").cast("string").alias("item"),
+                    F.col("_c").cast("string").alias("detail"))
 
 
-def job_rules(jobs: DataFrame, entities: DataFrame, tenants: DataFrame, job: str = "name",
-              tier_col: str = "tier", mode_col: str = "tenant_mode", tenant_list_col: str = "tenant_keys",
-              entity_list_col: str = "include_entities") -> DataFrame:
-    """A job's referenced entities and tenants exist, its tier is
-    1-5, and a ``specific``/``all_except`` tenant mode comes with a list."""
+def storage_auth_rules(storage: DataFrame, item: str = "name", method: str = "method",
+                       fields: Sequence[str] = ("tenant_id", "client_id", "cert_name")) -> DataFrame:
+    """V3: a known authentication method; a service principal needs its tenant,
+    client and certificate."""
+    m = F.col(method)
+    principal = F.coalesce(m == "service_principal", F.lit(False))
+    return _listed(storage, F.col(item), [
+        ("bad_auth_method", F.coalesce(~m.isin(*AUTH_METHODS), F.lit(True)), m),
+        *[("missing_auth_field", principal & _blank(F.col(f)), F.lit(f)) for f in fields]])
+
+
+def job_rules(jobs: DataFrame, entities: DataFrame, tenants: DataFrame, job: str = "name") -> DataFrame:
+    """A job has a name; the entities and tenants it includes or
+    excludes exist; its tiers are 1-5; mode ``specific`` lists tenant_keys and
+    ``all_except`` lists exclude_keys.  Array columns that the configuration
+    lacks count as empty."""
     from inventa.operators.runs import TENANT_MODES, TIER_RANGE
-    item = F.col(job)
     lo, hi = TIER_RANGE
-    bad_tier = violations(jobs, "bad_tier", item, F.col(tier_col).isNotNull() & ~F.col(tier_col).between(lo, hi),
-                          F.col(tier_col))
-    bad_mode = violations(jobs, "unknown_tenant_mode", item, ~F.col(mode_col).isin(*TENANT_MODES), F.col(mode_col))
-    needs_list = violations(jobs, "tenant_list_required", item,
-                            F.col(mode_col).isin("specific", "all_except")
-                            & F.coalesce(F.when(F.col(tenant_list_col).isNotNull(),
-                                                F.size(F.col(tenant_list_col))) == 0, F.lit(True)))
-    ents = jobs.select(item.alias("_job"), F.explode_outer(entity_list_col).alias("_e")).filter("_e IS NOT NULL")
-    unknown_e = ents.join(entities.select(F.col("name").alias("_e")), "_e", "left_anti").select(
-        F.lit("unknown_entity").alias("rule"), F.col("_job").cast("string").alias("item"), F.col("_e").alias("detail"))
-    tens = jobs.select(item.alias("_job"), F.explode_outer(tenant_list_col).alias("_t")).filter("_t IS NOT NULL")
-    unknown_t = tens.join(tenants.select(F.col("tenant_key").alias("_t")), "_t", "left_anti").select(
-        F.lit("unknown_tenant").alias("rule"), F.col("_job").cast("string").alias("item"), F.col("_t").alias("detail"))
-    return bad_tier.unionByName(bad_mode).unionByName(needs_list).unionByName(unknown_e).unionByName(unknown_t)
+
+    def listed(c: str, dtype: str = "string") -> Column:
+        none = F.array().cast(f"array<{dtype}>")
+        return F.coalesce(F.col(c).cast(f"array<{dtype}>"), none) if c in jobs.columns else none
+
+    mode = F.col("tenant_mode")
+    bad_tiers = F.filter(listed("include_tiers", "int"), lambda t: ~t.between(lo, hi))
+    own = _listed(jobs, F.col(job), [
+        ("missing_job_name", _blank(F.col(job)), None),
+        ("bad_tier", F.size(bad_tiers) > 0, F.array_join(bad_tiers.cast("array<string>"), ",")),
+        ("unknown_tenant_mode", ~mode.isin(*TENANT_MODES), mode),
+        ("tenant_list_required", (mode == "specific") & (F.size(listed("tenant_keys")) == 0), F.lit("tenant_keys")),
+        ("tenant_list_required", (mode == "all_except") & (F.size(listed("exclude_keys")) == 0), F.lit("exclude_keys"))])
+    fields = {"include_entities": "entity", "exclude_entities": "entity", "tenant_keys": "tenant", "exclude_keys": "tenant"}
+    none = "CAST(array() AS array<struct<kind: string, n: string, field: string>>)"
+    arrays = [F.expr(f"coalesce(transform({c}, x -> named_struct('kind', '{k}', 'n', x, 'field', '{c}')), {none})")
+              if c in jobs.columns else F.expr(none) for c, k in fields.items()]
+    named = F.concat(*arrays)
+    known = (entities.select(F.lit("entity").alias("kind"), F.col("name").alias("n"))
+             .unionByName(tenants.select(F.lit("tenant").alias("kind"), F.col("tenant_key").alias("n"))).distinct())
+    refs = jobs.select(F.col(job).cast("string").alias("item"), F.explode(named).alias("r")).select("item", "r.*")
+    unknown = refs.join(known, ["kind", "n"], "left_anti").select(
+        F.concat(F.lit("unknown_"), "kind").alias("rule"), "item", F.concat_ws(":", "field", "n").alias("detail"))
+    return own.unionByName(unknown)
 
 
 def domain_violations(df: DataFrame, column: str, allowed: Sequence[str], item: Column, rule: str) -> DataFrame:

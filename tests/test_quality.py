@@ -12,25 +12,34 @@ from inventa.streaming.bronze import run_bronze
 
 
 def test_tenant_rules(spark):
-    t = spark.createDataFrame([
-        ("contoso", "id1", "https://a", "c1", "k1"), ("CONTOSO", "id2", "https://b", "c2", "k2"),
-        ("fabrikam", None, "https://c", "c3", ""),
-    ], "tenant_key string, tenant_id string, admin_url string, client_id string, cert_name string")
-    got = sorted((r["rule"], r["item"], r["detail"]) for r in Q.tenant_rules(t).collect())
-    assert got == [("duplicate_tenant", "tenants/contoso", "2"), ("missing_field", "fabrikam", "cert_name"),
-                   ("missing_field", "fabrikam", "tenant_id")]
+    t = spark.createDataFrame([("contoso",), ("CONTOSO",), ("fabrikam",), ("fabrikam",)], "tenant_key string")
+    assert [tuple(r) for r in Q.tenant_rules(t).collect()] == [("duplicate_tenant", "fabrikam", "2")]
+
+
+def test_storage_auth_rules(spark):
+    s = spark.createDataFrame([
+        ("a", "managed_identity", None, None, None), ("b", "service_principal", "t", " ", None), ("c", "key", None, None, None),
+        ("d", None, None, None, None)], "name string, method string, tenant_id string, client_id string, cert_name string")
+    got = sorted((r["rule"], r["item"], r["detail"] or "") for r in Q.storage_auth_rules(s).collect())
+    assert got == [("bad_auth_method", "c", "key"), ("bad_auth_method", "d", ""),
+                   ("missing_auth_field", "b", "cert_name"), ("missing_auth_field", "b", "client_id")]
 
 
 def test_job_rules(spark):
     jobs = spark.createDataFrame([
-        ("nightly", 1, "all", [], ["users"]), ("weekly", 7, "specific", [], ["users", "ghosts"]),
-        ("adhoc", 2, "some", ["zz"], []),
-    ], "name string, tier int, tenant_mode string, tenant_keys array<string>, include_entities array<string>")
+        ("nightly", [1, 5], "all", [], [], ["users"], None), ("weekly", [7, 0], "specific", None, ["x"], ["users", "ghosts"], ["phantom"]),
+        ("adhoc", None, "some", ["zz"], [], [], []), (" ", [2], "all_except", ["contoso"], [], [], []),
+        ("fine", [3], "all_except", [], ["contoso"], [], ["users"])],
+        "name string, include_tiers array<int>, tenant_mode string, tenant_keys array<string>, exclude_keys array<string>, "
+        "include_entities array<string>, exclude_entities array<string>")
     ents = spark.createDataFrame([("users",)], "name string")
     tens = spark.createDataFrame([("contoso",)], "tenant_key string")
-    got = sorted((r["rule"], r["item"]) for r in Q.job_rules(jobs, ents, tens).collect())
-    assert got == [("bad_tier", "weekly"), ("tenant_list_required", "weekly"), ("unknown_entity", "weekly"),
-                   ("unknown_tenant", "adhoc"), ("unknown_tenant_mode", "adhoc")]
+    got = sorted((r["rule"], r["item"], r["detail"]) for r in Q.job_rules(jobs, ents, tens).fillna("").collect())
+    assert got == sorted([
+        ("bad_tier", "weekly", "7,0"), ("tenant_list_required", "weekly", "tenant_keys"), ("unknown_entity", "weekly", "include_entities:ghosts"),
+        ("unknown_entity", "weekly", "exclude_entities:phantom"), ("unknown_tenant", "weekly", "exclude_keys:x"),
+        ("unknown_tenant", "adhoc", "tenant_keys:zz"), ("unknown_tenant_mode", "adhoc", "some"),
+        ("missing_job_name", " ", ""), ("tenant_list_required", " ", "exclude_keys")])
 
 
 def test_step_rules_and_expected_columns(spark):
