@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from inventa.session import scratch_path
 
 # Fixed values.
 MAX_PAGE = 100
@@ -41,18 +42,18 @@ def active_only(df: DataFrame, status_col: str = "status") -> DataFrame:
     return df.filter(~F.col(status_col).isin(*TERMINAL_BATCH_STATUSES))
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """A 0-based global index in ``order_by`` order without moving all
     rows into one partition.
 
-    Rows are range-sorted; each row's position inside its partition comes
+    Rows are range-sorted and written once to the shared folder; each row's position inside its partition comes
     from ``monotonically_increasing_id`` (low 33 bits) and each partition's
     start from a running sum over the per-partition counts — a table with
     one row per partition, so its broadcast is bounded by the partition
-    count.  ``order_by`` must be unique so a recomputation after a lost
-    executor gives the same index."""
-    sorted_df = df.sort(*order_by).withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.persist(StorageLevel.MEMORY_AND_DISK)
+    count.  The written rows keep their index when an executor is lost."""
+    aside = scratch_path(df.sparkSession, "row_index")
+    df.sort(*order_by).withColumn("_mid", F.monotonically_increasing_id()).write.parquet(aside)
+    sorted_df = df.sparkSession.read.parquet(aside)
     pid = F.shiftright(F.col("_mid"), 33)
     counts = sorted_df.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
@@ -63,3 +64,11 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
            .withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
            .drop("_pid", "_start", "_mid"))
     return out
+
+
+def ordered_listing(df: DataFrame, order_by: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """A whole listing in a stated order (versions newest first, runbooks by
+    name, members by key), each row with its 1-based position; the order is
+    built over range partitions, never in one task."""
+    out = with_row_index(df, order_by, name)
+    return out.withColumn(name, F.col(name) + 1)

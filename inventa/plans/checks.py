@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inventa.functions.numeric import money_sum
 from inventa.functions.text import EMPTY_GUID
 from inventa.operators import enrich as EN
+from inventa.operators import listing as L
 from inventa.operators import quality as Q
 from inventa.operators.scd import merge_latest
 from inventa.plans.registry import register
@@ -293,6 +294,50 @@ def phase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.phase_rules(books, phases, "runbook", "phase", "offset", "n_steps")
 
 
+@register("version_listing", sql="""
+SELECT p_brand AS runbook, p_size * 100000 + p_partkey AS version,
+       row_number() OVER (ORDER BY p_brand, p_size * 100000 + p_partkey DESC) AS position FROM part
+""")
+def version_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runbook versions, by name and newest first."""
+    v = table(spark, sf_dir, "part").select(F.col("p_brand").alias("runbook"),
+                                            (F.col("p_size") * 100000 + F.col("p_partkey")).alias("version"))
+    return L.ordered_listing(v, ["runbook", F.col("version").desc()])
+
+
+@register("job_config_rules", sql="""
+WITH j AS (SELECT CASE WHEN s_suppkey % 17 = 0 THEN ' ' ELSE 'job' || s_suppkey END AS name, s_suppkey % 7 AS tier, s_suppkey % 4 AS m,
+             CASE WHEN s_suppkey % 3 = 0 THEN 'R' || (s_nationkey % 7) END AS t, CASE WHEN s_suppkey % 5 = 0 THEN 'R' || (s_nationkey % 6) END AS x,
+             'N' || (s_suppkey % 30) AS e, 'N' || (s_suppkey % 27) AS f FROM supplier)
+SELECT 'missing_job_name' AS rule, name AS item, CAST(NULL AS VARCHAR) AS detail FROM j WHERE trim(name) = ''
+UNION ALL SELECT 'bad_tier', name, CAST(tier AS VARCHAR) FROM j WHERE tier NOT BETWEEN 1 AND 5
+UNION ALL SELECT 'unknown_tenant_mode', name, 'some' FROM j WHERE m = 3
+UNION ALL SELECT 'tenant_list_required', name, 'tenant_keys' FROM j WHERE m = 1 AND t IS NULL
+UNION ALL SELECT 'tenant_list_required', name, 'exclude_keys' FROM j WHERE m = 2 AND x IS NULL
+UNION ALL SELECT 'unknown_entity', name, 'include_entities:' || e FROM j WHERE CAST(substr(e, 2) AS INTEGER) > 24
+UNION ALL SELECT 'unknown_entity', name, 'exclude_entities:' || f FROM j WHERE CAST(substr(f, 2) AS INTEGER) > 24
+UNION ALL SELECT 'unknown_tenant', name, 'tenant_keys:' || t FROM j WHERE CAST(substr(t, 2) AS INTEGER) > 4
+UNION ALL SELECT 'unknown_tenant', name, 'exclude_keys:' || x FROM j WHERE CAST(substr(x, 2) AS INTEGER) > 4
+""")
+def job_config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job rules over suppliers as jobs, nations as entities and
+    regions as tenants."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+
+    def one(prefix: str, value: Column) -> Column:
+        return F.array(F.concat(F.lit(prefix), value.cast("string")))
+
+    jobs = table(spark, sf_dir, "supplier").select(
+        F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("job"), k.cast("string"))).alias("name"),
+        F.array((k % 7).cast("int")).alias("include_tiers"),
+        F.when(k % 4 == 0, "all").when(k % 4 == 1, "specific").when(k % 4 == 2, "all_except").otherwise("some").alias("tenant_mode"),
+        F.when(k % 3 == 0, one("R", n % 7)).alias("tenant_keys"), F.when(k % 5 == 0, one("R", n % 6)).alias("exclude_keys"),
+        one("N", k % 30).alias("include_entities"), one("N", k % 27).alias("exclude_entities"))
+    entities = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"))
+    tenants = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("tenant_key"))
+    return Q.job_rules(jobs, entities, tenants)
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
