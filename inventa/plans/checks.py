@@ -193,13 +193,12 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("folder_statistics", sql="""
 SELECT o.o_orderkey AS mailbox_id, COUNT(*) AS n_folders, SUM(l.l_quantity) AS item_count
 FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-WHERE o.o_orderstatus = 'O'
 GROUP BY 1
 """)
 def folder_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder statistics (line items) carry their mailbox's id
-    (open orders) down, then roll up per mailbox."""
-    mailboxes = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "O")
+    (orders) down, then roll up per mailbox."""
+    mailboxes = table(spark, sf_dir, "orders")
     folders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mailbox_id"), "l_quantity")
     x = EN.copy_key_down(mailboxes, folders, "o_orderkey", "mailbox_id")
     return x.groupBy("mailbox_id").agg(F.count(F.lit(1)).alias("n_folders"), F.sum("l_quantity").alias("item_count"))

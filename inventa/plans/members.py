@@ -119,19 +119,17 @@ def resume_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("member_refresh", sql=f"""
 SELECT a.member_key, c.c_acctbal AS fresh_balance, c.c_mktsegment AS fresh_segment
 FROM ({ACTIVE_CUSTOMERS_SQL}) a JOIN customer c ON lower(a.member_key) = lower(c.c_name)
-WHERE c.c_mktsegment <> 'HOUSEHOLD'
 """)
 def member_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active members still returned by the query get the fresh row."""
-    cur = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != "HOUSEHOLD")
+    cur = table(spark, sf_dir, "customer")
     r = M.refresh_members(_active_members(spark, sf_dir), cur, "member_key", "c_name")
     return r.select("member_key", F.col("_fresh.c_acctbal").alias("fresh_balance"),
                     F.col("_fresh.c_mktsegment").alias("fresh_segment"))
 
 
 @register("member_add", sql=f"""
-WITH r AS (SELECT DISTINCT c_mktsegment, lower(c_name) AS k FROM customer
-           WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')),
+WITH r AS (SELECT DISTINCT c_mktsegment, lower(c_name) AS k FROM customer),
      a AS (SELECT DISTINCT lower(member_key) AS k FROM ({ACTIVE_CUSTOMERS_SQL}))
 SELECT c_mktsegment,
        COUNT(*) FILTER (WHERE k NOT IN (SELECT k FROM a)) AS n_added,
@@ -140,7 +138,7 @@ FROM r GROUP BY 1
 """)
 def member_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual member add per segment: added vs already-active counts."""
-    req = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("AUTOMOBILE", "MACHINERY"))
+    req = table(spark, sf_dir, "customer")
     return M.add_members(req, _active_members(spark, sf_dir), "c_name", "member_key", ["c_mktsegment"])
 
 

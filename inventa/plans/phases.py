@@ -292,10 +292,13 @@ VERSION_TEMPLATES = {1: "move {{c_name}}", 2: "notify {{c_mktsegment}}", 3: "syn
 
 
 @register("catch_up", sql=f"""
-WITH m AS (SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE'),
+WITH m AS (SELECT * FROM customer),
      p AS (SELECT o_orderkey, o_custkey, CAST(left(o_orderpriority, 1) AS INTEGER) AS v
            FROM orders WHERE o_orderstatus IN ('P', 'F'))
-SELECT m.c_custkey, p.o_orderkey,
+SELECT m.c_custkey, p.o_orderkey, 1 AS step_index, 'confirm ' || m.c_name AS step_text
+FROM m JOIN p ON m.c_custkey = p.o_custkey
+UNION ALL
+SELECT m.c_custkey, p.o_orderkey, 0,
   CASE p.v WHEN 1 THEN 'move ' || m.c_name WHEN 2 THEN 'notify ' || m.c_mktsegment
            WHEN 3 THEN 'sync ' || m.c_name || '/' || CAST(m.c_nationkey AS VARCHAR)
            WHEN 5 THEN 'done ' || CAST(m.c_custkey AS VARCHAR) END AS step_text
@@ -304,18 +307,21 @@ WHERE p.v <> 4
 """)
 def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A member added late catches up on its batch's already
-    dispatched/completed phases, each with the step template of the phase's
-    own runbook version; phases whose template does not resolve are skipped."""
-    m = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "FURNITURE")
+    dispatched/completed phases: every step of the phase, the first with the
+    template of the phase's own runbook version; a step whose template does not
+    resolve is skipped."""
+    m = table(spark, sf_dir, "customer")
     p = (table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("P", "F"))
          .select("o_orderkey", F.col("o_custkey").alias("c_custkey"),
                  F.substring("o_orderpriority", 1, 1).cast("int").alias("v")))
     tmpl = F.create_map(*[x for k, t in VERSION_TEMPLATES.items() for x in (F.lit(k), F.lit(t))])
     data = F.map_concat(J.row_to_string_map(["c_custkey", "c_name", "c_mktsegment"]),
                         F.create_map(F.lit("_nation"), F.col("c_nationkey").cast("string")))
-    x = m.join(p, "c_custkey").withColumn("_e", TP.expand(tmpl[F.col("v")], data))
+    steps = F.array(tmpl[F.col("v")], F.lit("confirm {{c_name}}"))
+    x = (m.join(p, "c_custkey").select("*", F.posexplode(steps).alias("step_index", "_t"))
+         .withColumn("_e", TP.expand(F.col("_t"), data)))
     return (x.filter(F.size("_e.unresolved") == 0)
-            .select("c_custkey", "o_orderkey", F.col("_e.text").alias("step_text")))
+            .select("c_custkey", "o_orderkey", "step_index", F.col("_e.text").alias("step_text")))
 
 
 # The phase's steps: (name, parameter template).
