@@ -12,7 +12,8 @@ computed in blocks and cut down by bounds that lose no pair:
    parity sketches are close enough (their distance bounds the symmetric
    difference from below) are checked on their whole sets: first one pair per
    class, then those whose classes these links leave apart.
-4. Grams of more classes, as far as such links leave them apart: the classes are dealt into blocks of about ``BLOCK``;
+4. Grams of more classes, as far as such links leave classes apart that the
+   bounds would let link: these are dealt into blocks of about ``BLOCK``;
    each block's overlap counts are accumulated as a matrix product and only a
    spanning set of links leaves the task.  Then only classes outside the
    gram's largest component so far visit the other blocks, so that a group of
@@ -279,11 +280,15 @@ def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
     sized = stored(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "sized")
     bits = classes.select("node", "n", "sketch")
 
+    def near(na, sa, nb, sb):
+        """Size and sketch bounds: false only for pairs that cannot link."""
+        apart = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+        return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+                & (apart * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
+
     def close(candidates: DataFrame) -> DataFrame:
         both = candidates.join(bits.toDF("a", "na", "sa"), "a").join(bits.toDF("b", "nb", "sb"), "b")
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-        return both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                          & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
+        return both.where(near("na", "sa", "nb", "sb")).select("a", "b")
 
     pairs = stored(close(sized), "pairs")
     large = kept.where(F.col("m") > SMALL).select("key", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -304,19 +309,27 @@ def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
     if large.isEmpty():
         return links
 
-    def torn(found: DataFrame) -> DataFrame:
-        """Members of large groups of several components, with theirs and the
-        group's main one."""
+    def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of groups of several components, with the rows' components
+        and the group's main one."""
         comps = connected(found).withColumnRenamed("comp", "c")
-        placed = stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "placed")
+        placed = stored(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "placed")
         main = (placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
                 .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")))
         return placed.join(main.where("comps > 1"), "key")
 
+    # of these, only members that the bounds leave a partner in another
+    # component (a semi join: one row per member, however many partners)
     members = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_ = torn(links).select("key", "block", "node")
-    links = stored(links.unionByName(_block_links(open_.join(sets, "node"), percent)), "links")
-    split = torn(links).where("blocks > 1")
+    open_ = torn(members, links).select("key", "blocks", "block", "node", "comp").join(bits, "node")
+    a, b = open_.alias("a"), open_.alias("b")
+    open_ = stored(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
+                          & near("a.n", "a.sketch", "b.n", "b.sketch"), "left_semi")
+                   .select("key", "blocks", "block", "node"), "open")
+    if open_.isEmpty():
+        return links
+    links = stored(links.unionByName(_block_links(open_.select("key", "block", "node").join(sets, "node"), percent)), "links")
+    split = torn(open_, links).where("blocks > 1")
     guests = (split.where("comp <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .where("to <> block").withColumn("block", F.col("to")).withColumn("visits", F.lit(True)))
     columns = ["key", "block", "node", "comp", "visits"]
