@@ -77,10 +77,9 @@ def _counts(docs: DataFrame, width: int) -> np.ndarray:
 
         n = np.zeros(1 << 16, dtype=np.int64)
         for batch in T.sliced(batches):
-            for grams in gram_sets(T.as_bytes(batch.column(0)), width):
-                n += np.bincount((grams >> _SHIFT).astype(np.int64), minlength=1 << 16) if len(grams) > 4096 else 0
-                if len(grams) <= 4096:
-                    np.add.at(n, (grams >> _SHIFT).astype(np.int64), 1)
+            sets = list(gram_sets(T.as_bytes(batch.column(0)), width))
+            if sets:
+                n += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=1 << 16)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["b", "n"])
 
