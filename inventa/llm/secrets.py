@@ -6,8 +6,9 @@ runs).  Two weaker candidates mean little alone: a mixed 40-character key
 text links them: a key counts only where an access identifier lies within
 ``REACH`` code points, an endpoint only where an identifier and a secret (an
 assignment or a linked key) both do.  The join's keys are the text and a bin of
-``REACH`` positions, so no text's or bin's candidates are paired beyond their
-neighbours, and only texts that hold complementary parts take part.
+``REACH`` positions, every bin that a candidate touches and one more on each
+side of its complements, so no text's or bin's candidates are paired beyond
+their neighbours, and only texts that hold complementary parts take part.
 
 All work is DataFrame operations.  Positions are code points, ends exclusive.
 
@@ -93,24 +94,24 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     """(doc_id, text_hash, linked): the weak candidates that have complements."""
     both = parts.where((F.size("access") > 0) & (F.size("key") + F.size("endpoint") > 0)).distinct()
 
-    def rows(name: str, wide: bool) -> DataFrame:
-        bin_ = F.floor(F.col("s.start") / reach)
-        bins = F.sequence(bin_ - 1, F.floor((F.col("s.end") - 1) / reach) + 1) if wide else F.array(bin_)
-        return (both.select("doc_id", "text_hash", F.explode(name).alias("s"))
-                .select("doc_id", "text_hash", F.explode(bins).alias("bin"), "s"))
+    def rows(name: str) -> DataFrame:
+        return both.select("doc_id", "text_hash", F.explode(name).alias("s"))
+
+    def binned(rows: DataFrame, wider: int) -> DataFrame:
+        # a span may meet another at its end itself, so that bin counts too
+        bins = F.sequence(F.floor(F.col("s.start") / reach) - wider, F.floor(F.col("s.end") / reach) + wider)
+        return rows.select("doc_id", "text_hash", F.explode(bins).alias("bin"), "s")
 
     def near(weak: DataFrame, strong: DataFrame) -> DataFrame:
-        a, b = weak.alias("a"), strong.alias("b")
+        a, b = binned(weak, 0).alias("a"), binned(strong, 1).alias("b")
         on = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
               & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.s.start") <= F.col("b.s.end") + reach)
               & (F.col("b.s.start") <= F.col("a.s.end") + reach))
-        return a.join(b, on, "left_semi")
+        return a.join(b, on, "left_semi").select("doc_id", "text_hash", "s").distinct()
 
-    access = rows("access", True)
-    keys = near(rows("key", False), access)
-    wide_keys = keys.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.floor((F.col("s.end") - 1) / reach) + 1)))
-    secrets = rows("assign", True).unionByName(wide_keys.select("doc_id", "text_hash", "bin", "s"))
-    ends = near(near(rows("endpoint", False), access), secrets)
+    access = rows("access")
+    keys = near(rows("key"), access)
+    ends = near(near(rows("endpoint"), access), rows("assign").unionByName(keys))
     return (keys.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("linked")))
 
 

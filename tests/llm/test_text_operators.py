@@ -216,6 +216,38 @@ def test_secret_spans(spark, secret_texts):
     assert by_id[33] == ["access"] and by_id[34] == ["access", "assign", "endpoint"]
 
 
+def _brute_linked(spans, reach):
+    """The weak spans with complements, over all pairs of spans."""
+    def near(weak, strong):
+        return {a for a in weak if any(a[0] <= b[2] + reach and b[0] <= a[2] + reach for b in strong)}
+
+    of = {kind: {s for s in spans if s[3] == kind} for kind in secrets.KINDS}
+    keys = near(of["key"], of["access"])
+    return keys | near(near(of["endpoint"], of["access"]), of["assign"] | keys)
+
+
+def test_secret_links_against_all_pairs(spark):
+    rng = random.Random(5)
+    url = lambda n: "https://h.example/" + "u" * (n - 18)
+    at = lambda t, n: t + " " * (n - len(t))
+    docs = [(1, f"{url(900)}{ACCESS}{'u' * 80} password=hunter22"), (2, at(at("", 365) + KEY, 800) + ACCESS),
+            (3, at(url(1200), 1500) + ACCESS + " " * 300 + "token=abcdefg"), (4, f"token=abcdefg {' ' * 300}{url(2500)} {' ' * 380}{ACCESS}")]
+    for gap in range(360, 403):  # both orders, at and beside the borders of bins
+        for edge in (400, 437, 800):
+            docs.append((len(docs) + 1, at(at("", edge - 40) + KEY, edge + gap) + ACCESS))
+            docs.append((len(docs) + 1, at(at("", edge - 20) + ACCESS, edge + gap) + KEY))
+            docs.append((len(docs) + 1, at(at("", edge - 20) + url(20), edge + gap) + f"{ACCESS} token=abcdefg"))
+    for _ in range(60):
+        parts = [rng.choice([KEY, ACCESS, "token=abcdefg", url(rng.choice([30, 500, 1300])), " " * rng.randint(1, 500)]) for _ in range(12)]
+        docs.append((len(docs) + 1, " ".join(parts)))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(frame(spark, docs)).collect()}
+    for i, t in docs:
+        weak = [(m.start(), no, m.end(), kind) for no, kind, p in ((3, "key", secrets.KEY), (4, "endpoint", secrets.ENDPOINT))
+                for m in re.finditer(p, t)]
+        assert got[i] == sorted(_base(t) + list(_brute_linked(set(_base(t) + weak), secrets.REACH))), (i, t)
+    assert "endpoint" in [s[3] for s in got[1]] and "key" in [s[3] for s in got[2]] and "endpoint" in [s[3] for s in got[4]]
+
+
 def test_secret_redaction(spark, secret_texts):
     got = {r["doc_id"]: r for r in secrets.redact(frame(spark, secret_texts)).collect() if r["doc_id"] is not None}
     assert got[30]["text"] == "id <access> key <key> at <endpoint>" and got[30]["key"] == 2
