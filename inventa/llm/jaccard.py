@@ -90,7 +90,7 @@ def _counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, sketch, prefix) per row; node 0 for an empty set."""
+    """(doc_id, text_hash, n, node, sketch, prefix) per row; node 0 for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, width))
 
     def sketch(batches):
@@ -98,7 +98,7 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         for batch in T.sliced(batches):
             n, node, bits, prefix = [], [], [], []
-            for grams in gram_sets(T.as_bytes(batch.column(1)), width):
+            for grams in gram_sets(T.as_bytes(batch.column(2)), width):
                 size = len(grams)
                 keep = size + percent * -size // 100 + 1 if size else 0
                 order = np.lexsort((grams, counts.value[(grams >> _SHIFT).astype(np.int64)]))[:keep]
@@ -108,12 +108,13 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 prefix.append(grams[order].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                  pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "sketch", "prefix"])
+                ["doc_id", "text_hash", "n", "node", "sketch", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch array<long>, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n long, node long, "
+                "sketch array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -353,16 +354,21 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of one document (that of least id) per component; rows that
-    repeat it are dropped too, textless rows stay."""
-    first = (components(docs, width, percent).where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("first_id"), (F.col("n_shingles") == 0).alias("empty")).distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col("doc_id"), F.xxhash64("text").alias("h"), (~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")).alias("empty"))
-    f = first.alias("f")
-    kept = rows.join(f, F.col("doc_id").eqNullSafe(F.col("f.first_id")) & (rows["empty"] == F.col("f.empty")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "empty").orderBy("h"))
-    return kept.withColumn("nth", nth).where(F.col("empty") | (F.col("nth") == 1)).select("row.*")
+    """One row per component: of its rows of least id (null ids last) that of
+    least text hash; rows that repeat it in id and text are dropped too, textless
+    rows stay.  Rows of other components stay whatever their id is."""
+    rows = stored(_sketched(docs, width, percent), "sketches")
+    comps = connected(_links(docs, rows, width, percent))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    first = (rows.where("node <> 0").groupBy("node").agg(least.alias("first")).join(comps, "node", "left")
+             .groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("first").alias("first"))
+             .select(F.struct("first.doc_id").alias("id"), F.col("first.text_hash").alias("h")))
+    # a struct, so that null ids are equal; the repeats go before the shuffle
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id").alias("id"),
+                        F.xxhash64("text").alias("h"), (~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")).alias("empty"))
+    nth = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    kept = every.where(~F.col("empty")).withColumn("nth", nth).where("nth = 1").join(first, ["id", "h"], "left_semi")
+    return kept.select("row.*").unionByName(every.where("empty").select("row.*"))
 
 
 _SQL = r"""

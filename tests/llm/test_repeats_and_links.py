@@ -163,6 +163,18 @@ def test_one_of_each(spark):
     assert jaccard.components(frame(spark, [])).collect() == []
 
 
+def test_one_of_each_of_null_and_shared_ids(spark):
+    text = lambda k: " ".join(f"{k}_{i}" for i in range(40))
+    docs = [(None, text(f"n{k}")) for k in range(5)] + [(None, text("n0"))] * 2  # unlinked, one of them repeated
+    docs += [(7, text("p")), (7, text("q")), (8, text("q") + " end"), (7, text("q"))]  # one id, two texts
+    docs += [(5, text("r")), (None, text("r") + " end"), (None, text("s") + " end"), (None, text("s"))]  # copies without id
+    docs += [(None, None), (None, ""), (7, " "), (7, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(frame(spark, docs)).collect()]
+    free = [r for r in kept if r[0] is None and r[1] and r[1].startswith("s_")]
+    want = [(None, text(f"n{k}")) for k in range(5)] + [(7, text("p")), (7, text("q")), (5, text("r"))] + docs[-4:]
+    assert len(free) == 1 and _sortable(kept) == _sortable(want + free)
+
+
 def test_connected_chain_and_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(100, 140)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in jaccard.connected(spark.createDataFrame(links, "a long, b long")).collect()}
