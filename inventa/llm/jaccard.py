@@ -118,7 +118,7 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, grams) of the wanted (node, doc_id): the hashes as bytes."""
+    """(node, grams) of the wanted (node, doc_id, text_hash): the hashes as bytes."""
     def build(batches):
         import pyarrow as pa
 
@@ -131,8 +131,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [batch.column(0).filter(pa.array(own)), pa.array([s.tobytes() for s, k in zip(sets, own) if k], pa.binary())],
                 ["node", "grams"])
 
-    w = wanted.select("node", F.col("doc_id").alias("wanted_id"))
-    texts = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    # the hash, so that a shared or null id meets the copies of a class only
+    w = wanted.select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(
+        w, (F.col("h") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     return texts.select("node", "text").mapInArrow(build, "node long, grams binary")
 
 
@@ -263,8 +265,9 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
 def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect the classes of ``rows`` as all their links would."""
     classes = (rows.where("node <> 0").groupBy("node")
-               .agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"),
-                    F.any_value("prefix").alias("prefix")))
+               .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.any_value("n").alias("n"),
+                    F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
+               .select("node", "first.doc_id", "first.text_hash", "n", "sketch", "prefix"))
     classes = stored(classes, "classes")
     entries = classes.select("node", "n", F.explode("prefix").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "keys")
@@ -293,7 +296,7 @@ def _links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFr
     pairs = stored(close(sized), "pairs")
     large = kept.where(F.col("m") > SMALL).select("key", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
-    sets = stored(_sets(docs, wanted.distinct().join(classes.select("node", "doc_id"), "node"), width), "sets")
+    sets = stored(_sets(docs, wanted.distinct().join(classes.select("node", "doc_id", "text_hash"), "node"), width), "sets")
 
     # first each class with one partner only (its least, or a large group's):
     # what these links connect needs no further pair

@@ -175,6 +175,22 @@ def test_one_of_each_of_null_and_shared_ids(spark):
     assert len(free) == 1 and _sortable(kept) == _sortable(want + free)
 
 
+def test_sets_of_many_texts_without_id(spark, monkeypatch):
+    docs = [(None if i % 3 else i, " ".join(f"{k}_{i}" for i in range(40)) + end) for i, (k, end) in
+            enumerate((k, end) for k in range(20) for end in ("", " end"))]
+    df, fetched = frame(spark, docs), []
+    whole = type(df).mapInArrow
+
+    def counted(self, func, schema, *rest, **named):
+        if schema == "node long, grams binary":
+            fetched.append(self.count())
+        return whole(self, func, schema, *rest, **named)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    got = jaccard.components(df).collect()
+    assert _sortable(map(tuple, got)) == _sortable(_brute_components(docs, 3, 90)) and fetched == [len(docs)]
+
+
 def test_connected_chain_and_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(100, 140)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in jaccard.connected(spark.createDataFrame(links, "a long, b long")).collect()}
