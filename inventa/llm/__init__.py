@@ -5,7 +5,8 @@ filled by the operator modules and added to the driver contract by
 ``__spark_entry__``.
 """
 
-from inventa.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, pii, quality, secrets, substrings  # noqa: F401
+from inventa.llm import (  # noqa: F401
+    bpe, chat, decontaminate, fim, fingerprint, jaccard, langid, negatives, pii, quality, secrets, substrings, toxicity)
 from inventa.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
