@@ -154,6 +154,16 @@ def _blocks(rows: DataFrame, directions: np.ndarray, scale: int, block_rows: int
     return stored(dealt.drop("near", "own").withColumn("block", F.spark_partition_id()), "blocks")
 
 
+def _parts(anchors: DataFrame, rows: int, blocks: int, block_rows: int) -> DataFrame:
+    """The anchors with the number of their part: those of neighbouring blocks,
+    and dealt by id where these hold more than ``block_rows``."""
+    share = max(1, blocks * block_rows // max(rows, 1))
+    anchors = anchors.withColumn("home", F.expr(f"block div {share}")).drop("block")
+    size = anchors.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("deals"))
+    part = F.col("home") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("deals"))
+    return anchors.join(size, "home").withColumn("part", part).drop("home", "deals")
+
+
 def _bounds(blocks: DataFrame, directions: int) -> DataFrame:
     """Per block: ranges of labels, norms and angles."""
     per = [f(F.col("theta")[r]).alias(f"{n}{r}") for r in range(directions) for n, f in (("a", F.min), ("z", F.max))]
@@ -316,11 +326,9 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 1
     chosen = _directions(usable, scale, directions, sample_bound)
     blocks = _blocks(usable, chosen, scale, block_rows)
     bounds = stored(_bounds(blocks, len(chosen)), "bounds")
-    marked = blocks.where(anchor).drop("block")
-    parts = max(1, -(-marked.count() // block_rows))
+    marked = _parts(blocks.where(anchor), blocks.count(), bounds.count(), block_rows)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.lit(-TOP).alias("lo"), F.lit(TOP).alias("hi")))
-    marked = stored(marked.repartitionByRange(parts, "label", "vec_id").withColumn("part", F.spark_partition_id())
-                    .withColumn("anchor", F.monotonically_increasing_id()).withColumn("windows", everything), "anchors")
+    marked = stored(marked.withColumn("anchor", F.monotonically_increasing_id()).withColumn("windows", everything), "anchors")
     near = _searched(marked, blocks, bounds, len(chosen), scale, True, positives)
     near = stored(near.select("anchor", F.col("rank").cast("long").alias("slot"), F.col("vec_id").alias("positive_id"),
                               F.col("score").alias("positive_score")), "positives")
