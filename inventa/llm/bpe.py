@@ -5,8 +5,9 @@ texts become token-position rows (piece, position, token), one per byte.  A
 recursive query joins neighbouring tokens to the merge table and contracts each
 piece's leftmost pair of least rank, round by round, until no piece has a pair
 left.  Decoding joins the ids to the vocabulary and aggregates the bytes in
-order of position.  A task keeps the pieces it has encoded, up to a bounded
-number, and one in-memory database of bounded size.
+order of position.  A worker process keeps the pieces it has encoded, up to a
+bounded number, and one in-memory database of bounded size that has no folder to
+spill to: a query's pieces are bounded by the rows of all their rounds together.
 
 A piece of over ``LONG_PIECE`` bytes (a run of thousands of letters or blanks)
 would need as many rounds as it has merges, each over its whole row set; it goes
@@ -24,6 +25,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+import types
 from itertools import chain
 
 import numpy as np
@@ -36,7 +39,8 @@ from inventa.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_PIECE = 192
-CACHED_PIECES = 250_000
+CACHED_PIECES = 600_000
+ROUND_ROWS = 3_000_000
 MEMORY = "250MB"
 
 # a found pair is one number (new token, its position, the position that goes,
@@ -53,8 +57,7 @@ WITH RECURSIVE step(w, pos, nxt, id, n) AS (
    SELECT s.w, s.pos, CASE WHEN s.pos = ((k >> 16) & 255) THEN (k & 255)::INTEGER ELSE s.nxt END,
           CASE WHEN s.pos = ((k >> 16) & 255) THEN (k >> 24)::INTEGER ELSE s.id END, s.n + 1
    FROM step s JOIN best ON s.w = best.w WHERE s.pos <> ((k >> 8) & 255)))
-SELECT s.w, s.id FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) l ON s.w = l.w AND s.n = l.n
-ORDER BY s.w, s.pos
+SELECT w, pos, id, n FROM step
 """
 
 _DECODE = """
@@ -83,7 +86,7 @@ class Codec:
         self.decimal = [b"%d" % i for i in range(len(tokens))]
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:")
-        self.db.execute(f"SET threads TO 1; SET memory_limit = '{MEMORY}'; SET preserve_insertion_order = true")
+        self.db.execute(f"SET threads TO 1; SET memory_limit = '{MEMORY}'; SET temp_directory = ''")
         pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t))
                  if t[:k] in self.rank and t[k:] in self.rank]
         self._load("merges", np.array(pairs, dtype=np.int32).reshape(-1, 3), ("a", "b", "id"))
@@ -104,7 +107,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.packed: list[bytes] = []
         self.text: list[bytes] = []
 
     def _contract(self, piece: bytes) -> list[int]:
@@ -135,39 +138,54 @@ class Codec:
             offer(prev[i])
         return [ids[i] for i in range(size) if token[i]]
 
+    def _contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of one query: their ids, one after the other, and where each begins."""
+        size = np.array([len(b) for b in raw], dtype=np.int32)
+        w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
+        ids = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        self._load("bytes_of_pieces", np.stack((w, pos, pos + 1, ids), axis=1), ("w", "pos", "nxt", "id"))
+        out = self.db.execute(_ENCODE).fetchnumpy()
+        # a piece's last round holds its tokens
+        last = np.zeros(len(raw), dtype=out["n"].dtype)
+        np.maximum.at(last, out["w"], out["n"])
+        kept = np.flatnonzero(out["n"] == last[out["w"]])
+        w = out["w"][kept]
+        by = np.argsort((w.astype(np.int64) << 8) + out["pos"][kept], kind="stable")
+        return out["id"][kept][by].astype(np.int32), np.searchsorted(w[by], np.arange(len(raw) + 1))
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet."""
         raw = [p.encode() for p in pieces]
-        short = [i for i, b in enumerate(raw) if len(b) <= LONG_PIECE]
-        done: dict[int, list[int]] = {i: self._contract(b) for i, b in enumerate(raw) if len(b) > LONG_PIECE}
-        if short:
-            size = np.array([len(raw[i]) for i in short], dtype=np.int32)
-            w = np.repeat(np.arange(len(short), dtype=np.int32), size)
-            pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
-            ids = self.of_byte[np.frombuffer(b"".join(raw[i] for i in short), dtype=np.uint8)]
-            self._load("bytes_of_pieces", np.stack((w, pos, pos + 1, ids), axis=1), ("w", "pos", "nxt", "id"))
-            out = self.db.execute(_ENCODE).fetchnumpy()
-            cut = np.searchsorted(out["w"], np.arange(len(short) + 1)).tolist()
-            flat = out["id"].tolist()
-            done.update((i, flat[a:b]) for i, a, b in zip(short, cut, cut[1:]))
+        # rows of all rounds: at most half the square of a piece's length
+        most = np.cumsum([len(b) * (len(b) + 1) // 2 if len(b) <= LONG_PIECE else 0 for b in raw])
+        done: dict[int, np.ndarray] = {}
+        for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(most // ROUND_ROWS)) + 1):
+            short = [i for i in part.tolist() if len(raw[i]) <= LONG_PIECE]
+            done.update((i, np.array(self._contract(raw[i]), dtype=np.int32)) for i in part.tolist() if len(raw[i]) > LONG_PIECE)
+            if short:
+                ids, cut = self._contracted([raw[i] for i in short])
+                done.update((i, ids[a:b]) for i, a, b in zip(short, cut.tolist(), cut[1:].tolist()))
         for i, piece in enumerate(pieces):
-            self.known[piece] = len(self.ids)
-            self.ids.append(done[i])
-            self.text.append(b" ".join([self.decimal[x] for x in done[i]]))
+            self.known[piece] = len(self.packed)
+            self.packed.append(done[i].tobytes())
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Per text: its ids, and them as decimals joined by one space."""
+    def encode(self, texts: list[str], text: bool = False) -> list[tuple[np.ndarray, bytes]]:
+        """Per text: its ids, and if asked for, them as decimals joined by one space."""
         if len(self.known) > CACHED_PIECES:
             self._forget()
         split = [self.pattern.findall(t) for t in texts]
         new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known]
         if new:
             self._learn(new)
+        if text:
+            for ids in self.packed[len(self.text):]:
+                self.text.append(b" ".join(map(self.decimal.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())))
         out = []
         for s in split:
             at = list(map(self.known.__getitem__, s))
-            ids = np.array(list(chain.from_iterable(map(self.ids.__getitem__, at))), dtype=np.int32)
-            out.append((ids, b" ".join(map(self.text.__getitem__, at))))
+            ids = np.frombuffer(b"".join(map(self.packed.__getitem__, at)), dtype=np.int32)
+            out.append((ids, b" ".join(map(self.text.__getitem__, at)) if text else b""))
         return out
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
@@ -175,18 +193,27 @@ class Codec:
         size = np.array([len(r) for r in rows], dtype=np.int64)
         if not size.sum():
             return [b""] * len(rows)
-        ids = np.concatenate(rows).astype(np.int32)
+        ids = np.concatenate(rows)
         if ids.min() < 0 or ids.max() >= len(self.tokens):
             raise ValueError("token id outside the vocabulary")
         doc = np.repeat(np.arange(len(rows)), size)
         pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-        self._load("tokens", np.stack((doc, pos, ids.astype(np.int64)), axis=1), ("doc", "pos", "id"))
+        self._load("tokens", np.stack((doc, pos, ids), axis=1).astype(np.int32), ("doc", "pos", "id"))
         out = [b""] * len(rows)
         for d, h in self.db.execute(_DECODE).fetchall():
             out[d] = bytes.fromhex(h)
         return out
 
 
+def _codec(key: tuple, make) -> Codec:
+    """The codec of this worker process: later tasks find it again, with the
+    pieces it knows."""
+    kept = sys.modules.setdefault("_kept_codec", types.ModuleType("_kept_codec"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.codec = key, make()
+    return kept.codec
+
+
 def _vocabulary(path: str | None, pattern: str | None) -> tuple[list[bytes], str]:
     import public_tokenizers
 
@@ -214,7 +241,7 @@ def _mapped(rows: DataFrame, column: str, fields: list[tuple[str, str]], make, p
         import pyarrow as pa
 
         arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-        codec = Codec(*shared.value)
+        codec = _codec((path, pattern), lambda: Codec(*shared.value))
         for batch in batches:
             values = batch.column(names.index(column)).to_pylist()
             for lo, hi in _slices([v or "" for v in values]):
@@ -252,7 +279,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, from encoding and
     decoding again in the same task."""
     def make(codec, texts):
-        coded = codec.encode([t or "" for t in texts])
+        coded = codec.encode([t or "" for t in texts], text=True)
         back = codec.decode([ids for ids, _ in coded])
         return [(len(ids), hashlib.sha256(s).hexdigest(), hashlib.sha256(b).hexdigest()) for (ids, s), b in zip(coded, back)]
 

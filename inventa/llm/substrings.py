@@ -326,7 +326,9 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
 
 @register("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated 400-byte strings removed from every whole document."""
+    """Repeated 400-byte strings removed from every whole document; ``text`` is
+    what is left, with marks for the halves of cut characters."""
     return remove(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.expr("make_valid_utf8(cast(kept AS string))").alias("text"))
