@@ -43,7 +43,6 @@ class WindowSet:
     """Hashes of benchmark windows, with the words and items to verify hits."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.n = n
         self.by_size: dict[int, np.ndarray] = {}
         self.windows: dict[tuple[int, int], list[tuple[bytes, list[str]]]] = {}
         found: dict[int, list[int]] = {}
@@ -65,6 +64,14 @@ class WindowSet:
         for size, hashes in found.items():
             self.by_size[size] = np.unique(np.array(hashes, dtype=np.uint64))
 
+    @classmethod
+    def of(cls, by_size, windows) -> WindowSet:
+        """A set from its plain parts, the form in which it is broadcast (a
+        class of this package could not be read by a worker without it)."""
+        out = cls([], 0)
+        out.by_size, out.windows = by_size, windows
+        return out
+
     def verified(self, size: int, h: int, content: bytes) -> list[str] | None:
         return next((items for c, items in self.windows[size, h] if c == content), None)
 
@@ -128,7 +135,7 @@ def _slices(benchmark: DataFrame, n: int, broadcast_bytes: int) -> list[WindowSe
 def _apply(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int, fields: str, make) -> DataFrame:
     """The rows with the columns that ``make`` gives from each text's scans, one
     per slice of the benchmark, which a task holds one after the other."""
-    shared = [docs.sparkSession.sparkContext.broadcast(s) for s in _slices(benchmark, n, broadcast_bytes)]
+    shared = [docs.sparkSession.sparkContext.broadcast((s.by_size, s.windows)) for s in _slices(benchmark, n, broadcast_bytes)]
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kinds = [f.split()[1] for f in fields.split(", ")]
@@ -137,9 +144,10 @@ def _apply(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int,
         import pyarrow as pa
 
         arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        sets = [WindowSet.of(*b.value) for b in shared]
         for batch in T.sliced(batches):
             texts = T.as_bytes(batch.column(names.index("text")))
-            rows = [make(t, s) for t, s in zip(texts, zip(*(scan(texts, b.value) for b in shared)))]
+            rows = [make(t, s) for t, s in zip(texts, zip(*(scan(texts, w) for w in sets)))]
             more = [pa.array([r[k] for r in rows], arrow[kind]) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, *(f.split()[0] for f in fields.split(", "))])
 

@@ -51,6 +51,20 @@ def fingerprint(text: Column, k: int = K, width: int = WIDTH) -> Column:
     return F.slice(F.sort_array(F.array_distinct(shingles(text, width))), 1, k)
 
 
+def as_text(sketch: Column) -> Column:
+    """A fingerprint as a string: its hashes in order, hexadecimal, by commas."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
+
+
+def from_text(text: Column) -> Column:
+    """The fingerprint that :func:`as_text` wrote."""
+    def number(h: Column) -> Column:
+        high = F.conv(F.left(h, F.lit(8)), 16, 10).cast("long")
+        return F.shiftleft(high, 32).bitwiseOR(F.conv(F.right(h, F.lit(8)), 16, 10).cast("long"))
+
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(text, ","), number))
+
+
 def union(a: Column, b: Column, k: int = K) -> Column:
     """Fingerprint of two parts taken together."""
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
@@ -144,10 +158,10 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.left("text", size - half), F.left("next_text", half))
-    return (rows.withColumn("edited", edited)
-            .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    return (rows.withColumnRenamed("fingerprint", "own").withColumn("edited", edited)
+            .withColumn("edited_own", fingerprint(F.col("edited")))
             .select("doc_id", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                    "fingerprint", "edited_fingerprint",
-                    resemblance(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                    resemblance(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-                    distinct_count(F.col("fingerprint")).alias("n_shingles")))
+                    as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited_own")).alias("edited_fingerprint"),
+                    resemblance(F.col("own"), F.col("edited_own")).alias("near_edited"),
+                    resemblance(F.col("own"), F.col("next_fingerprint")).alias("near_next"),
+                    distinct_count(F.col("own")).alias("n_shingles")))

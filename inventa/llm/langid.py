@@ -4,14 +4,14 @@ A text becomes a TF-IDF vector of hashed byte n-grams (1 to 4 bytes; A-Z
 lower-cased, other ASCII taken as blanks), scaled to length 1.  Document
 frequencies come from every training row.  Each language's vectors are grouped
 into a few centroids by spherical k-means on a bounded sample (``sample_size``
-rows of smallest id hash per language).  A text gets the language of the
+distinct texts of smallest hash per language).  A text gets the language of the
 centroid of largest cosine; it is *rejected* where that cosine is below the
 centroid's own limit, learned from the distances of the sampled texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 a rejected text keeps its nearest language in ``nearest`` and is ``und`` in
 ``lang_pred`` of :func:`identify`; rows without a language are not learned from;
-repeated rows and copies get equal answers; without training rows all is
+rows that repeat an id and text are sampled once; repeated rows and copies get equal answers; without training rows all is
 ``und``; an empty table gives no rows; no column but ``text`` is used to predict.
 """
 
@@ -121,13 +121,14 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_size: int = SAMPLE_SIZE
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, total = _document_frequencies(known, buckets)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    # a language's rows are thinned by id hash before they are ranked, so that a
-    # common language does not meet in one task
+    # a language's rows are thinned by hash and made distinct before they are
+    # ranked, so that neither a common language nor a repeated row meets in one task
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    thin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * (4.0 * sample_size) / F.col("size")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").join(sizes, "lang").where(thin).withColumn("r", F.row_number().over(first))
-              .where(F.col("r") <= sample_size).select("doc_id", "lang").distinct())
+    thin = F.pmod(F.col("h"), F.lit(1 << 30)) < (1 << 30) * (4.0 * sample_size) / F.col("size")
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    chosen = (known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(sizes), "lang").where(thin)
+              .groupBy("lang", "h").agg(F.min("text").alias("text"))
+              .withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_size).select("lang", "text"))
     shared = train.sparkSession.sparkContext.broadcast(idf)
 
     def vector(batches):
@@ -149,8 +150,7 @@ def fit(train: DataFrame, buckets: int = BUCKETS, sample_size: int = SAMPLE_SIZE
         return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "limit": limit,
                          "c": pa.array(list(c), pa.list_(pa.float32()))})
 
-    rows = (known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-            .mapInArrow(vector, "lang string, x array<float>")
+    rows = (chosen.mapInArrow(vector, "lang string, x array<float>")
             .groupBy("lang").applyInArrow(centres, "lang string, limit double, c array<float>")
             .orderBy("lang", "c").collect())
     return Model([r["lang"] for r in rows], idf,
@@ -162,12 +162,13 @@ def nearest(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with ``nearest`` (a learned language or ``und``), ``score``
     (cosine, 0 to 1) and ``rejected``."""
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a class of this package could not be read by a worker without it
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.centroids, model.limits))
 
     def predict(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(*shared.value)
         for batch in T.sliced(batches, 256):
             column = batch.column(names.index("text"))
             lettered = _has_letter(column.to_pylist())
