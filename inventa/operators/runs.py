@@ -16,8 +16,6 @@ RUN_TIMEOUT_HOURS = 8
 TENANT_MODES = ("all", "specific", "all_except")
 TIER_RANGE = (1, 5)
 # Upper bound on rows of a configuration table that is broadcast or
-# collected as a literal (the entity registry has 35 rows).
-CONFIG_ROW_LIMIT = 10_000
 
 
 def select_entities(registry: DataFrame, tiers: Sequence[int], include: Sequence[str] = (),
@@ -51,26 +49,24 @@ def override_tenants(enabled_tenants: DataFrame, override: DataFrame, key: str =
 
 
 def container_groups(entities: DataFrame, container: str = "container", name: str = "name",
-                     ordinal: str = "ordinal") -> list[tuple[str, list[str]]]:
-    """Entities grouped by container, in registry order.  The registry is
-    configuration with a proven bound (checked here), so it is gathered to
-    the driver and used as a literal."""
-    n = entities.count()
-    if n > CONFIG_ROW_LIMIT:
-        raise ValueError(f"entity registry too large to plan with ({n} rows)")
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for r in entities.select(container, name, ordinal).collect():
-        groups.setdefault(r[0], []).append((r[2], r[1]))
-    return [(c, [nm for _, nm in sorted(v)]) for c, v in sorted(groups.items())]
-
-
-def run_plan(tenants: DataFrame, groups: list[tuple[str, list[str]]], key: str = "tenant_key") -> DataFrame:
-    """One task per tenant × container group — the groups are a literal
-    array exploded per tenant, so no join and no shuffle."""
-    arr = F.array(*[F.struct(F.lit(c).alias("container"),
-                             F.array(*[F.lit(e) for e in ents]).alias("entities")) for c, ents in groups])
-    return tenants.select(key, F.explode(arr).alias("_g")).select(
-        key, F.col("_g.container").alias("container"), F.col("_g.entities").alias("entities"))
+                     ordinal: str = "ordinal") -> DataFrame:
+    """Per container, its entities in registry order."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(name).alias("n"))))
+    return entities.groupBy(F.col(container).alias("container")).agg(
+        F.transform(ordered, lambda e: e["n"]).alias("entities"))
+
+
+#: join keys over which the container groups of a run plan are dealt
+DEALS = 8
+
+
+def run_plan(tenants: DataFrame, groups: DataFrame, key: str = "tenant_key") -> DataFrame:
+    """One task per tenant × container group.  The groups are dealt by
+    container and every tenant asks for each deal, so the plan is an equi-join
+    that Spark may broadcast or shuffle, whatever the registry holds."""
+    asked = tenants.select(key, F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
+    dealt = groups.withColumn("_deal", F.pmod(F.xxhash64("container"), F.lit(DEALS)).cast("int"))
+    return asked.join(dealt, "_deal").select(key, "container", "entities")
 
 
 def run_outcome(tasks: DataFrame, run_keys: Sequence[str], status_col: str = "status") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inventa.functions.numeric import money_sum
 from inventa.functions.text import EMPTY_GUID
+from inventa.operators import constraints as CN
 from inventa.operators import enrich as EN
 from inventa.operators import listing as L
 from inventa.operators import quality as Q
@@ -63,6 +64,83 @@ def csv_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+GATE_ROWS, GATE_BYTES = 100, 7_500
+GATE_KEY_SQL = """CASE WHEN c_custkey % 211 = 0 THEN '' WHEN c_custkey % 127 = 5 THEN 'u-' || CAST(c_custkey - 1 AS VARCHAR)
+     ELSE 'U-' || CAST(c_custkey AS VARCHAR) END"""
+#: ten uploads per 500 customers: the last has too many rows, the second too many bytes
+GATE_UPLOAD_SQL = "CAST(floor(c_custkey / 500) * 10 + least(floor(c_custkey % 500 / 35), 9) AS BIGINT)"
+GATE_MAIL_SQL = """lower(c_name) || '@' || CASE WHEN floor(c_custkey % 500 / 35) = 1 THEN repeat('d', 200) ELSE 'x' END || '.com'"""
+
+
+@register("csv_intake_gate", sql=f"""
+WITH c AS (SELECT {GATE_UPLOAD_SQL} AS upload, c_custkey, {GATE_KEY_SQL} AS user_id, {GATE_MAIL_SQL} AS email FROM customer),
+f AS (SELECT upload, count(*) AS n, 14 + sum(CASE WHEN user_id = '' THEN 2 ELSE length(user_id) END + length(email) + 2) AS bytes,
+             count(*) FILTER (WHERE trim(user_id) = '') AS blanks,
+             count(*) FILTER (WHERE trim(user_id) <> '') - count(DISTINCT lower(user_id)) FILTER (WHERE trim(user_id) <> '') AS dups
+      FROM c GROUP BY upload)
+SELECT upload, c_custkey AS customer, user_id, email FROM (
+  SELECT c.*, f.* EXCLUDE (upload) FROM c JOIN f USING (upload))
+WHERE n <= {GATE_ROWS} AND bytes <= {GATE_BYTES} AND blanks = 0 AND dups = 0
+""")
+def csv_intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: the rows that the upload gate lets through.  Customers are written as
+    one member CSV per upload; files over the byte limit are left unparsed,
+    files over the row limit or with an empty or repeated key go as a whole."""
+    path = scratch_path(spark, "uploads")
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.expr(GATE_UPLOAD_SQL).alias("upload"), "c_custkey", F.expr(GATE_KEY_SQL.replace("VARCHAR", "STRING")).alias("user_id"),
+                    F.expr(GATE_MAIL_SQL).alias("email"))
+    (rows.repartition("upload").sortWithinPartitions("upload", "c_custkey").select("upload", "user_id", "email")
+         .write.partitionBy("upload").option("header", "true").csv(path))
+    taken, _ = CSV.intake(spark, path, "user_id", ["user_id", "email"], GATE_BYTES, GATE_ROWS)
+    number = F.regexp_extract("email", "([0-9]+)@", 1).cast("long")
+    return taken.select(F.col("upload").cast("long").alias("upload"), number.alias("customer"), "user_id", "email")
+
+
+ROLE_TABLES = {
+    "customer": CN.Constraints(("c_custkey", "c_name"), {"CK_segment": ("c_mktsegment", ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"))},
+                               {"PK_customer": ("c_custkey",), "UQ_nation_segment": ("c_nationkey", "c_mktsegment")},
+                               {"FK_customer_nation": ("c_nationkey", "nation", "n_nationkey")}),
+    "orders": CN.Constraints(("o_orderkey",), {"CK_order_status": ("o_orderstatus", ("F", "O"))},
+                             {"PK_orders": ("o_orderkey",), "UQ_customer_day": ("o_custkey", "o_orderdate")},
+                             {"FK_order_customer": ("o_custkey", "customer", "c_custkey")}),
+    "lineitem": CN.Constraints((), {"CK_flag": ("l_returnflag", ("A", "N"))}, {"PK_lineitem": ("l_orderkey", "l_linenumber")},
+                               {"FK_line_order": ("l_orderkey", "orders", "o_orderkey")}),
+}
+
+
+@register("table_constraints", sql="""
+WITH active AS (SELECT * FROM orders WHERE o_orderkey % 97 <> 0),
+v AS (
+  SELECT 'customer' AS "table", 'CK_segment' AS "constraint", c_mktsegment AS k1, NULL AS k2, count(*) AS n FROM customer
+  WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY 3
+  UNION ALL SELECT 'customer', 'UQ_nation_segment', c_nationkey::VARCHAR, c_mktsegment, count(*) FROM customer GROUP BY 3, 4 HAVING count(*) > 1
+  UNION ALL SELECT 'customer', 'PK_customer', c_custkey::VARCHAR, NULL, count(*) FROM customer GROUP BY 3 HAVING count(*) > 1
+  UNION ALL SELECT 'customer', 'FK_customer_nation', c_nationkey::VARCHAR, NULL, count(*) FROM customer
+  WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY 3
+  UNION ALL SELECT 'orders', 'CK_order_status', o_orderstatus, NULL, count(*) FROM active WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 3
+  UNION ALL SELECT 'orders', 'PK_orders', o_orderkey::VARCHAR, NULL, count(*) FROM active GROUP BY 3 HAVING count(*) > 1
+  UNION ALL SELECT 'orders', 'UQ_customer_day', o_custkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), count(*) FROM active
+  GROUP BY 3, 4 HAVING count(*) > 1
+  UNION ALL SELECT 'orders', 'FK_order_customer', o_custkey::VARCHAR, NULL, count(*) FROM active
+  WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 3
+  UNION ALL SELECT 'lineitem', 'CK_flag', l_returnflag, NULL, count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 3
+  UNION ALL SELECT 'lineitem', 'PK_lineitem', l_orderkey::VARCHAR, l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY 3, 4 HAVING count(*) > 1
+  UNION ALL SELECT 'lineitem', 'FK_line_order', l_orderkey::VARCHAR, NULL, count(*) FROM lineitem
+  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM active) GROUP BY 3)
+SELECT * FROM v
+""")
+def table_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: domains, unique keys and references of three tables with roles like
+    the tracker's (some orders are gone, so their lines refer to nothing)."""
+    tables = {t: table(spark, sf_dir, t) for t in ("nation", "customer", "lineitem")}
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    tables["orders"] = table(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0").withColumn("o_orderdate", day)
+    found = CN.violations(tables, ROLE_TABLES)
+    return found.select("table", "constraint", F.get_json_object("key", "$.c0").alias("k1"),
+                        F.get_json_object("key", "$.c1").alias("k2"), "n")
+
+
 MANIFEST_SQL = """
 WITH x AS (SELECT 'run-' || CAST(year(l_shipdate) AS VARCHAR) AS run_id, 'tenant-' || l_returnflag AS tenant_key,
                   l_orderkey * 10 + l_linenumber AS item,

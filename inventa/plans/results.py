@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from inventa.functions import durations as D
 from inventa.functions.text import upn_domain
 from inventa.operators import listing as L
+from inventa.operators import result_fold as RF
 from inventa.operators import results as RS
+from inventa.operators import transitions as TR
 from inventa.plans.registry import register
 from inventa.session import scratch_path, table
 
@@ -285,3 +287,89 @@ def top_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "F")
     t = L.top1(o, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
     return t.select(F.col("o_orderkey").alias("batch_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("detected_at"))
+
+
+def _requests_sql() -> tuple[str, str]:
+    """Requests of the five entity kinds from events, by the declared transitions."""
+    kinds = list(TR.TRANSITIONS)
+    whens = []
+    for i, kind in enumerate(kinds):
+        names = list(TR.TRANSITIONS[kind])
+        pick = " ".join(f"WHEN {j} THEN '{n}'" for j, n in enumerate(names))
+        whens.append(f"WHEN {i} THEN CASE event_id % {len(names) + 1} {pick} ELSE 'unknown' END")
+    return (f"CASE user_id % 5 {' '.join(f'WHEN {i} THEN {chr(39)}{k}{chr(39)}' for i, k in enumerate(kinds))} END",
+            f"CASE user_id % 5 {' '.join(whens)} END")
+
+
+_KIND, _REQUEST = _requests_sql()
+_STATUS = ("CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'dispatched' WHEN 2 THEN 'pending' "
+           "WHEN 3 THEN 'detected' ELSE 'active' END")
+_STORED_KIND = _KIND.replace("user_id", "c_custkey")
+_RULES = ", ".join(f"('{k}', '{n}', '{s}', '{to}')" for k, names in TR.TRANSITIONS.items() for n, (_, to) in names.items()
+                   for s in TR.expected(k, n))
+
+
+@register("guarded_transitions", sql=f"""
+WITH RECURSIVE rules(kind, request, status, target) AS (VALUES {_RULES}),
+q AS (SELECT {_KIND} AS kind, user_id AS id, {_REQUEST} AS request, ts,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+cur AS (SELECT {_STORED_KIND} AS kind, c_custkey AS id, {_STATUS} AS status FROM customer WHERE c_custkey % 11 <> 3),
+walk(kind, id, n, status, request, ts, applied) AS (
+  SELECT kind, id, 0::BIGINT, coalesce(status, 'absent'), NULL::VARCHAR, NULL::TIMESTAMP, NULL::BOOLEAN
+  FROM (SELECT DISTINCT kind, id FROM q) LEFT JOIN cur USING (kind, id)
+  UNION ALL
+  SELECT w.kind, w.id, q.n, coalesce(r.target, w.status), q.request, q.ts, r.target IS NOT NULL
+  FROM walk w JOIN q ON q.kind = w.kind AND q.id = w.id AND q.n = w.n + 1
+  LEFT JOIN rules r ON r.kind = w.kind AND r.request = q.request AND r.status = w.status)
+SELECT kind, id, arg_max(status, n) AS status, count(*) FILTER (WHERE applied) AS n_applied,
+       count(*) FILTER (WHERE NOT applied) AS n_refused, count(*) FILTER (WHERE applied AND request = 'set_retry_pending') AS n_retries,
+       strftime(arg_max(ts, n) FILTER (WHERE applied AND request IN ('set_dispatched', 'set_init_dispatched')), '%Y-%m-%d %H:%M:%S') AS dispatched_at,
+       strftime(min(ts) FILTER (WHERE applied AND request = 'set_polling'), '%Y-%m-%d %H:%M:%S') AS poll_started_at,
+       strftime(max(ts) FILTER (WHERE applied AND request = 'set_polling'), '%Y-%m-%d %H:%M:%S') AS last_polled_at
+FROM walk GROUP BY kind, id
+""")
+def guarded_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to steps, inits, phases, batches and members (one entity per
+    user, its requests from the user's events in time order) folded over their
+    stored statuses; each request meets what the earlier ones left."""
+    e = table(spark, sf_dir, "events")
+    requests = e.select(F.expr(_KIND).alias("kind"), F.col("user_id").alias("id"), F.expr(_REQUEST).alias("request"), "ts", "event_id")
+    c = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 3")
+    current = c.select(F.expr(_STORED_KIND).alias("kind"), F.col("c_custkey").alias("id"), F.expr(_STATUS).alias("status"))
+    done = TR.advance(TR.outcomes(current, requests, ["id"], ["ts", "event_id"]), ["id"], ["ts", "event_id"], "ts")
+    return done.select("kind", "id", "status", "n_applied", "n_refused", "n_retries", *[
+        F.date_format(c, TS_FMT).alias(c) for c in ("dispatched_at", "poll_started_at", "last_polled_at")])
+
+
+@register("result_retry_limits", sql="""
+WITH RECURSIVE r AS (
+  SELECT user_id, user_id % 5 AS most,
+         CASE event_type WHEN 'purchase' THEN CASE WHEN value > 60 THEN 'success' ELSE 'heartbeat' END WHEN 'error' THEN 'failure'
+              WHEN 'view' THEN 'polling' ELSE 'heartbeat' END AS kind,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, n, status, failures, applied, ignored) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, CASE WHEN user_id % 7 = 0 THEN 'retry_pending' ELSE 'dispatched' END,
+         CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END, 0::BIGINT, 0::BIGINT FROM r
+  UNION ALL
+  SELECT w.user_id, r.n,
+         CASE WHEN w.status IN ('succeeded', 'failed') THEN w.status WHEN kind = 'success' THEN 'succeeded'
+              WHEN kind = 'failure' THEN CASE WHEN w.failures + 1 > most THEN 'failed' ELSE 'retry_pending' END
+              WHEN kind = 'polling' THEN 'polling' ELSE w.status END,
+         w.failures + CASE WHEN w.status NOT IN ('succeeded', 'failed') AND kind = 'failure' THEN 1 ELSE 0 END,
+         w.applied + CASE WHEN w.status NOT IN ('succeeded', 'failed') AND kind <> 'heartbeat' THEN 1 ELSE 0 END,
+         w.ignored + CASE WHEN w.status IN ('succeeded', 'failed') THEN 1 ELSE 0 END
+  FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT user_id, arg_max(status, n) AS status, arg_max(failures, n)::INTEGER AS failures, max(applied) AS n_applied,
+       max(ignored) AS n_ignored FROM walk GROUP BY user_id
+""")
+def result_retry_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of steps with a retry limit of their own (0 to 4), continued
+    from stored states (every seventh step has failed once)."""
+    e = table(spark, sf_dir, "events")
+    kind = (F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 60, "success").otherwise("heartbeat"))
+            .when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "polling").otherwise("heartbeat"))
+    results = e.select("user_id", "ts", "event_id", kind.alias("kind"), (F.col("user_id") % 5).alias("most"))
+    stored = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(
+        F.col("c_custkey").alias("user_id"), F.lit("retry_pending").alias("status"), F.lit(1).alias("failures"),
+        F.lit(0).cast("long").alias("n_applied"), F.lit(0).cast("long").alias("n_ignored"))
+    return RF.fold_results(results, ["user_id"], ["ts", "event_id"], "kind", F.col("most"), stored)

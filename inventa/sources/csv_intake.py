@@ -27,10 +27,13 @@ READ_OPTIONS = {
 }
 
 
-def read_member_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_member_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """All-string member rows plus ``_file`` and 1-based ``_row``
-    (header = row 1); NULL cells (short rows) become ""."""
+    (header = row 1); NULL cells (short rows) become "".  Files of more than
+    ``max_bytes`` are left out by their listed size, unread."""
     raw = spark.read.options(**READ_OPTIONS).csv(path)
+    if max_bytes is not None:
+        raw = raw.where(F.col("_metadata.file_size") <= max_bytes)
     # every cell is trimmed after parsing, quoted ones included (partition
     # columns of a folder of uploads keep their inferred type)
     cells = [F.btrim(F.coalesce(F.col(f"`{f.name}`"), F.lit("")), F.lit(WHITESPACE)).alias(f.name)
@@ -72,10 +75,10 @@ def row_violations(rows: DataFrame, key_column: str) -> DataFrame:
     return empties.unionByName(dups)
 
 
-def byte_violations(spark: SparkSession, path: str) -> DataFrame:
+def byte_violations(spark: SparkSession, path: str, max_bytes: int = MAX_CSV_BYTES) -> DataFrame:
     """V5: files over the byte limit (from the listing, contents unread)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return (files.filter(F.col("length") > MAX_CSV_BYTES)
+    return (files.filter(F.col("length") > max_bytes)
             .select(F.col("path").alias("_file"), F.lit(None).cast("long").alias("_row"), F.lit("too_many_bytes").alias("code"),
                     F.col("length").cast("string").alias("key")))
 
@@ -86,14 +89,39 @@ def accepted(rows: DataFrame, violations: DataFrame) -> DataFrame:
     return rows.join(violations.select("_file").distinct(), "_file", "left_anti")
 
 
-def size_violations(rows: DataFrame) -> DataFrame:
+def size_violations(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """V5: files over the row limit."""
     return (rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > MAX_ROWS)
+            .filter(F.col("n") > max_rows)
             .select("_file", F.lit(None).cast("long").alias("_row"), F.lit("too_many_rows").alias("code"),
                     F.col("n").cast("string").alias("key")))
 
 
+def header_violations(rows: DataFrame, columns: Sequence[str], key_column: str, expected: Sequence[str]) -> DataFrame:
+    """U6 for every file of a folder: its missing columns (the files of a folder
+    share one header)."""
+    missing = [(code, c) for code, c in header_errors(columns, key_column, expected) if code != "unexpected_column"]
+    each = F.array(*[F.struct(F.lit(code).alias("code"), F.lit(c).alias("key")) for code, c in missing]) if missing else \
+        F.array().cast("array<struct<code:string,key:string>>")
+    return (rows.select("_file").distinct().select("_file", F.lit(None).cast("long").alias("_row"), F.explode(each).alias("e"))
+            .select("_file", "_row", "e.*"))
+
+
+def intake(spark: SparkSession, path: str, key_column: str, expected: Sequence[str], max_bytes: int = MAX_CSV_BYTES,
+           max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+    """V5: (accepted rows, violations) of the uploads of a folder.  Sizes are
+    decided from the listing, before a file is parsed; any violation rejects the
+    file as a whole; a file with a header alone is accepted with no rows."""
+    rows = read_member_csv(spark, path, max_bytes)
+    columns = [c for c in rows.columns if not c.startswith("_")]
+    found = byte_violations(spark, path, max_bytes).unionByName(size_violations(rows, max_rows))
+    found = found.unionByName(header_violations(rows, columns, key_column, expected))
+    own = next((c for c in columns if c.lower() == key_column.lower()), None)
+    if own is not None:
+        found = found.unionByName(row_violations(rows, own))
+    return accepted(rows, found), found
+
+
 def template_row(spark: SparkSession, columns: Sequence[str], samples: Sequence[str]) -> DataFrame:
     """The CSV template — one sample row under the header."""
     return spark.createDataFrame([tuple(samples)], list(columns))

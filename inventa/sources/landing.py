@@ -51,7 +51,7 @@ def with_metadata(df: DataFrame, source_system: str = DEFAULT_SOURCE_SYSTEM,
 def read_landing(spark: SparkSession, root: str, entity: str, schema: T.StructType | str,
                  detail_type: str | None = None, file_pattern: str = DEFAULT_FILE_PATTERN,
                  source_system: str = DEFAULT_SOURCE_SYSTEM, streaming: bool = True,
-                 tenant_from_dir: bool = True, levels: int = 2) -> DataFrame:
+                 tenant_from_dir: bool = True, levels: int = 2, max_files: int | None = None) -> DataFrame:
     """Incremental JSONL read for all tenants of ``entity``.
 
     A declared schema is required (a file stream cannot infer one), which also
@@ -65,13 +65,18 @@ def read_landing(spark: SparkSession, root: str, entity: str, schema: T.StructTy
                 .withColumn("_source_system", F.lit(source_system))
                 .withColumn("_dlt_ingested_at", F.current_timestamp()))
     reader = spark.readStream if streaming else spark.read
-    df = (reader.schema(schema)
+    df = (_paced(reader, max_files if streaming else None).schema(schema)
           .option("pathGlobFilter", file_pattern)
           .option("mode", "PERMISSIVE")
           .json(glob))
     return with_metadata(df, source_system, tenant_from_dir)
 
 
+def _paced(reader, max_files: int | None):
+    """The reader with at most ``max_files`` new files per micro-batch."""
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+
 def _glob_matches(spark: SparkSession, glob: str) -> bool:
     """Driver-side listing of the folders a glob names (metadata only)."""
     fs, jpath = _fs(spark, glob)
@@ -104,13 +109,14 @@ def infer_schema(spark: SparkSession, root: str, entity: str, detail_type: str |
 def read_landing_rescued(spark: SparkSession, root: str, entity: str, schema: T.StructType,
                          detail_type: str | None = None, file_pattern: str = DEFAULT_FILE_PATTERN,
                          source_system: str = DEFAULT_SOURCE_SYSTEM,
-                         streaming: bool = True, tenant_from_dir: bool = True, levels: int = 2) -> DataFrame:
+                         streaming: bool = True, tenant_from_dir: bool = True, levels: int = 2,
+                         max_files: int | None = None) -> DataFrame:
     """Parse every line with the declared schema and keep the top-level
     fields the schema does not know as a JSON object ``_rescued_data``
     (NULL when there are none).  A line that is no JSON object is kept whole
     as ``{"_corrupt_record": line}``; blank lines are no records."""
     reader = spark.readStream if streaming else spark.read
-    raw = (reader.format("text").option("pathGlobFilter", file_pattern)
+    raw = (_paced(reader, max_files if streaming else None).format("text").option("pathGlobFilter", file_pattern)
            .load(landing_glob(root, entity, detail_type, levels))).where(F.trim("value") != "")
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     as_map = F.from_json(F.col("value"), "map<string,string>")

@@ -6,8 +6,9 @@
   five numbers, so it does not grow with the number of results.
 * :func:`checkin_stream` — T21: device check-ins upserted per (user, device)
   with an additive count, in ``foreachBatch`` on a versioned table.
-* :func:`transition_rows` — T9: guarded status transitions (compare-and-set)
-  as a join with the allowed-transition table.
+* :func:`transition_rows` — T9: single guarded step transitions (compare-and-set)
+  as a join with the allowed-transition table; whole batches of requests are
+  folded by :mod:`inventa.operators.transitions`.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,7 +30,7 @@ TERMINAL = ("succeeded", "failed", "poll_timeout", "cancelled")
 # Allowed step status transitions (from, to).
 STEP_TRANSITIONS = (
     ("pending", "dispatched"), ("dispatched", "polling"), ("dispatched", "succeeded"), ("dispatched", "failed"),
-    ("polling", "polling"), ("polling", "succeeded"), ("polling", "failed"), ("failed", "pending"),
+    ("polling", "polling"), ("polling", "succeeded"), ("polling", "failed"), ("failed", "pending"), ("poll_timeout", "pending"),
     ("pending", "cancelled"), ("dispatched", "cancelled"), ("polling", "cancelled"), ("polling", "poll_timeout"),
 )
 
@@ -72,74 +73,14 @@ def result_state_stream(results: DataFrame, key_col: str, order_cols: Sequence[s
         step, RESULT_OUT, RESULT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def batch_summary(results: DataFrame, key_col: str, order_cols: Sequence[str], kind_col: str,
-                  max_retries: int = 2) -> DataFrame:
-    """Per step, everything a fold from *any* starting state needs: the
-    first success, the first ``max_retries+1`` failures, and how many
-    results (all / state-changing / failures) fall at or before each of
-    them.  Aggregates and joins only — a hot step is combined map-side."""
-    k = max_retries + 1
-    o = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)])
-    r = results.withColumn("_o", o)
-    kind = F.col(kind_col)
-    cand = r.filter(kind == RESULT_SUCCESS).groupBy(key_col).agg(F.min("_o").alias("ok"))
-    fails = r.filter(kind == RESULT_FAILURE).select(key_col, "_o")
-    prev = fails.groupBy(key_col).agg(F.min("_o").alias("f1"))
-    cand = cand.join(prev, key_col, "full_outer")
-    for i in range(2, k + 1):
-        prev = (fails.join(prev.select(key_col, F.col(f"f{i - 1}").alias("_p")), key_col)
-                .filter(F.col("_o") > F.col("_p")).groupBy(key_col).agg(F.min("_o").alias(f"f{i}")))
-        cand = cand.join(prev, key_col, "full_outer")
-    changing = kind.isin(RESULT_SUCCESS, RESULT_FAILURE, RESULT_POLLING)
-    lab = r.join(cand, key_col, "left")
-    aggs = [F.count(F.lit(1)).alias("n_all"), F.count_if(changing).alias("n_chg"),
-            F.count_if(kind == RESULT_FAILURE).alias("n_fail"),
-            F.max_by(F.when(changing, kind), F.when(changing, F.col("_o"))).alias("last_kind"),
-            F.first("ok", ignorenulls=True).alias("ok")]
-    for c in ["ok", *[f"f{i}" for i in range(1, k + 1)]]:
-        le = F.col("_o") <= F.col(c)
-        aggs += [F.count_if(le).alias(f"all_le_{c}"), F.count_if(le & changing).alias(f"chg_le_{c}"),
-                 F.count_if(le & (kind == RESULT_FAILURE)).alias(f"fail_le_{c}")]
-        if c != "ok":
-            aggs.append(F.first(c, ignorenulls=True).alias(c))
-    return lab.groupBy(key_col).agg(*aggs)
-
-
-def apply_summary(state: DataFrame, summary: DataFrame, key_col: str, max_retries: int = 2) -> DataFrame:
-    """Combine stored step states with a batch summary (left side may miss
-    keys: a new step starts ``dispatched`` with zero counts)."""
-    k = max_retries + 1
-    x = summary.join(state, key_col, "left")
-    st = F.coalesce(F.col("status"), F.lit("dispatched"))
-    fl = F.coalesce(F.col("failures"), F.lit(0))
-    app = F.coalesce(F.col("n_applied"), F.lit(0).cast("long"))
-    ign = F.coalesce(F.col("n_ignored"), F.lit(0).cast("long"))
-    j = F.lit(k) - fl                       # the j-th failure of this batch would be terminal
-    pick = lambda prefix: F.element_at(F.array(*[F.col(f"{prefix}f{i}") for i in range(1, k + 1)]),
-                                       F.greatest(j, F.lit(1)))
-    fj = pick("")
-    ok_first = F.col("ok").isNotNull() & (fj.isNull() | (F.col("ok") < fj))
-    fail_first = fj.isNotNull() & ~ok_first
-    done = st.isin(*TERMINAL)
-    new_status = (F.when(done, st).when(ok_first, F.lit("succeeded")).when(fail_first, F.lit("failed"))
-                   .when(F.col("last_kind") == RESULT_FAILURE, F.lit("retry_pending"))
-                   .when(F.col("last_kind") == RESULT_POLLING, F.lit("polling")).otherwise(st))
-    new_app = (F.when(done, app).when(ok_first, app + F.col("chg_le_ok"))
-                .when(fail_first, app + pick("chg_le_")).otherwise(app + F.col("n_chg")))
-    new_ign = (F.when(done, ign + F.col("n_all")).when(ok_first, ign + F.col("n_all") - F.col("all_le_ok"))
-                .when(fail_first, ign + F.col("n_all") - pick("all_le_")).otherwise(ign))
-    new_fl = (F.when(done, fl).when(ok_first, fl + F.col("fail_le_ok"))
-               .when(fail_first, fl + pick("fail_le_")).otherwise(fl + F.col("n_fail")))
-    return x.select(key_col, new_status.alias("status"), new_fl.cast("int").alias("failures"),
-                    new_app.cast("long").alias("n_applied"), new_ign.cast("long").alias("n_ignored"))
-
-
 def result_state_batches(results: DataFrame, target: VersionedTable, key_col: str, order_cols: Sequence[str],
-                         kind_col: str, checkpoint: str, max_retries: int = 2) -> VersionedTable:
+                         kind_col: str, checkpoint: str, max_retries: int | Column = 2) -> VersionedTable:
     """T9/T10 on a stream without a per-key Python group: each micro-batch
-    is summarised with aggregates, combined with the stored states of its
-    steps, and upserted (sequence = batch id).  A replayed batch id that
-    was already committed is skipped, so state counts never double."""
+    continues the stored states of its steps by the ordered fold of
+    :mod:`inventa.operators.result_fold` and is upserted (sequence = batch id).
+    ``max_retries`` may be a column of the results (a step's own limit).  A
+    replayed batch id that was already committed is skipped, so state counts
+    never double."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         apply_result_batch(target, batch, batch_id, key_col, order_cols, kind_col, max_retries)
@@ -151,26 +92,23 @@ def result_state_batches(results: DataFrame, target: VersionedTable, key_col: st
 
 
 def apply_result_batch(target: VersionedTable, batch: DataFrame, batch_id: int, key_col: str,
-                       order_cols: Sequence[str], kind_col: str, max_retries: int = 2) -> bool:
+                       order_cols: Sequence[str], kind_col: str, max_retries: int | Column = 2) -> bool:
     """One micro-batch of :func:`result_state_batches`; returns False when
     the batch id was already committed (replay after a failure)."""
+    from inventa.operators.result_fold import fold_results
     from inventa.sources.tables import bucket_of
     latest = target.latest_version()
     if latest and int(target._bucket_map(latest).get("properties", {}).get("last_batch_id", -1)) >= batch_id:
         return False
     batch = batch.withColumn(key_col, F.col(key_col).cast("string"))
-    summary = batch_summary(batch, key_col, order_cols, kind_col, max_retries)
-    empty = batch.sparkSession.createDataFrame(
-        [], f"{key_col} string, status string, failures int, n_applied long, n_ignored long")
+    state = None
     if latest:
         # only the buckets of the steps in this batch are read (≤ `buckets` ids come back)
-        touched = [r[0] for r in summary.select(bucket_of([key_col], target.buckets)).distinct().collect()]
-        state = target.read(buckets=touched).drop("_batch") if touched else empty
-    else:
-        state = empty
-    new = apply_summary(state, summary, key_col, max_retries).withColumn("_batch", F.lit(batch_id))
+        touched = [r[0] for r in batch.select(bucket_of([key_col], target.buckets)).distinct().collect()]
+        state = target.read(buckets=touched).drop("_batch") if touched else None
+    new = fold_results(batch, [key_col], order_cols, kind_col, max_retries, state)
     target.properties["last_batch_id"] = str(batch_id)
-    target.upsert(new)
+    target.upsert(new.withColumn("_batch", F.lit(batch_id)))
     return True
 
 

@@ -173,7 +173,7 @@ def test_entity_selection_keeps_registry_order(spark):
         ("users", 1, "graph", 0), ("groups", 1, "graph", 1), ("mailboxes", 2, "exo", 2), ("sites", 3, "spo", 3),
         ("devices", 2, "graph", 4), ("teams", 3, "graph", 5)], "name string, tier int, container string, ordinal int")
     sel = R.select_entities(reg, [1, 2], include=["teams"], exclude=["groups"])
-    groups = dict(R.container_groups(sel))
+    groups = {r[0]: r[1] for r in R.container_groups(sel).collect()}
     assert groups == {"graph": ["users", "devices", "teams"], "exo": ["mailboxes"]}
 
 
