@@ -76,11 +76,14 @@ def read_ranks(path: str) -> list[bytes]:
 class Codec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, text: bool = False):
         import duckdb
         import regex
 
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.text = regex.compile(pattern), text
+        # piece -> (ids, decimals); the older half goes when the newer one is full
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.decimal = [b"%d" % i for i in range(len(tokens))]
@@ -96,7 +99,6 @@ class Codec:
         self.db.register("own", own)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM own")
         self.db.unregister("own")
-        self._forget()
 
     def _load(self, name: str, rows: np.ndarray, columns: tuple[str, ...]) -> None:
         import pyarrow as pa
@@ -105,11 +107,6 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.packed: list[bytes] = []
-        self.text: list[bytes] = []
-
     def _contract(self, piece: bytes) -> list[int]:
         """A single long piece: the same contraction, with a heap of pairs."""
         ids = [int(self.of_byte[b]) for b in piece]
@@ -167,25 +164,28 @@ class Codec:
                 ids, cut = self._contracted([raw[i] for i in short])
                 done.update((i, ids[a:b]) for i, a, b in zip(short, cut.tolist(), cut[1:].tolist()))
         for i, piece in enumerate(pieces):
-            self.known[piece] = len(self.packed)
-            self.packed.append(done[i].tobytes())
-
-    def encode(self, texts: list[str], text: bool = False) -> list[tuple[np.ndarray, bytes]]:
-        """Per text: its ids, and if asked for, them as decimals joined by one space."""
-        if len(self.known) > CACHED_PIECES:
-            self._forget()
+            decimals = b" ".join(map(self.decimal.__getitem__, done[i].tolist())) if self.text else b""
+            self.known[piece] = done[i].tobytes(), decimals
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """Per text: its ids, and (for a codec with ``text``) them as decimals
+        joined by one space."""
+        if 2 * len(self.known) > CACHED_PIECES:
+            self.older, self.known = self.known, {}
         split = [self.pattern.findall(t) for t in texts]
         new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known]
+        if self.older and new:
+            back = [p for p in new if p in self.older]
+            self.known.update((p, self.older[p]) for p in back)
+            if back:
+                new = [p for p in new if p not in self.older]
         if new:
             self._learn(new)
-        if text:
-            for ids in self.packed[len(self.text):]:
-                self.text.append(b" ".join(map(self.decimal.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())))
         out = []
         for s in split:
             at = list(map(self.known.__getitem__, s))
-            ids = np.frombuffer(b"".join(map(self.packed.__getitem__, at)), dtype=np.int32)
-            out.append((ids, b" ".join(map(self.text.__getitem__, at)) if text else b""))
+            ids = np.frombuffer(b"".join([x[0] for x in at]), dtype=np.int32)
+            out.append((ids, b" ".join([x[1] for x in at]) if self.text else b""))
         return out
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
@@ -232,7 +232,8 @@ def _slices(texts: list[str], most: int = 1 << 19):
         yield lo, len(texts)
 
 
-def _mapped(rows: DataFrame, column: str, fields: list[tuple[str, str]], make, path: str | None, pattern: str | None) -> DataFrame:
+def _mapped(rows: DataFrame, column: str, fields: list[tuple[str, str]], make, path: str | None, pattern: str | None,
+            text: bool = False) -> DataFrame:
     """The rows with the columns that ``make(codec, values)`` gives."""
     shared = rows.sparkSession.sparkContext.broadcast(_vocabulary(path, pattern))
     names = rows.columns
@@ -241,7 +242,7 @@ def _mapped(rows: DataFrame, column: str, fields: list[tuple[str, str]], make, p
         import pyarrow as pa
 
         arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-        codec = _codec((path, pattern), lambda: Codec(*shared.value))
+        codec = _codec((path, pattern, text), lambda: Codec(*shared.value, text))
         for batch in batches:
             values = batch.column(names.index(column)).to_pylist()
             for lo, hi in _slices([v or "" for v in values]):
@@ -279,12 +280,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, from encoding and
     decoding again in the same task."""
     def make(codec, texts):
-        coded = codec.encode([t or "" for t in texts], text=True)
+        coded = codec.encode([t or "" for t in texts])
         back = codec.decode([ids for ids, _ in coded])
         return [(len(ids), hashlib.sha256(s).hexdigest(), hashlib.sha256(b).hexdigest()) for (ids, s), b in zip(coded, back)]
 
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return _mapped(docs.select("doc_id", "text"), "text", fields, make, path, pattern).drop("text")
+    return _mapped(docs.select("doc_id", "text"), "text", fields, make, path, pattern, True).drop("text")
 
 
 @register("op7_byte_bpe")
