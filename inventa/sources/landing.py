@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inventa.sources.chunks import ChunkSink
+
 # The tenant folder sits right above a YYYY-MM-DD folder;
 # the default file pattern and the source-system label of landed rows.
 TENANT_PATH_PATTERN = r"/([^/]+)/\d{4}-\d{2}-\d{2}/"
 DEFAULT_FILE_PATTERN = "*.jsonl"
 DEFAULT_SOURCE_SYSTEM = "graph_api"
 
+#: folder of rows without a tenant or day
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 META_COLUMNS = ("_tenant_key", "_source_file", "_source_system", "_dlt_ingested_at")
 
 
@@ -162,14 +167,12 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
                   num_files: int | None = None) -> None:
     """Land ``df`` as JSONL in the landing layout.
 
-    Spark writes the rows (``partitionBy`` tenant and date, so every task
-    writes only its own files); the driver then only renames the
-    ``tenant=…/date=…`` folders and part files into the landing layout, which
-    is metadata work bounded by the number of files.  ``num_files`` spreads
-    the rows round-robin over that many chunk files (S20).  Without a tenant
-    column only the date level is written (run history, S23)."""
-    spark = df.sparkSession
-    staging = f"{root.rstrip('/')}/.staging-{entity.replace('/', '_')}-{run_id}"
+    The tasks write their files under final names through the chunk sink; the
+    driver gets one message a task and touches no file.  ``num_files`` deals the
+    rows round-robin over that many slices, whose number is in the file name
+    (S20).  Without a tenant column only the date level is written (run
+    history, S23).  A rerun of a run id replaces all that run left; rows
+    without a tenant or day go to folder ``__HIVE_DEFAULT_PARTITION__``."""
     if num_files is not None:
         out = df.repartition(num_files)  # round-robin chunks
     else:
@@ -178,44 +181,28 @@ def write_landing(df: DataFrame, root: str, entity: str, tenant_col: str | None,
         # third of the rows is still split over many tasks
         groups = [F.col(c) for c in (tenant_col, date_col) if c is not None]
         out = df.repartitionByRange(*groups, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    parts = [c for c in (tenant_col, date_col) if c is not None]
-    (out.write.mode("overwrite").partitionBy(*parts)
-        .option("compression", "none").json(staging))
-    fs, jstaging = _fs(spark, staging)
-    jvm = spark.sparkContext._jvm
-    tenant_dirs = ([(None, jstaging)] if tenant_col is None else
-                   [(_unescape(st.getPath().getName().split("=", 1)[1]), st.getPath())
-                    for st in fs.listStatus(jstaging)
-                    if st.isDirectory() and "=" in st.getPath().getName()])
-    # a rerun of the same run id first drops every file that run left before,
-    # so that fewer files or other tenants and days leave nothing stale
     base = entity.rsplit("/", 1)[-1]
-    old = f"{root.rstrip('/')}/{entity}/" + "/".join((["*"] if tenant_col is not None else []) + ["*"] + ([detail_type] if detail_type else []))
-    for stale in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{old}/{chunk_prefix + '-' if chunk_prefix else base + '_'}*_{run_id}.jsonl")) or ():
-        fs.delete(stale.getPath(), False)
-    for tenant, tpath in tenant_dirs:
-        for dstat in fs.listStatus(tpath):
-            dname = dstat.getPath().getName()
-            if not dstat.isDirectory() or "=" not in dname:
-                continue
-            day = _unescape(dname.split("=", 1)[1])[:10]
-            target = f"{root.rstrip('/')}/{entity}" + (f"/{tenant}" if tenant is not None else "") + f"/{day}"
-            if detail_type:
-                target += f"/{detail_type}"
-            jtarget = jvm.org.apache.hadoop.fs.Path(target)
-            fs.mkdirs(jtarget)
-            i = 0
-            for fstat in fs.listStatus(dstat.getPath()):
-                fname = fstat.getPath().getName()
-                if not fname.startswith("part-"):
-                    continue
-                stem = f"{chunk_prefix}-{i:03d}" if chunk_prefix else f"{base}_{i:05d}"
-                dst = jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{run_id}.jsonl")
-                fs.rename(fstat.getPath(), dst)
-                i += 1
-    fs.delete(jstaging, True)
-
-
-def _unescape(value: str) -> str:
-    from urllib.parse import unquote
-    return unquote(value)
+    name, digits = (f"{chunk_prefix}-*_{run_id}.jsonl", 3) if chunk_prefix else (f"{base}_*_{run_id}.jsonl", 5)
+    write_lines(out, root, entity, tenant_col, date_col, name, digits, detail_type)
+
+
+def write_lines(df: DataFrame, root: str, entity: str, tenant_col: str | None, date_col: str, name: str,
+                digits: int = 3, detail_type: str | None = None) -> None:
+    """The rows of every partition of ``df``, one JSON line each, to one file per
+    tenant and day; ``*`` in ``name`` is the partition number."""
+    spark = df.sparkSession
+    spark.dataSource.register(ChunkSink)
+    root = root.rstrip("/")
+
+    def folder(c: str) -> Column:
+        return F.coalesce(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit(NO_VALUE))
+
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (tenant_col, date_col)]
+    record = f"{root}/.landed/" + "-".join([entity.replace("/", "-"), detail_type or "", name.replace("*", "n")]) + ".json"
+    (df.select(F.lit("").alias("tenant") if tenant_col is None else folder(tenant_col).alias("tenant"),
+               F.when(folder(date_col) == NO_VALUE, NO_VALUE).otherwise(F.substring(folder(date_col), 1, 10)).alias("day"),
+               F.to_json(F.struct(*rest)).alias("line"))
+       .sortWithinPartitions("tenant", "day")
+       .write.format(ChunkSink.name()).mode("append")
+       .option("root", f"{root}/{entity}").option("name", name).option("digits", digits)
+       .option("detail", detail_type or "").option("record", record).save())

@@ -1,66 +1,41 @@
 """Run manifests and run history.
 
 Spark's file readers skip files whose names start with ``_`` even when named
-explicitly, and the collectors write ``_manifest_{run}.json``.  So the
-manifest paths are listed on the driver (metadata only — one entry per run,
-tenant and entity) and the files are parsed inside ``mapInPandas`` tasks.
+explicitly, and the collectors write ``_manifest_{run}.json``.  So manifests
+are written and read by the data sources of ``chunks``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Manifest record fields.
-MANIFEST_DDL = ("run_id string, tenant_key string, tenant_id string, entity_type string, "
-                "phase1_record_count long, phase2_record_count long, phase2_chunk_count long, "
-                "phase2_skipped_count long, started_at string, completed_at string, status string, "
-                "errors array<string>, manifest_path string")
-MANIFEST_FIELDS = [f.split(" ")[0] for f in MANIFEST_DDL.split(", ")]
-
-
-def list_paths(spark: SparkSession, glob: str) -> list[str]:
-    """Hadoop glob on the driver (file names only)."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(glob)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jpath) or []
-    return sorted(str(st.getPath().toString()) for st in found if st.isFile())
-
+from inventa.sources.chunks import FOLDERS_PER_TASK, ManifestSource
 
-def _read_manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs as pafs
 
-    for pdf in batches:
-        out = []
-        for path in pdf["path"]:
-            filesystem, inner = pafs.FileSystem.from_uri(path)
-            with filesystem.open_input_stream(inner) as f:
-                rec = json.loads(f.read().decode("utf-8"))
-            row = {k: rec.get(k) for k in MANIFEST_FIELDS if k != "manifest_path"}
-            row["errors"] = list(row.get("errors") or [])
-            row["manifest_path"] = path
-            out.append(row)
-        yield pd.DataFrame(out, columns=MANIFEST_FIELDS)
+def read_manifests(spark: SparkSession, landing_root: str, pattern: str = "_manifest_*.json",
+                   folders_per_task: int = FOLDERS_PER_TASK) -> DataFrame:
+    """Every manifest under ``{entity}/{tenant}/{date}/`` as rows; the
+    driver lists entities and tenants, the tasks the days and files below."""
+    spark.dataSource.register(ManifestSource)
+    return (spark.read.format(ManifestSource.name()).option("root", landing_root).option("pattern", pattern)
+            .option("folders_per_task", folders_per_task).load())
 
 
-def read_manifests(spark: SparkSession, landing_root: str, pattern: str = "_manifest_*.json") -> DataFrame:
-    """Every manifest under ``{entity}/{tenant}/{date}/`` as rows."""
-    paths = list_paths(spark, f"{landing_root.rstrip('/')}/*/*/*/{pattern}")
-    if not paths:
-        return spark.createDataFrame([], MANIFEST_DDL)
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
-    return df.repartition(max(1, min(len(paths) // 64, 256))).mapInPandas(_read_manifests, MANIFEST_DDL)
+def write_manifests(records: DataFrame, root: str, entity: str, tenant_col: str, date_col: str, run_id: str) -> None:
+    """One ``_manifest_{run}.json`` per tenant and day of ``entity``.
+    ``records`` has one row per tenant and day; these columns only name the
+    folder, so a record that shall carry its tenant has it in another column too."""
+    from inventa.sources.landing import write_lines
+    write_lines(records.repartition(F.col(tenant_col), F.col(date_col)), root, entity, tenant_col, date_col,
+                f"_manifest_{run_id}.json")
 
 
 def manifest_records(outcomes: DataFrame, run_id: str, keys: tuple[str, ...] = ("tenant_key", "entity_type"),
                      status_col: str = "status", error_col: str = "error", max_errors: int = 50) -> DataFrame:
     """Item outcomes → one manifest row per (run, tenant, entity)
-    with counts and the first ``max_errors`` errors."""
+    with counts, the first ``max_errors`` errors and, if there are others, how
+    many more."""
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(F.col(error_col))
     first = (outcomes.filter(F.col(error_col).isNotNull()).withColumn("_rn", F.row_number().over(w))
@@ -70,8 +45,12 @@ def manifest_records(outcomes: DataFrame, run_id: str, keys: tuple[str, ...] = (
     counts = outcomes.groupBy(*keys).agg(
         F.count_if(st == "processed").alias("phase2_record_count"),
         F.count_if(st == "skipped").alias("phase2_skipped_count"),
-        F.count_if(st == "failed").alias("failed_count"))
-    return (counts.join(first, list(keys), "left").withColumn("run_id", F.lit(run_id))
+        F.count_if(st == "failed").alias("failed_count"),
+        F.count(error_col).alias("_errors"))
+    more = F.when(F.col("_errors") > max_errors, F.array(F.concat(
+        F.lit("… "), (F.col("_errors") - max_errors).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return (counts.join(first, list(keys), "left").withColumn("errors", F.concat("errors", more)).drop("_errors")
+            .withColumn("run_id", F.lit(run_id))
             .withColumn("status", F.when(F.col("failed_count") > 0, "completed_with_errors").otherwise("completed")))
 
 
