@@ -373,3 +373,50 @@ def result_retry_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("user_id"), F.lit("retry_pending").alias("status"), F.lit(1).alias("failures"),
         F.lit(0).cast("long").alias("n_applied"), F.lit(0).cast("long").alias("n_ignored"))
     return RF.fold_results(results, ["user_id"], ["ts", "event_id"], "kind", F.col("most"), stored)
+
+
+@register("result_stream_ordered", sql="""
+WITH RECURSIVE r AS (
+  SELECT user_id, user_id % 5 AS most,
+         CASE event_type WHEN 'purchase' THEN CASE WHEN value > 60 THEN 'success' ELSE 'heartbeat' END WHEN 'error' THEN 'failure'
+              WHEN 'view' THEN 'polling' ELSE 'heartbeat' END AS kind,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, n, status, failures, applied, ignored) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 'dispatched', 0, 0::BIGINT, 0::BIGINT FROM r
+  UNION ALL
+  SELECT w.user_id, r.n,
+         CASE WHEN w.status IN ('succeeded', 'failed') THEN w.status WHEN kind = 'success' THEN 'succeeded'
+              WHEN kind = 'failure' THEN CASE WHEN w.failures + 1 > most THEN 'failed' ELSE 'retry_pending' END
+              WHEN kind = 'polling' THEN 'polling' ELSE w.status END,
+         w.failures + CASE WHEN w.status NOT IN ('succeeded', 'failed') AND kind = 'failure' THEN 1 ELSE 0 END,
+         w.applied + CASE WHEN w.status NOT IN ('succeeded', 'failed') AND kind <> 'heartbeat' THEN 1 ELSE 0 END,
+         w.ignored + CASE WHEN w.status IN ('succeeded', 'failed') THEN 1 ELSE 0 END
+  FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS step_key, arg_max(status, n) AS status, arg_max(failures, n)::INTEGER AS failures,
+       max(applied) AS n_applied, max(ignored) AS n_ignored FROM walk GROUP BY user_id
+""")
+def result_stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10 on a stream in event order: results arrive in two parts, out of order
+    by up to the whole month, and a last one moves the watermark past them; the
+    stream is stopped and started again in between."""
+    from inventa.streaming.processors import ordered_results_stream
+    base = scratch_path(spark, "ordered_results")
+    e = table(spark, sf_dir, "events")
+    kind = (F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 60, "success").otherwise("heartbeat"))
+            .when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "polling").otherwise("heartbeat"))
+    results = e.select(F.col("user_id").cast("string").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
+                       F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"),
+                       (F.col("user_id") % 5).cast("int").alias("most"))
+    last = results.agg(F.lit("closing").alias("step"), (F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"),
+                       F.lit(0).cast("long").alias("event_id"), F.lit("heartbeat").alias("kind"), F.lit(0).alias("most"))
+    later = F.col("kind").isin("failure", "success")
+    for part in (results.where(~later), results.where(later), last):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(results.schema).parquet(f"{base}/in")
+        (ordered_results_stream(stream, "step", "ts", "event_id", "kind", F.col("most"), watermark="45 days",
+                                slice_ms=24 * 3_600_000)
+         .writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    state = F.struct("status", "failures", "n_applied", "n_ignored")
+    return (spark.read.parquet(f"{base}/out").where("step_key <> 'closing'").groupBy("step_key")
+            .agg(F.max_by(state, "folded_to_ms").alias("s")).select("step_key", "s.*"))
