@@ -27,7 +27,7 @@ BUCKET_COL = "_inventa_bucket"
 # ``maxFilesPerTrigger``.
 BROADCAST_ROW_LIMIT = 1_000_000
 # A bucket's rows are written by one task for each so many of them.
-ROWS_PER_FILE = 2_000_000
+ROWS_PER_FILE = 250_000
 
 
 def _jvm_path(spark: SparkSession, path: str):
@@ -141,11 +141,28 @@ class VersionedTable:
     def upsert(self, changes: DataFrame) -> int:
         """Merge ``changes`` (any number of rows per key) into a new
         version.  Only touched buckets are read and rewritten."""
+        if self.latest_version() == 0:
+            return self._first(changes)
         latest = latest_per_key(changes, self.keys, self.sequence_by)
         return self.merge(latest, lambda cur, chg: merge_latest(
             cur, chg, self.keys, self.sequence_by, broadcast_changes=self._last_change_rows <= BROADCAST_ROW_LIMIT,
             changes_deduped=True), cluster_output=False)
 
+    def _first(self, changes: DataFrame) -> int:
+        """The first version: with nothing stored to merge with, the rows go from
+        the aggregate straight into the version's folder, without a copy aside
+        and without being dealt out again.  The bucket leads the grouping, so the
+        rows of a task leave in the order of the files and need no further sort."""
+        bucketed = changes.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+        latest = latest_per_key(bucketed, [BUCKET_COL, *self.keys], self.sequence_by)
+        latest.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{self.path}/v{1:06d}")
+        fs, jpath = _jvm_path(self.spark, f"{self.path}/v{1:06d}")
+        names = (st.getPath().getName() for st in fs.listStatus(jpath))
+        touched = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET_COL}="))
+        if not touched:
+            return 0
+        return self._publish(0, {}, latest.drop(BUCKET_COL).schema.json(), touched)
+
     def merge(self, changes: DataFrame, combine, cluster_output: bool = True) -> int:
         """Merge with a custom rule: ``combine(current_rows, changes)`` gets
         the stored rows of the touched buckets and the change rows and
@@ -192,17 +209,20 @@ class VersionedTable:
 
     def _dealt(self, rows: DataFrame, largest: int) -> DataFrame:
         """Rows dealt to as many tasks as they need: a bucket of more than
-        ``ROWS_PER_FILE`` rows is written by several."""
+        ``ROWS_PER_FILE`` rows is written by several.  Every task has rows of one
+        bucket only (by number: under a hash several buckets would share a task)."""
         parts = max(1, -(-largest // ROWS_PER_FILE))
-        salt = F.pmod(F.xxhash64(F.lit(7), *[F.col(k) for k in self.keys]), F.lit(parts))
-        return rows.repartition(self.buckets * parts, F.col(BUCKET_COL), salt)
+        salt = F.pmod(F.xxhash64(F.lit(7), *[F.col(k) for k in self.keys]), F.lit(parts)).cast("int")
+        return rows.repartitionById(self.buckets * parts, F.col(BUCKET_COL) * parts + salt)
 
     def _commit(self, prev: int, bmap: dict, merged: DataFrame, touched: Sequence[int]) -> int:
+        merged.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{self.path}/v{prev + 1:06d}")
+        return self._publish(prev, bmap["buckets"], merged.drop(BUCKET_COL).schema.json(), touched)
+
+    def _publish(self, prev: int, stored: dict, schema: str, touched: Sequence[int]) -> int:
         new = prev + 1
-        (merged.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{self.path}/v{new:06d}"))
-        buckets = dict(bmap["buckets"])
+        buckets = dict(stored)
         buckets.update({str(b): new for b in touched})
-        schema = merged.drop(BUCKET_COL).schema.json()
         # the bucket map is written last: readers never see a half version
         _write_text(self.spark, self._map_path(new), json.dumps({
             "version": new, "buckets": buckets, "n_buckets": self.buckets, "schema": schema,
