@@ -47,6 +47,7 @@ SLICE_BYTES = 64 << 20
 GRAM_BYTES = 12
 LABEL_ROWS = 2_000_000
 HELD = 2_000_000
+CUT_ROWS = 200_000
 _FOLD = T.LOWER.copy()
 _FOLD[~T.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = 32
 
@@ -238,25 +239,53 @@ def evidence(docs: DataFrame, model: DataFrame, order: int = ORDER, passage: int
     return rows.join(total, ["k1", "k2"]).select(*[F.col(f"`{c}`") for c in names], "evidence")
 
 
-def best_cut(toxic: np.ndarray, clean: np.ndarray, weight: float = CLEAN) -> float:
-    """Middle of the widest-apart neighbours at the cut with the largest share
-    of toxic above it less ``weight`` times the share of clean."""
-    both = np.unique(np.concatenate((toxic, clean)))
-    edges = np.concatenate(([both[0] - 1e-6], (both[1:] + both[:-1]) / 2, [both[-1] + 1e-6]))
-    toxic, clean = np.sort(toxic), np.sort(clean)
-    gain = (1 - np.searchsorted(toxic, edges) / len(toxic)) - weight * (1 - np.searchsorted(clean, edges) / len(clean))
-    return float(edges[int(np.argmax(gain))])
+def best_cut(checked: DataFrame, weight: float = CLEAN, rows_per_part: int = CUT_ROWS) -> tuple[float, float] | None:
+    """Middle of the widest-apart neighbours at the cut with the largest share of
+    toxic above it less ``weight`` times the share of clean (the least of equals),
+    and the deviation of the clean ones; None if a class is missing.
+
+    ``checked`` has ``check`` (0, 1) and ``evidence``; every row counts.  Rows of
+    equal evidence are added up first; the rest is dealt into ranges of about
+    ``rows_per_part`` values, whose totals give each range its running sums."""
+    per = stored(checked.where(F.col("check").isNotNull()).groupBy("evidence").agg(
+        F.count_if(F.col("check") == 1).alias("t"), F.count_if(F.col("check") == 0).alias("c")), "cut")
+    x = F.col("evidence")
+    total = per.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.min(x).alias("low")).first()
+    if not total["t"] or not total["c"]:
+        return None
+    parts = -(-total["n"] // rows_per_part)
+    edges = sorted(set(per.approxQuantile("evidence", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<double>"), lambda e: e < x))
+    ranged = per.withColumn("part", part)
+    before, t, c = [], 0, 0
+    for r in ranged.groupBy("part").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).orderBy("part").collect():
+        before.append((r["part"], t, c))
+        t, c = t + r["t"], c + r["c"]
+    upto = Window.partitionBy("part").orderBy("evidence").rowsBetween(Window.unboundedPreceding, 0)
+    start = per.sparkSession.createDataFrame(before, "part int, t0 long, c0 long")
+    sums = ranged.join(F.broadcast(start), "part").select(
+        x, (F.col("t0") + F.sum("t").over(upto)).alias("below_t"), (F.col("c0") + F.sum("c").over(upto)).alias("below_c"))
+    gain = (1 - F.col("below_t") / total["t"]) - weight * (1 - F.col("below_c") / total["c"])
+    best = sums.agg(F.max(F.struct(gain.alias("gain"), (-x).alias("at"))).alias("b")).first()["b"]
+    if 1 - weight >= best["gain"]:
+        cut = total["low"] - 1e-6
+    else:
+        at = -best["at"]
+        above = per.where(x > F.lit(at)).agg(F.min(x)).first()[0]
+        cut = at + 1e-6 if above is None else (at + above) / 2
+    mean = per.agg((F.sum(x * F.col("c")) / total["c"]).alias("m")).first()["m"]
+    spread = per.agg((F.sum(F.pow(x - F.lit(mean), 2) * F.col("c")) / total["c"]).alias("v")).first()["v"]
+    return cut, float(f"{spread ** 0.5:.9g}")  # sums of doubles differ in their last digits from run to run
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, shared: int = SHARED, passage: int = PASSAGE,
-             clean: float = CLEAN, held_out: Column | None = None, calibration: int = 5, sample: int = 50_000,
+             clean: float = CLEAN, held_out: Column | None = None, calibration: int = 5,
              label_rows: int = LABEL_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, evidence.
 
     ``held_out`` marks rows whose labels are not learned from.  One labelled
     document in ``calibration`` (by id hash) is kept out of the models and sets
-    the cut, at most ``sample`` of each class, of least id hash.  Labels join
-    the texts by broadcast up to ``label_rows`` rows, by a shuffle beyond."""
+    the cut, all of them.  Labels join the texts by broadcast up to ``label_rows`` rows, by a shuffle beyond."""
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(True))
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col("doc_id").alias("label_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label")))
@@ -269,14 +298,11 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, shared: int
                     F.when(~F.col("held_out") & (fold != 0), F.col("label")).alias("class"),
                     F.when(~F.col("held_out") & (fold == 0), F.col("label")).alias("check")))
     scored = stored(evidence(rows.drop("class"), fit(rows, order, shared), order, passage, slice_bytes), "toxicity")
-    found = {k: np.array([r[0] for r in scored.where(F.col("check") == k).select(
-        "evidence", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "evidence").limit(sample).collect()])
-        for k in (0, 1)}
-    if not len(found[0]) or not len(found[1]):
+    found = best_cut(scored, clean)
+    if found is None:
         score = F.lit(0.0)
     else:
-        cut = best_cut(found[1], found[0], clean)
-        scale = max(float(found[0].std()), 1e-6) / 2
+        cut, scale = found[0], max(found[1], 1e-6) / 2
         score = F.lit(1.0) / (F.lit(1.0) + F.exp((F.lit(cut) - F.col("evidence")) / F.lit(scale)))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence")
 

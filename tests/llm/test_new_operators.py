@@ -285,3 +285,18 @@ def test_containers_take_the_least_form():
 def test_integers_of_ragged_vectors():
     got = negatives.integers(pa.array([[0.5, -0.001], [], [1.0, 2.0, 3.0]], pa.list_(pa.float32())))
     assert got.tolist() == [[128, -1, 0], [0, 0, 0], [256, 512, 768]]
+
+
+def test_toxicity_cut_uses_every_checked_row(spark):
+    """Against a plain scan over all edges, with ranges of few values."""
+    rng = random.Random(5)
+    for n, parts in ((400, 30), (400, 10_000), (3, 1)):
+        rows = [(k, round(rng.gauss(k, 1), 2)) for _ in range(n) for k in (0, 1, 0)] + [(None, 99.0)]
+        found = toxicity.best_cut(spark.createDataFrame(rows, "check int, evidence double"), 4.0, parts)
+        toxic, clean = (np.array([x for k, x in rows if k == want]) for want in (1, 0))
+        both = np.unique(np.concatenate((toxic, clean)))
+        edges = [both[0] - 1e-6, *((both[1:] + both[:-1]) / 2), both[-1] + 1e-6]
+        gain = [1 - np.sum(toxic < e) / len(toxic) - 4.0 * (1 - np.sum(clean < e) / len(clean)) for e in edges]
+        assert abs(found[0] - edges[int(np.argmax(np.round(gain, 9)))]) < 1e-9 and abs(found[1] - clean.std()) < 1e-6
+    assert toxicity.best_cut(spark.createDataFrame([(0, 1.0)], "check int, evidence double")) is None
+    assert "sample" not in toxicity.classify.__code__.co_varnames
