@@ -204,3 +204,32 @@ def test_checkin_batch_replayed_after_a_crash_counts_once(spark, tmp_root):
             os.remove(f)
     got = {r["k"]: (r["check_in_count"], r["last_check_in"], r["last_value"]) for r in t.read().collect()}
     assert got == {"u1": (2, 10, 7.0), "u2": (1, 3, 1.0)}
+
+
+def test_first_version_is_written_once_and_buckets_are_dealt_by_number(spark, tmp_root):
+    """The first rows go straight to the version's folder; later dealt rows of a
+    bucket share a task with no other bucket."""
+    import io
+    from contextlib import redirect_stdout
+
+    from pyspark.sql import functions as F
+
+    from inventa.sources import tables
+
+    t = tables.VersionedTable(spark, f"{tmp_root}/t", ["k"], ["s"], buckets=5)
+    rows = spark.range(0, 400).select((F.col("id") % 150).alias("k"), F.col("id").alias("s"), F.col("id").cast("string").alias("v"))
+    t.merge = None  # not used for the first version
+    assert t.upsert(rows.limit(0)) == 0 and t.versions() == []
+    assert t.upsert(rows) == 1
+    want = {k: max(i for i in range(400) if i % 150 == k) for k in range(150)}
+    assert {r["k"]: (r["s"], r["v"]) for r in t.read().collect()} == {k: (s, str(s)) for k, s in want.items()}
+    assert t.read().columns == ["k", "s", "v"]
+    del t.merge
+    assert t.upsert(rows.where("k < 3").withColumn("s", F.col("s") + 1000)) == 2
+    assert {r["k"]: r["s"] for r in t.read().collect()} == {k: s + 1000 * (k < 3) for k, s in want.items()}
+    dealt = t._dealt(t.read().withColumn(tables.BUCKET_COL, tables.bucket_of(["k"], 5)), 3 * tables.ROWS_PER_FILE)
+    assert dealt.rdd.getNumPartitions() == 15
+    per = dealt.groupBy(F.spark_partition_id()).agg(F.countDistinct(tables.BUCKET_COL).alias("n")).collect()
+    assert per and all(r["n"] == 1 for r in per)
+    with redirect_stdout(io.StringIO()):
+        dealt.explain()
