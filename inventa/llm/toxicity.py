@@ -275,7 +275,7 @@ def best_cut(checked: DataFrame, weight: float = CLEAN, rows_per_part: int = CUT
         cut = at + 1e-6 if above is None else (at + above) / 2
     mean = per.agg((F.sum(x * F.col("c")) / total["c"]).alias("m")).first()["m"]
     spread = per.agg((F.sum(F.pow(x - F.lit(mean), 2) * F.col("c")) / total["c"]).alias("v")).first()["v"]
-    return cut, float(f"{spread ** 0.5:.9g}")  # sums of doubles differ in their last digits from run to run
+    return cut, float(f"{spread ** 0.5:.14g}")  # sums of doubles differ in their last digits from run to run
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, shared: int = SHARED, passage: int = PASSAGE,
