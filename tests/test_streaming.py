@@ -233,3 +233,45 @@ def test_first_version_is_written_once_and_buckets_are_dealt_by_number(spark, tm
     assert per and all(r["n"] == 1 for r in per)
     with redirect_stdout(io.StringIO()):
         dealt.explain()
+
+
+def _rows_per_task(lines):
+    """Most rows that a task wrote to a file."""
+    return max(lines.groupBy(F.input_file_name()).count().collect(), key=lambda r: r[1])[1]
+
+
+def test_tasks_follow_rows_not_bytes(spark, tmp_root, monkeypatch):
+    """Rows that compress well: landing, bronze and silver give a task a bounded
+    number of them, in the first version and in a later one, and leave the
+    session as it was."""
+    from inventa import session
+    from inventa.sources import tables
+    from inventa.sources.landing import write_landing
+    from inventa.streaming import bronze
+    from inventa.streaming.silver_views import read_silver, run_pipeline
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(bronze, "ROWS_PER_TASK", 500)
+    seen = []
+
+    def spy(df, keys, order_by):
+        seen.append(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        seen.append(max(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+        return latest(df, keys, order_by)
+
+    latest = tables.latest_per_key
+    monkeypatch.setattr(tables, "latest_per_key", spy)
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k, None) for k in settings]
+    name = "entra_sign_in_logs"
+    for run, rows in (("r1", spark.range(10_000)), ("r2", spark.range(8_000, 12_000))):
+        write_landing(rows.select(F.col("id").cast("string").alias("id"), F.lit(run).alias("appDisplayName"), F.lit("t1").alias("t"),
+                                  F.lit("2024-01-01").alias("d")), f"{tmp_root}/landing", name, "t", "d", run)
+        run_pipeline(spark, f"{tmp_root}/landing", f"{tmp_root}/lake", bronze_names=[name], silver_names=["sign_in_logs"])
+        assert [spark.conf.get(k, None) for k in settings] == before
+    assert _rows_per_task(spark.read.text(f"{tmp_root}/landing/{name}/*/*")) <= 1000
+    assert _rows_per_task(spark.read.parquet(f"{tmp_root}/lake/bronze/{name}")) <= 500
+    got = read_silver(spark, f"{tmp_root}/lake", "sign_in_logs")
+    assert {r[0]: r[1] for r in got.groupBy("app_display_name").count().collect()} == {"r1": 8_000, "r2": 4_000}
+    assert got.select("id").distinct().count() == 12_000
+    assert seen[0] == "20" and seen[1] <= 1000 and seen[3] <= 1000
