@@ -4,10 +4,12 @@ A text is split by the tokenizer's pattern; the distinct pieces of a slice of
 texts become token-position rows (piece, position, token), one per byte.  A
 recursive query joins neighbouring tokens to the merge table and contracts each
 piece's leftmost pair of least rank, round by round, until no piece has a pair
-left.  Decoding joins the ids to the vocabulary and aggregates the bytes in
-order of position.  A worker process keeps the pieces it has encoded, up to a
-bounded number, and one in-memory database of bounded size that has no folder to
-spill to: a query's pieces are bounded by the rows of all their rounds together.
+left.  Decoding joins the ids to the vocabulary and reads the bytes in order of
+position, a block of positions at a time.  A worker process keeps the pieces it
+has encoded, up to a bounded number, and one in-memory database of bounded size
+that has no folder to spill to: a query's pieces are bounded by the rows of all
+their rounds together.  Every query builds the merge table's hash table again, so
+a slice is large; its pieces are looked up once each, not once per occurrence.
 
 A piece of over ``LONG_PIECE`` bytes (a run of thousands of letters or blanks)
 would need as many rounds as it has merges, each over its whole row set; it goes
@@ -41,6 +43,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_PIECE = 192
 CACHED_PIECES = 600_000
 ROUND_ROWS = 3_000_000
+DECODE_ROWS = 1 << 20
+SLICE_CHARS = 1 << 21
 MEMORY = "250MB"
 
 # a found pair is one number (new token, its position, the position that goes,
@@ -60,9 +64,7 @@ WITH RECURSIVE step(w, pos, nxt, id, n) AS (
 SELECT w, pos, id, n FROM step
 """
 
-_DECODE = """
-SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary v USING (id) GROUP BY doc
-"""
+_DECODE = "SELECT v.bytes FROM tokens JOIN vocabulary v USING (id) ORDER BY pos"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -73,29 +75,41 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+def _joined(values, cut: np.ndarray) -> list[bytes]:
+    """The bytes of an Arrow column of bytes, joined from each cut to the next."""
+    chunks = [c for c in (values.chunks if hasattr(values, "chunks") else [values]) if len(c)]
+    at, data = [np.zeros(1, dtype=np.int64)], []
+    for c in chunks:
+        offsets = np.frombuffer(c.buffers()[1], dtype=np.int64)[c.offset:c.offset + len(c) + 1]
+        at.append(at[-1][-1] + offsets[1:] - offsets[0])
+        data.append(memoryview(c.buffers()[2] or b"")[offsets[0]:offsets[-1]])
+    whole = b"".join(data)
+    ends = np.concatenate(at)[cut].tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
     def __init__(self, tokens: list[bytes], pattern: str, text: bool = False):
         import duckdb
+        import pyarrow as pa
         import regex
 
         self.pattern, self.text = regex.compile(pattern), text
-        # piece -> (ids, decimals); the older half goes when the newer one is full
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        # piece -> ids; the older half goes when the newer one is full
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
-        self.decimal = [b"%d" % i for i in range(len(tokens))]
+        self.decimal = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
         self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:")
         self.db.execute(f"SET threads TO 1; SET memory_limit = '{MEMORY}'; SET temp_directory = ''")
         pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t))
                  if t[:k] in self.rank and t[k:] in self.rank]
         self._load("merges", np.array(pairs, dtype=np.int32).reshape(-1, 3), ("a", "b", "id"))
-        import pyarrow as pa
-
-        own = pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "hex": [t.hex() for t in tokens]})
+        own = pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "bytes": pa.array(tokens, pa.binary())})
         self.db.register("own", own)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM own")
         self.db.unregister("own")
@@ -142,7 +156,8 @@ class Codec:
         pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
         ids = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         self._load("bytes_of_pieces", np.stack((w, pos, pos + 1, ids), axis=1), ("w", "pos", "nxt", "id"))
-        out = self.db.execute(_ENCODE).fetchnumpy()
+        found = self.db.sql(_ENCODE).to_arrow_table()
+        out = {c: found.column(c).to_numpy() for c in found.column_names}
         # a piece's last round holds its tokens
         last = np.zeros(len(raw), dtype=out["n"].dtype)
         np.maximum.at(last, out["w"], out["n"])
@@ -151,29 +166,26 @@ class Codec:
         by = np.argsort((w.astype(np.int64) << 8) + out["pos"][kept], kind="stable")
         return out["id"][kept][by].astype(np.int32), np.searchsorted(w[by], np.arange(len(raw) + 1))
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         """Encode pieces that are not known yet."""
-        raw = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        short = size <= LONG_PIECE
         # rows of all rounds: at most half the square of a piece's length
-        most = np.cumsum([len(b) * (len(b) + 1) // 2 if len(b) <= LONG_PIECE else 0 for b in raw])
-        done: dict[int, np.ndarray] = {}
-        for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(most // ROUND_ROWS)) + 1):
-            short = [i for i in part.tolist() if len(raw[i]) <= LONG_PIECE]
-            done.update((i, np.array(self._contract(raw[i]), dtype=np.int32)) for i in part.tolist() if len(raw[i]) > LONG_PIECE)
-            if short:
-                ids, cut = self._contracted([raw[i] for i in short])
-                done.update((i, ids[a:b]) for i, a, b in zip(short, cut.tolist(), cut[1:].tolist()))
-        for i, piece in enumerate(pieces):
-            decimals = b" ".join(map(self.decimal.__getitem__, done[i].tolist())) if self.text else b""
-            self.known[piece] = done[i].tobytes(), decimals
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Per text: its ids, and (for a codec with ``text``) them as decimals
-        joined by one space."""
+        most = np.cumsum(np.where(short, size * (size + 1) // 2, 0))
+        for part in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(most // ROUND_ROWS)) + 1):
+            some = [pieces[i] for i in part[short[part]].tolist()]
+            if some:
+                ids, cut = self._contracted(some)
+                ids, cut = ids.tobytes(), (cut * ids.itemsize).tolist()
+                self.known.update((p, ids[a:b]) for p, a, b in zip(some, cut, cut[1:]))
+            for i in part[~short[part]].tolist():
+                self.known[pieces[i]] = np.array(self._contract(pieces[i]), dtype=np.int32).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if 2 * len(self.known) > CACHED_PIECES:
             self.older, self.known = self.known, {}
-        split = [self.pattern.findall(t) for t in texts]
-        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known]
+        new = [p for p in pieces if p not in self.known]
         if self.older and new:
             back = [p for p in new if p in self.older]
             self.known.update((p, self.older[p]) for p in back)
@@ -181,28 +193,45 @@ class Codec:
                 new = [p for p in new if p not in self.older]
         if new:
             self._learn(new)
-        out = []
-        for s in split:
-            at = list(map(self.known.__getitem__, s))
-            ids = np.frombuffer(b"".join([x[0] for x in at]), dtype=np.int32)
-            out.append((ids, b" ".join([x[1] for x in at]) if self.text else b""))
-        return out
+        return list(map(self.known.__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """Per text: its ids, and (for a codec with ``text``) them as decimals
+        joined by one space."""
+        import pyarrow as pa
+
+        split = [self.pattern.findall(t) for t in texts]
+        ends = np.cumsum([0, *map(len, split)])
+        pieces = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        del split
+        known = self._ids(_joined(pieces.dictionary, np.arange(len(pieces.dictionary) + 1)))
+        pool = np.frombuffer(b"".join(known), dtype=np.int32)
+        begin = np.cumsum([0, *map(len, known)]) // pool.itemsize
+        of = pieces.indices.to_numpy()
+        cut = np.concatenate(([0], np.cumsum(np.diff(begin)[of])))[ends]
+        ids = pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), pa.array(pool)).take(pieces.indices).flatten()
+        row = ids.to_numpy()
+        rows = [row[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+        if not self.text:
+            return [(r, b"") for r in rows]
+        return [(r, d[:-1]) for r, d in zip(rows, _joined(self.decimal.take(ids), cut))]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each id sequence, by ordered aggregation."""
-        size = np.array([len(r) for r in rows], dtype=np.int64)
-        if not size.sum():
+        """Bytes of each id sequence, by a join in order of position."""
+        import pyarrow as pa
+
+        cut = np.cumsum([0, *map(len, rows)])
+        if not cut[-1]:
             return [b""] * len(rows)
         ids = np.concatenate(rows)
         if ids.min() < 0 or ids.max() >= len(self.tokens):
             raise ValueError("token id outside the vocabulary")
-        doc = np.repeat(np.arange(len(rows)), size)
-        pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-        self._load("tokens", np.stack((doc, pos, ids), axis=1).astype(np.int32), ("doc", "pos", "id"))
-        out = [b""] * len(rows)
-        for d, h in self.db.execute(_DECODE).fetchall():
-            out[d] = bytes.fromhex(h)
-        return out
+        found = []
+        for lo in range(0, len(ids), DECODE_ROWS):
+            block = ids[lo:lo + DECODE_ROWS]
+            self._load("tokens", np.stack((np.arange(len(block)), block), axis=1).astype(np.int32), ("pos", "id"))
+            found.extend(self.db.sql(_DECODE).to_arrow_table().column(0).cast(pa.large_binary()).chunks)
+        return _joined(pa.chunked_array(found, pa.large_binary()), cut)
 
 
 def _codec(key: tuple, make) -> Codec:
@@ -220,7 +249,7 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[list[bytes], str
     return read_ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN
 
 
-def _slices(texts: list[str], most: int = 1 << 19):
+def _slices(texts: list[str], most: int = SLICE_CHARS):
     """(first, last) of runs of texts of about ``most`` characters."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import textwrap
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inventa.llm import bpe, fingerprint, pii
@@ -140,3 +141,12 @@ def test_long_pieces_and_scripts_need_no_folder(spark, tmp_path, monkeypatch):
     for _ in range(3):
         again = [codec.encode([t])[0] for t in texts]
     assert [s for _, s in again] == [" ".join(map(str, ids.tolist())).encode() for ids, _ in coded]
+
+
+def test_long_texts_decode_in_bounded_memory():
+    """Three million tokens of one text: one aggregate over them ran out of memory."""
+    codec = bpe.Codec(*bpe._vocabulary(None, None))
+    ids = np.arange(3_000_000) % len(codec.tokens)
+    first, whole, none = codec.decode([ids[:10], ids, ids[:0]])
+    assert first == b"".join(codec.tokens[:10]) and none == b""
+    assert whole == b"".join(map(codec.tokens.__getitem__, ids.tolist()))
