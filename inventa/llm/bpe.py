@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding, by DuckDB queries inside the tasks.
 
-A text is split by the tokenizer's pattern; the distinct pieces of a slice of
-texts become token-position rows (piece, position, token), one per byte.  A
-recursive query joins neighbouring tokens to the merge table and contracts each
-piece's leftmost pair of least rank, round by round, until no piece has a pair
-left.  Decoding joins the ids to the vocabulary and reads the bytes in order of
-position, a block of positions at a time.  A worker process keeps the pieces it
-has encoded, up to a bounded number, and one in-memory database of bounded size
-that has no folder to spill to: a query's pieces are bounded by the rows of all
-their rounds together.  Every query builds the merge table's hash table again, so
-a slice is large; its pieces are looked up once each, not once per occurrence.
+A text is split by the tokenizer's pattern, whose matches begin where the kinds
+of neighbouring characters say (by the regex module for any other pattern); the
+distinct pieces of a slice of texts become token-position rows (piece, position,
+token), one per byte.  A recursive query joins neighbouring tokens to the merge
+table and contracts each piece's leftmost pair of least rank, round by round,
+until no piece has a pair left.  Decoding joins the ids to the vocabulary and
+reads the bytes in order of position, a block of positions at a time.  A worker
+process keeps the pieces it has encoded, up to a bounded number, and one
+in-memory database of bounded size that has no folder to spill to: a query's
+pieces are bounded by the rows of all their rounds together.  Every query builds
+the merge table's hash table again, so a slice is large; its pieces are looked up
+once each, not once per occurrence.
 
 A piece of over ``LONG_PIECE`` bytes (a run of thousands of letters or blanks)
 would need as many rounds as it has merges, each over its whole row set; it goes
@@ -43,6 +45,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_PIECE = 192
 CACHED_PIECES = 600_000
 ROUND_ROWS = 3_000_000
+# the pattern whose matches are found by the kinds of neighbouring characters;
+# any other goes through the regex module
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DECODE_ROWS = 1 << 20
 SLICE_CHARS = 1 << 21
 MEMORY = "250MB"
@@ -75,6 +80,43 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+def _kinds() -> np.ndarray:
+    """Per code point: 0 blank, 1 letter, 2 number, 3 other, as the regex module has them."""
+    import regex
+
+    kind = np.full(0x110000, 3, dtype=np.uint8)
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    for k, own in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for m in regex.finditer(own, every):
+            kind[ord(m[0][0]):ord(m[0][-1]) + 1] = k
+    return kind
+
+
+def _match_starts(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a match of PLAIN begins at each character; ``first`` marks the
+    first character of each text."""
+    n = len(code)
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # before a character that is not blank: a run of blanks leaves its last one, which goes along if it is a space
+    goes_on = (kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:]
+    start[:-1] |= goes_on
+    start[1:] &= ~(goes_on & (code[:-1] == 32))
+    # 's 't 'm 'd 're 've 'll, where a match begins at the apostrophe
+    at = np.flatnonzero(start & (code == 39))
+    at = at[at + 1 < n]
+    at = at[~first[at + 1]]
+    c1, c2 = code[at + 1], np.where(at + 2 < n, code[np.minimum(at + 2, n - 1)], 0)
+    c2 = np.where(first[np.minimum(at + 2, n - 1)], 0, c2)
+    one = np.isin(c1, [ord(c) for c in "stmd"])
+    two = (((c1 == ord("r")) | (c1 == ord("v"))) & (c2 == ord("e"))) | ((c1 == ord("l")) & (c2 == ord("l")))
+    for some, size in ((at[one], 2), (at[two], 3)):
+        for k in range(1, size):
+            start[some + k] = False
+        start[(some + size)[some + size < n]] = True
+    return start
+
+
 def _joined(values, cut: np.ndarray) -> list[bytes]:
     """The bytes of an Arrow column of bytes, joined from each cut to the next."""
     chunks = [c for c in (values.chunks if hasattr(values, "chunks") else [values]) if len(c)]
@@ -97,6 +139,7 @@ class Codec:
         import regex
 
         self.pattern, self.text = regex.compile(pattern), text
+        self.kinds = _kinds() if pattern == PLAIN else None
         # piece -> ids; the older half goes when the newer one is full
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -185,25 +228,45 @@ class Codec:
         """The ids of distinct pieces."""
         if 2 * len(self.known) > CACHED_PIECES:
             self.older, self.known = self.known, {}
-        new = [p for p in pieces if p not in self.known]
-        if self.older and new:
-            back = [p for p in new if p in self.older]
-            self.known.update((p, self.older[p]) for p in back)
-            if back:
-                new = [p for p in new if p not in self.older]
-        if new:
-            self._learn(new)
-        return list(map(self.known.__getitem__, pieces))
+        found = list(map(self.known.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
+        if not new:
+            return found
+        back = [p for p in new if p in self.older]
+        self.known.update((p, self.older[p]) for p in back)
+        if len(back) < len(new):
+            self._learn([p for p in new if p not in self.older])
+        return [self.known[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
+    def _split(self, texts: list[str]):
+        """The pieces of the texts as an Arrow column of bytes, and where each
+        text begins in it."""
+        import pyarrow as pa
+
+        if self.kinds is None:
+            split = [self.pattern.findall(t) for t in texts]
+            pieces = pa.array(list(chain.from_iterable(split)), pa.large_string())
+            return pieces.cast(pa.large_binary()), np.cumsum([0, *map(len, split)])
+        begin = np.cumsum([0, *map(len, texts)])
+        whole = "".join(texts)
+        code = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        first = np.zeros(len(code) + 1, dtype=bool)
+        first[begin] = True
+        at = np.flatnonzero(_match_starts(code, self.kinds[code], first[:-1])) if whole else np.zeros(0, dtype=np.int64)
+        cut = np.searchsorted(at, begin)
+        raw = whole.encode()
+        if len(raw) > len(code):
+            at = np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)[at]
+        offsets = np.append(at, len(raw))
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), cut
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """Per text: its ids, and (for a codec with ``text``) them as decimals
         joined by one space."""
         import pyarrow as pa
 
-        split = [self.pattern.findall(t) for t in texts]
-        ends = np.cumsum([0, *map(len, split)])
-        pieces = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-        del split
+        pieces, ends = self._split(texts)
+        pieces = pieces.dictionary_encode()
         known = self._ids(_joined(pieces.dictionary, np.arange(len(pieces.dictionary) + 1)))
         pool = np.frombuffer(b"".join(known), dtype=np.int32)
         begin = np.cumsum([0, *map(len, known)]) // pool.itemsize

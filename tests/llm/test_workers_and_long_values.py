@@ -6,6 +6,7 @@ import subprocess
 import sys
 import tempfile
 import textwrap
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -150,3 +151,36 @@ def test_long_texts_decode_in_bounded_memory():
     first, whole, none = codec.decode([ids[:10], ids, ids[:0]])
     assert first == b"".join(codec.tokens[:10]) and none == b""
     assert whole == b"".join(map(codec.tokens.__getitem__, ids.tolist()))
+
+
+def test_pieces_are_the_matches_of_the_pattern():
+    """Found by neighbouring characters or, for another pattern, by the regex module."""
+    import random
+
+    import public_tokenizers
+    import regex
+
+    assert bpe.PLAIN == public_tokenizers.PATTERN
+    rng = random.Random(5)
+    parts = [*"'''strevmdlST   \t\n7½Ⅳ一é!-_👍\0ß　​\x1c\x85퟿\U0010ffff", "'s", "'re", "'ll", " '", "  "]
+    slices = [["".join(rng.choices(parts, k=rng.randrange(rng.choice((1, 4, 15))))) for _ in range(rng.randrange(6))]
+              for _ in range(4000)]
+    slices.append(["".join(a + chr(x) for x in chain(range(0xD800), range(0xE000, 0x110000))) for a in ("a", " ", "'")])
+    for pattern in (bpe.PLAIN, r"\p{L}+|\P{L}"):
+        codec, plain = bpe.Codec(*bpe._vocabulary(None, pattern)), regex.compile(pattern)
+        assert (codec.kinds is None) == (pattern != bpe.PLAIN)
+        for texts in slices:
+            pieces, cut = codec._split(texts)
+            pieces = pieces.to_pylist()
+            assert [pieces[a:b] for a, b in zip(cut, cut[1:])] == [[m.encode() for m in plain.findall(t)] for t in texts]
+
+
+def test_a_slice_is_learned_by_few_queries(monkeypatch):
+    """Texts of two million characters in all are one slice."""
+    codec, queries = bpe.Codec(*bpe._vocabulary(None, None)), []
+    contracted = codec._contracted
+    monkeypatch.setattr(codec, "_contracted", lambda raw: queries.append(len(raw)) or contracted(raw))
+    texts = [f"word{i % 5} " * 1000 + f"own{chr(97 + i % 26)}" for i in range(300)]
+    for lo, hi in bpe._slices(texts):
+        codec.encode(texts[lo:hi])
+    assert len(queries) == 1 and sum(queries) < 50
