@@ -49,7 +49,7 @@ ROUND_ROWS = 3_000_000
 # any other goes through the regex module
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DECODE_ROWS = 1 << 20
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 MEMORY = "250MB"
 
 # a found pair is one number (new token, its position, the position that goes,
@@ -342,6 +342,8 @@ def _mapped(rows: DataFrame, column: str, fields: list[tuple[str, str]], make, p
                 more = [pa.array([r[k] for r in made], arrow[kind]) for k, (_, kind) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more],
                                                  [*names, *(f[0] for f in fields)])
+            # a worker that stays for other tasks keeps no slice's memory
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, ", ".join([schema, *(f"{n} {k}" for n, k in fields)]))
