@@ -9,9 +9,8 @@ until no piece has a pair left.  Decoding joins the ids to the vocabulary and
 reads the bytes in order of position, a block of positions at a time.  A worker
 process keeps the pieces it has encoded, up to a bounded number, and one
 in-memory database of bounded size that has no folder to spill to: a query's
-pieces are bounded by the rows of all their rounds together.  Every query builds
-the merge table's hash table again, so a slice is large; its pieces are looked up
-once each, not once per occurrence.
+pieces are bounded by the rows of all their rounds together.  A slice's
+pieces are looked up once each, not once per occurrence.
 
 A piece of over ``LONG_PIECE`` bytes (a run of thousands of letters or blanks)
 would need as many rounds as it has merges, each over its whole row set; it goes
@@ -49,7 +48,7 @@ ROUND_ROWS = 3_000_000
 # any other goes through the regex module
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DECODE_ROWS = 1 << 20
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 MEMORY = "250MB"
 
 # a found pair is one number (new token, its position, the position that goes,
