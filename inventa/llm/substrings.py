@@ -21,6 +21,13 @@ starts anywhere else, in the same text or another.
    windows are dealt by a hash of the whole window instead, with partial counts,
    which compares them across all buckets and needs no task to hold the gram.
 
+:func:`remove` can also count the words of repeated passages: those covered by
+some ``words`` consecutive words that also start anywhere else, however many
+bytes they have.  Nothing is removed for them.  Words are the lower-cased runs
+``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` and compared by 64-bit hashes; windows of
+words get anchors and blocks as in 1 and 2, and blocks of different content
+under one gram compare the hashes of their windows.
+
 Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing;
 repeated rows are copies of each other, so all their windows repeat; the answer
 is one row per input row; an empty table gives none; other columns are ignored.
@@ -43,13 +50,15 @@ LENGTH = 400
 GRAM = 128
 HOT = 4096
 LEAD = 16
+WORDS = 50
+WORD_GRAM = 10
 ROWS_AT_ONCE = 16_384
 _AT_BITS = np.uint64(30)
 _AT_MASK = np.uint64((1 << 30) - 1)
 
 
 def rolling(buf: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the bytes [i, i + gram) for each i."""
+    """Hash of the bytes, or other units, [i, i + gram) for each i."""
     n = len(buf)
     if n < gram:
         return np.zeros(0, dtype=np.uint64)
@@ -75,25 +84,45 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """(text, anchor, first window, last window, gram hash) arrays per chunk,
     positions within the text."""
-    width = length - gram + 1
-    for lo, hi, buf, starts in T.chunks(texts):
-        if len(buf) <= length:
-            continue
-        h = rolling(buf, gram)
-        order = (h >> _AT_BITS << _AT_BITS) | np.arange(len(h), dtype=np.uint64)
-        own = sliding_min(order, width)
-        doc = np.repeat(np.arange(hi - lo), np.diff(starts))
-        ends = starts[1:] - 1
-        window = np.arange(min(len(own), len(buf) - length + 1))
-        window = window[window + length <= ends[doc[window]]]
-        if not len(window):
-            continue
-        at = (own[window] & _AT_MASK).astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[window[1:]] != doc[window[:-1]]))))
-        first = window[new]
-        last = window[np.concatenate((new[1:], [len(window)])) - 1]
-        base = starts[doc[first]]
-        yield lo + doc[first], at[new] - base, first - base, last - base, h[at[new]]
+    for lo, _, buf, starts in T.chunks(texts):
+        doc, at, first, last, h = _anchored(buf, starts, length, gram)
+        if len(doc):
+            base = starts[doc]
+            yield lo + doc, at - base, first - base, last - base, h
+
+
+def _anchored(buf: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, first window, last window, gram hash) of a chunk of bytes
+    or other units, positions within the chunk; one unit follows each text."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(buf) <= length:
+        return none, none, none, none, none.view(np.uint64)
+    h = rolling(buf, gram)
+    order = (h >> _AT_BITS << _AT_BITS) | np.arange(len(h), dtype=np.uint64)
+    own = sliding_min(order, length - gram + 1)
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    ends = starts[1:] - 1
+    window = np.arange(min(len(own), len(buf) - length + 1))
+    window = window[window + length <= ends[doc[window]]]
+    if not len(window):
+        return none, none, none, none, none.view(np.uint64)
+    at = (own[window] & _AT_MASK).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[window[1:]] != doc[window[:-1]]))))
+    first = window[new]
+    last = window[np.concatenate((new[1:], [len(window)])) - 1]
+    return doc[first], at[new], first, last, h[at[new]]
+
+
+def _word_units(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a chunk with one more unit after each text, and the offset
+    of each text's words."""
+    low = T.LOWER[buf]
+    start, end = T.word_spans(low, T.ALNUM)
+    doc = T.doc_of(start, starts)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(starts) - 1) + 1)))
+    units = np.zeros(begin[-1], dtype=np.uint64)
+    units[np.arange(len(start)) + doc] = T.span_hashes(low, start, end)
+    return units, begin
 
 
 def _uid(doc_id, text):
@@ -120,28 +149,66 @@ def _instances(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(index, "gram long, block long, uid long, place long")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The wanted instances with their content and leading bytes."""
+def _word_instances(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """One row per anchor among the words: gram, block (content hash), uid, place
+    (first window and number of windows packed in one integer)."""
+    def index(batches):
+        import pyarrow as pa
+
+        for batch in T.sliced(batches):
+            texts, uid = T.as_bytes(batch.column(1)), np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            for lo, _, buf, starts in T.chunks(texts):
+                units, begin = _word_units(buf, starts)
+                doc, at, first, last, h = _anchored(units, begin, words, gram)
+                if not len(doc):
+                    continue
+                # sums of the block's units times powers counted from its first
+                total = np.zeros(len(units) + 1, dtype=np.uint64)
+                np.cumsum((units + np.uint64(1)) * T.powers(len(units)), out=total[1:])
+                inverse = T.powers(len(units), np.uint64(pow(int(T.WORD_BASE), -1, 1 << 64)))
+                size, ahead = (last - first + 1).astype(np.uint64), (at - first).astype(np.uint64)
+                block = T.mix(T.mix((total[last + words] - total[first]) * inverse[first]) ^ ((size << np.uint64(32)) | ahead))
+                place = ((first - begin[doc]) << 20) | (last - first + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(block.view(np.int64)), pa.array(uid[lo + doc]), pa.array(place)],
+                    ["gram", "block", "uid", "place"])
+
+    return docs.mapInArrow(index, "gram long, block long, uid long, place long")
+
+
+def _contents(docs: DataFrame, wanted: DataFrame, length: int, gram: int, words: int) -> DataFrame:
+    """The wanted instances with their content and leading bytes; for those of
+    words the hashes of their windows, eight bytes each."""
     def cut(batches):
         import pyarrow as pa
 
         for batch in T.sliced(batches, 64):
-            out = {"uid": [], "place": [], "gram": [], "n": [], "m": [], "lead": [], "content": []}
+            out = {"uid": [], "place": [], "gram": [], "n": [], "m": [], "of_words": [], "lead": [], "content": []}
             for uid, text, found in zip(*(batch.column(k) for k in range(3))):
                 raw = (text.as_py() or "").encode()
+                windows = None
                 for w in found.as_py():
-                    at, low, high = w["place"] >> 20, w["place"] >> 10 & 1023, w["place"] & 1023
                     out["uid"].append(uid.as_py())
-                    out["lead"].append(raw[at:at + min(LEAD, gram)])
-                    out["content"].append(raw[at - high:at - low + length])
-                    for k in ("place", "gram", "n", "m"):
+                    if w["of_words"]:
+                        if windows is None:
+                            units, _ = _word_units(*next(T.chunks([raw]))[2:])
+                            windows = rolling(units, words).tobytes()
+                        first, size = w["place"] >> 20, w["place"] & 0xFFFFF
+                        out["lead"].append(b"")
+                        out["content"].append(windows[8 * first:8 * (first + size)])
+                    else:
+                        at, low, high = w["place"] >> 20, w["place"] >> 10 & 1023, w["place"] & 1023
+                        out["lead"].append(raw[at:at + min(LEAD, gram)])
+                        out["content"].append(raw[at - high:at - low + length])
+                    for k in ("place", "gram", "n", "m", "of_words"):
                         out[k].append(w[k])
-            kinds = {"lead": pa.binary(), "content": pa.binary()}
+            kinds = {"lead": pa.binary(), "content": pa.binary(), "of_words": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
-    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("place", "gram", "n", "m")).alias("found"))
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("place", "gram", "n", "m", "of_words")).alias("found"))
     rows = docs.join(lists, "uid").select("uid", "text", "found")
-    return rows.mapInArrow(cut, "uid long, place long, gram long, n long, m long, lead binary, content binary").dropDuplicates(["uid", "place"])
+    schema = "uid long, place long, gram long, n long, m long, of_words boolean, lead binary, content binary"
+    return rows.mapInArrow(cut, schema).dropDuplicates(["uid", "place", "of_words"])
 
 
 def multikey_order(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +338,76 @@ def _hot_windows(blocks: DataFrame, length: int) -> DataFrame:
             .select("uid", "a", (F.col("a") + length).alias("b")))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(uid, a, b): byte spans, possibly overlapping, that repeat elsewhere."""
+def _compared_words(blocks: DataFrame, words: int) -> DataFrame:
+    """Repeats among the windows of words of each gram: (uid, a, b) word spans."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def spans(rows):
+            size = np.array([len(c) // 8 for c in rows[4]], dtype=np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            a = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - (np.array(rows[1], dtype=np.int64) >> 20), size)
+            key, g = np.frombuffer(b"".join(rows[4]), dtype=np.uint64), np.array(rows[0], dtype=np.int64)[row]
+            by = np.lexsort((key, g))
+            equal = (key[by][1:] == key[by][:-1]) & (g[by][1:] == g[by][:-1])
+            twice = by[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]
+            twice = np.sort(twice[np.array(rows[3], dtype=np.int64)[row[twice]] == 1])
+            # windows one after the other are one span
+            new = np.concatenate(([True], (np.diff(twice) != 1) | (np.diff(row[twice]) != 0)))[:len(twice)]
+            end = np.concatenate((new[1:], [True]))[:len(twice)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.array(rows[2], dtype=np.int64)[row[twice[new]]]), pa.array(a[twice[new]]), pa.array(a[twice[end]] + words)],
+                ["uid", "a", "b"])
+
+        held: list[list] = [[] for _ in range(5)]
+        for batch in T.sliced(batches, 4096):
+            for k in range(5):
+                held[k].extend(batch.column(k).to_pylist())
+            if len(held[0]) >= ROWS_AT_ONCE and held[0][0] != held[0][-1]:
+                cut = held[0].index(held[0][-1])
+                yield spans([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if held[0]:
+            yield spans(held)
+
+    rows = blocks.repartitionByRange(tasks, "gram").sortWithinPartitions("gram").select("gram", "place", "uid", "n", "content")
+    return rows.mapInArrow(compare, "uid long, a long, b long")
+
+
+def _hot_words(blocks: DataFrame, words: int) -> DataFrame:
+    """The same for grams with very many blocks: their windows are counted."""
+    windows = stored(blocks.select("gram", "uid", "n", F.shiftright("place", 20).alias("first"), "content",
+                                   F.explode(F.expr("sequence(0L, (place & 1048575) - 1)")).alias("k"))
+                     .select("gram", F.expr("substring(content, int(8 * k + 1), 8)").alias("h"), "uid", "n", (F.col("first") + F.col("k")).alias("a")),
+                     "word_windows")
+    twice = stored(windows.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "h"), "word_twice")
+    return windows.where("n = 1").join(twice, ["gram", "h"]).select("uid", "a", (F.col("a") + words).alias("b"))
+
+
+def _word_blocks(texts: DataFrame, words: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, a, b) word spans of blocks that occur twice, and the blocks to be
+    compared, one instance each."""
+    found = stored(_word_instances(texts, words, gram), "word_anchors")
+    grams = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), (F.min("block") != F.max("block")).alias("mixed"))
+                   .where("c > 1").select("gram", "mixed"), "word_grams")
+    live = stored(found.join(grams, "gram"), "word_live")
+    blocks = stored(live.where("mixed").groupBy("gram", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place")), "word_blocks")
+    copied = blocks.where("n > 1").select("gram", "block")
+    whole = live.where("not mixed").select("uid", "place").unionByName(
+        live.where("mixed").join(copied, ["gram", "block"]).select("uid", "place"))
+    a = F.shiftright("place", 20)
+    many = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    return (whole.select("uid", a.alias("a"), (a + F.expr("place & 1048575") - 1 + words).alias("b")),
+            blocks.join(many, "gram").select("gram", "uid", "place", "n", "m"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int = 0,
+                   word_gram: int = WORD_GRAM) -> DataFrame:
+    """(uid, a, b, of_words): byte spans, possibly overlapping, that repeat
+    elsewhere, and with ``words`` spans of that many words that do."""
     texts = docs.select(_uid(F.col("doc_id").cast("long"), F.col("text")).alias("uid"), "text")
     found = stored(_instances(texts, length, gram), "anchors")
     blocks = found.groupBy("gram", "block").agg(
@@ -283,18 +418,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     whole = found.join(copied, ["gram", "block"]).select(
         "uid", (at - F.expr("place & 1023")).alias("a"), (at - F.expr("shiftright(place, 10) & 1023") + length).alias("b"))
     many = stored(blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "grams")
-    wanted = blocks.join(many, "gram").select("gram", "uid", "place", "n", "m")
-    content = stored(_contents(texts, wanted, length, gram), "contents")
+    wanted = blocks.join(many, "gram").select("gram", "uid", "place", "n", "m", F.lit(False).alias("of_words"))
+    if words:
+        passages, more = _word_blocks(texts, words, word_gram)
+        wanted = wanted.unionByName(more.withColumn("of_words", F.lit(True)))
+    every = stored(_contents(texts, wanted, length, gram, words), "contents")
+    content = every.where("not of_words")
     spans = whole.unionByName(_compared(content.where(F.col("m") <= hot), length, gram))
     busy = content.where(F.col("m") > hot)
-    return spans if busy.isEmpty() else spans.unionByName(_hot_windows(busy, length))
+    if not busy.isEmpty():
+        spans = spans.unionByName(_hot_windows(busy, length))
+    spans = spans.withColumn("of_words", F.lit(False))
+    if not words:
+        return spans
+    content = every.where("of_words")
+    passages = passages.unionByName(_compared_words(content.where(F.col("m") <= hot), words))
+    busy = content.where(F.col("m") > hot)
+    if not busy.isEmpty():
+        passages = passages.unionByName(_hot_words(busy, words))
+    return spans.unionByName(passages.withColumn("of_words", F.lit(True)))
+
 
+def _merged(found) -> list[list[int]]:
+    """Maximal runs of the spans."""
+    runs: list[list[int]] = []
+    for s in sorted((s["a"], s["b"]) for s in found or ()):
+        if runs and s[0] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], s[1])
+        else:
+            runs.append(list(s))
+    return runs
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int = 0,
+           word_gram: int = WORD_GRAM) -> DataFrame:
     """Per row: doc_id, ``spans`` (maximal removed byte runs) and ``kept`` (the
-    remaining bytes, which may end within a character), n_bytes."""
-    spans = repeated_spans(docs, length, gram, hot)
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    remaining bytes, which may end within a character), n_bytes, and
+    n_passage_words: words covered by ``words`` words that also start elsewhere."""
+    spans = repeated_spans(docs, length, gram, hot, words, word_gram)
+    span = F.struct("a", "b")
+    lists = spans.groupBy("uid").agg(F.collect_list(F.when(~F.col("of_words"), span)).alias("found"),
+                                     F.collect_list(F.when(F.col("of_words"), span)).alias("passages"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                        _uid(F.col("doc_id").cast("long"), F.col("text")).alias("uid"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -307,28 +471,26 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
             texts = T.as_bytes(batch.column(1))
             spans, kept = [], []
             for text, found in zip(texts, batch.column(2).to_pylist()):
-                runs: list[list[int]] = []
-                for s in sorted((s["a"], s["b"]) for s in found or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
+                runs = _merged(found)
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept.append(b"".join(text[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
                 spans.append([{"a": a, "b": b} for a, b in runs])
+            covered = [sum(b - a for a, b in _merged(found)) for found in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pairs), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"])
+                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pairs), pa.array(kept, pa.binary()),
+                 pa.array(covered, pa.int64())],
+                ["doc_id", "n_bytes", "spans", "kept", "n_passage_words"])
 
-    return (rows.join(lists, "uid", "left").select("doc_id", "text", "found")
-            .mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"))
+    return (rows.join(lists, "uid", "left").select("doc_id", "text", "found", "passages")
+            .mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, n_passage_words long"))
 
 
 @register("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings removed from every whole document; ``text`` is
-    what is left, with marks for the halves of cut characters."""
-    return remove(table(spark, sf_dir, "documents")).select(
+    what is left, with marks for the halves of cut characters.  n_passage_words
+    counts the words of repeated passages of 50 words or more, removed or not."""
+    return remove(table(spark, sf_dir, "documents"), words=WORDS).select(
         "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-        F.expr("make_valid_utf8(cast(kept AS string))").alias("text"))
+        F.expr("make_valid_utf8(cast(kept AS string))").alias("text"), "n_passage_words")

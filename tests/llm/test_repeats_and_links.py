@@ -77,6 +77,34 @@ def test_substrings_of_production_length(spark):
     assert substrings.remove(frame(spark, [])).collect() == []
 
 
+def _brute_passages(docs, n):
+    split = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in docs]
+    seen = Counter(tuple(w[k:k + n]) for _, w in split for k in range(len(w) - n + 1))
+    return [(i, len({j for k in range(len(w) - n + 1) if seen[tuple(w[k:k + n])] > 1 for j in range(k, k + n)})) for i, w in split]
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_repeated_passages_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "ROWS_AT_ONCE", 20)
+    few = random.Random(4)
+    docs = _passages(1) + EDGE + [(200 + i, "".join(few.choice(["a", "B", "b", "cé"]) + few.choice([" ", ", ", "\n"]) for _ in range(60)))
+                                  for i in range(40)]
+    got = [(r["doc_id"], r["n_passage_words"]) for r in
+           substrings.remove(frame(spark, docs), length=40, gram=13, hot=hot, words=6, word_gram=2).collect()]
+    assert _sortable(got) == _sortable(_brute_passages(docs, 6)) and any(0 < n < 60 for _, n in got)
+
+
+def test_repeated_passages_of_any_number_of_bytes(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    short, low = text(55), text(49)
+    docs = [(1, f"{text(80)} {short} {text(90)}"), (2, f"{text(70)}, {short.capitalize()}. {text(40)}"), (3, text(200)),
+            (4, f"{text(80)}. {low}"), (5, f"{low}. {text(80)}")]
+    got = {r["doc_id"]: r for r in substrings.remove(frame(spark, docs), words=substrings.WORDS).collect()}
+    assert len(short) < 400 and {i: r["n_passage_words"] for i, r in got.items()} == {1: 55, 2: 55, 3: 0, 4: 0, 5: 0}
+    assert not any(r["spans"] for r in got.values())
+
+
 def test_multikey_order():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, (400, 5)).astype(np.uint64)
