@@ -153,6 +153,17 @@ def test_long_texts_decode_in_bounded_memory():
     assert whole == b"".join(map(codec.tokens.__getitem__, ids.tolist()))
 
 
+def test_codec_of_a_worker_without_duckdb(monkeypatch):
+    texts = ["", "it's 12  naïve\n\nfolk 👍", "a" * 500, "Ünïcödé " * 300, "語" * 90 + "-=" * 70]
+    plain = bpe.Codec(*bpe._vocabulary(None, None), True)
+    monkeypatch.setitem(sys.modules, "duckdb", None)
+    codec = bpe.Codec(*bpe._vocabulary(None, None), True)
+    assert plain.db is not None and codec.db is None
+    coded = codec.encode(texts)
+    assert [(ids.tolist(), s) for ids, s in coded] == [(ids.tolist(), s) for ids, s in plain.encode(texts)]
+    assert codec.decode([ids for ids, _ in coded]) == [t.encode() for t in texts]
+
+
 def test_pieces_are_the_matches_of_the_pattern():
     """Found by neighbouring characters or, for another pattern, by the regex module."""
     import random
